@@ -145,3 +145,25 @@ def binaries(parts: np.ndarray, off: np.ndarray) -> pa.Array:
     """Rows of a binary column from one array and n + 1 offsets in elements."""
     parts = np.ascontiguousarray(parts)
     return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * parts.itemsize).astype(np.int64)), pa.py_buffer(parts)]).cast(pa.binary())
+
+
+def added(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum int64 arrays, stored as bytes in ``counts``, by ``keys`` in two levels over the task number ``part``.
+
+    One group holds 512 arrays at most at the first level, and a 512th of the tasks' number at the second.
+    """
+    kinds = ", ".join(f"{k} {t}" for k, t in df.dtypes if k in keys)
+
+    def add(_: tuple, rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in rows["counts"])
+        return pa.table({k: rows[k].slice(0, 1) for k in keys} | {"counts": pa.array([total.tobytes()], pa.binary())})
+
+    first = df.withColumn("salt", F.floor(F.col("part") / 512)).groupBy("salt", *keys).applyInArrow(add, f"{kinds}, counts binary")
+    return first.groupBy(*keys).applyInArrow(add, f"{kinds}, counts binary")
+
+
+def task() -> int:
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
