@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, quality_crf, repair_shards, secrets
+from . import exact_dedup, language_id, mixing, packing, quality_crf, repair_shards, secrets
 
-MODULES = (exact_dedup, language_id, secrets, quality_crf, repair_shards)
+MODULES = (exact_dedup, language_id, secrets, quality_crf, repair_shards, packing, mixing)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
