@@ -1,8 +1,65 @@
-"""Corpus pipeline (under construction)."""
+"""Corpus pipeline: quality, exact dedup, near duplicates, mixing, packing.
 
-STAGES: list = []
+Each stage takes all that its predecessor kept.  All but the last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayflow.llm import exact_dedup, mixing, ngram_join, packing, quality_crf
+from wayflow.llm.common import read, shared_path
+from wayflow.llm.language_id import remainder
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject; it learns from labelled documents outside the held-out fifth."""
+    model = quality_crf.train(docs, read(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0))
+    good = quality_crf.score(docs, model).where(F.col("score") >= quality_crf.THRESHOLD).select("doc_id").distinct()
+    return _only(docs, good)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of each group of equal texts that stays."""
+    return _only(docs, exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct())
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of near duplicates: five words, similarity 0.8."""
+    found = ngram_join.ngram_join(docs, n=5, percent=80)
+    return _only(docs, found.where("component_id <=> doc_id").select("doc_id").distinct())
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes; each at most once."""
+    return _only(docs, mixing.mix(docs, fraction=0.9, epochs=1).where("copies > 0").select("doc_id").distinct())
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their sequence and offset."""
+    out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with one of ``ids``; null matches null."""
+    ids = ids.select(F.col("doc_id").alias("__id"))
+    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["__id"]), "left_semi")
+
+
+STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing", mixed), ("best-fit packing", packed)]
+#: Several stages can't be expressed in SQL (a trained classifier, tokenizers); tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        path = shared_path(spark, f"stage{k}")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return docs
