@@ -22,16 +22,33 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[[9, 10, 11, 12, 13]] = 32
+_PLAIN[65:91] += 32
+JOINED = 2048
+
+
 class ChunkEncoder:
-    """Encodes texts with one vocabulary; keeps the ids of at most ``most`` distinct chunks between calls."""
+    """Encodes texts with one vocabulary; keeps the ids of at most ``most`` distinct chunks between calls.
 
-    def __init__(self, path: str, most: int = 300_000):
+    A chunk is white space and what follows, or what follows an ASCII letter and starts with another ASCII character:
+    there too a word of either vocabulary ends.  ``plain`` is for a vocabulary that drops white space and case.
+    """
+
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.plain = self.tokenizer.normalizer is not None
         self.most = most
+        names = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(names.values()) + 1, np.int64)
+        for name, k in names.items():  # a byte-level vocabulary writes one character a byte
+            self.bytes_of[k] = len(name.removesuffix("</w>") if self.plain else name)
         self._clear()
 
     def _clear(self) -> None:
@@ -42,12 +59,37 @@ class ChunkEncoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and their number for chunks that start with white space, encoded as one text; None if bytes don't tell them apart."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(chunks).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum([len(x) - (self.plain and len(x) - len(x.lstrip())) for x in chunks])
+        total = np.cumsum(self.bytes_of[ids])
+        if not len(ids) or total[-1] != ends[-1]:
+            return None
+        at = np.searchsorted(total, ends)
+        return (ids, np.diff(at + 1, prepend=0)) if (total[at] == ends).all() else None
+
     def _learn(self, chunks: list[bytes]) -> None:
-        got = self._whole([x.decode() for x in chunks])
-        for x in chunks:
+        if not chunks:
+            return
+        spaced = [x for x in chunks if x[0] in b" \t\n\x0b\x0c\r" and x[-1] not in b" \t\n\x0b\x0c\r"]
+        some = set(spaced)
+        rest = [x for x in chunks if x not in some]
+        ids, sizes = [], []
+        for k in range(0, len(spaced), JOINED):
+            got = self._joined(spaced[k : k + JOINED])
+            if got is None:
+                each = self._whole([x.decode() for x in spaced[k : k + JOINED]])
+                got = np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
+            ids.append(got[0])
+            sizes.append(got[1])
+        each = self._whole([x.decode() for x in rest])
+        ids.append(np.array([i for x in each for i in x], np.uint32))
+        sizes.append(np.array([len(x) for x in each], np.int64))
+        for x in (*spaced, *rest):
             self.known[x] = len(self.known)
-        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum([len(x) for x in got])])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32)])
+        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(np.concatenate(sizes))])
+        self.ids = np.concatenate([self.ids, *ids])
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (uint32) and n + 1 offsets."""
@@ -55,9 +97,9 @@ class ChunkEncoder:
         n = len(off) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
-        white = _WHITE[data]
+        white, letter = _WHITE[data], _LETTER[data]
         cut = np.zeros(len(data) + 1, bool)
-        cut[1:-1] = white[1:] & ~white[:-1]
+        cut[1:-1] = (white[1:] & ~white[:-1]) | (letter[:-1] & ~letter[1:] & ~white[1:] & (data[1:] < 128))
         cut[off] = True
         at = np.flatnonzero(cut)
         raw = data.tobytes()
@@ -66,11 +108,15 @@ class ChunkEncoder:
             texts = text.to_pylist()
             where = [i for i in range(n) if texts[i] and ODD.search(texts[i])]
             odd = dict(zip(where, self._whole([texts[i] for i in where]), strict=True))
+        if self.plain:
+            raw = _PLAIN[data]
         chunks = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
         words, code = chunks.dictionary.to_pylist(), chunks.indices.to_numpy(zero_copy_only=False)
-        if len(self.known) + len(words) > self.most + len(words) // 2:
+        fresh = [x for x in words if x not in self.known]
+        if len(self.known) + len(fresh) > self.most:
             self._clear()
-        self._learn([x for x in words if x not in self.known])
+            fresh = words
+        self._learn(fresh)
         index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[code]
         size = (self.off[1:] - self.off[:-1])[index]
         total = np.concatenate([[0], np.cumsum(size)])
