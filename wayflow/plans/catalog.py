@@ -2,10 +2,336 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from wayflow.functions import geo
+from wayflow.operators import graph, stats, trips
+from wayflow.sources import fixtures as X
+
+HOUR, DAY = 3_600_000_000, 86_400_000_000
+CLOSED, BOX = "link_id IN (3, 50)", "link_id BETWEEN 20 AND 59 AND link_id <> 50"
+_Q: dict = {}
+_S: dict[str, str] = {}
+
+
+def _query(sql: str, *inputs: str):
+    """Register a function under its name, with SQL over the named inputs."""
+
+    def put(f):
+        _Q[f.__name__] = f
+        _S[f.__name__] = ("WITH " + ", ".join(X.SQL[i] for i in inputs) + " " if inputs else "") + sql
+        return f
+
+    return put
+
+
+def _r(c, scale: float = 1e6, digits: int = 4):
+    return F.round(c * scale, digits)
+
+
+def _sr(x: str, scale: str = "1e6", digits: int = 4) -> str:
+    return f"round(({x}) * CAST({scale} AS DOUBLE), {digits})"
+
+
+def _counts(s: SparkSession, d: str) -> DataFrame:
+    slot = F.floor(F.col("us") / DAY)
+    return trips.popularity(X.pings(s, d), slot).select("slot", "link_id", F.col("n").cast("double").alias("c"))
+
+
+def _prior(s: SparkSession, d: str) -> DataFrame:
+    return graph.normalize(graph.laplace(_counts(s, d), X.links(s)), "c").select("slot", "link_id", F.col("c").alias("p"))
+
+
+def _weighted(s: SparkSession, speed: float = 1.7513, lanes: float = 0.4358) -> DataFrame:
+    return graph.kernel(X.adjacency(s), graph.weights(X.links(s), speed, lanes))
+
+
+def _checkpointed(s: SparkSession) -> None:
+    """A checkpoint folder: the session's own, another only where none is set."""
+    if s.sparkContext.getCheckpointDir() is None:
+        s.sparkContext.setCheckpointDir(s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+
+
+def _v(df: DataFrame) -> DataFrame:
+    return df.select("slot", "link_id", _r(F.col("v")).alias("v_ppm"))
+
+
+_PRIOR = ("pings", "links", "counts", "prior")
+_CHAIN = (*_PRIOR, "adjacency", "weights", "kernel")
+_DIST = "2 * CAST(6371000 AS DOUBLE) * atan2(sqrt(a), sqrt(1 - a))"
+_A = "sin(radians(lat - la) / 2) ** 2 + cos(radians(la)) * cos(radians(lat)) * sin(radians(lon - lo) / 2) ** 2"
+_LAG = f"lagged AS (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo, us - lag(us) OVER w AS du FROM pings WINDOW w AS (PARTITION BY did ORDER BY us, seq)), far AS (SELECT *, {_A} AS a FROM lagged)"
+X.SQL |= {"far": _LAG, "trips": "trips AS (SELECT *, sum(CASE WHEN du <= 86400000000 THEN 0 ELSE 1 END) OVER (PARTITION BY did ORDER BY us, seq) AS trip FROM (SELECT *, us - lag(us) OVER (PARTITION BY did ORDER BY us, seq) AS du FROM pings))"}
+
+
+@_query(f"SELECT seq, {_sr(_DIST, '1', 3)} AS metres FROM far WHERE la IS NOT NULL", "pings", "far")
+def haversine(s, d):
+    w = W.partitionBy("did").orderBy("us", "seq")
+    p = X.pings(s, d).withColumns({"la": F.lag("lat").over(w), "lo": F.lag("lon").over(w)}).where("la IS NOT NULL")
+    return p.select("seq", _r(geo.haversine(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon")), 1, 3).alias("metres"))
+
+
+@_query(f"SELECT did, seq FROM far WHERE du IS NULL OR du < 0 OR (du > 0 AND {_DIST} / (du / CAST(1e6 AS DOUBLE)) >= 2) OR (du = 0 AND {_DIST} >= 1)", "pings", "far")
+def speed_filter(s, d):
+    return trips.speed_filter(X.pings(s, d)).select("did", "seq")
+
+
+@_query("SELECT did, CAST(trip AS BIGINT) AS trip, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM trips GROUP BY ALL", "pings", "trips")
+def sessionize(s, d):
+    return trips.sessionize(X.pings(s, d), 86400).groupBy("did", "trip").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
+@_query("SELECT us // 300000000 AS slot, link_id, count(DISTINCT did) AS n FROM pings GROUP BY ALL", "pings")
+def popularity_5min(s, d):
+    return trips.popularity(X.pings(s, d), F.floor(F.col("us") / 300_000_000))
+
+
+@_query("SELECT us // 3600000000 AS slot, link_id, count(DISTINCT did) AS n FROM pings GROUP BY ALL", "pings")
+def popularity_hourly(s, d):
+    return trips.popularity(X.pings(s, d), F.floor(F.col("us") / HOUR))
+
+
+_FIRST = "firsts AS (SELECT * FROM trips QUALIFY row_number() OVER (PARTITION BY did, trip ORDER BY us, seq) = 1)"
+X.SQL["firsts"] = _FIRST
+
+
+def _origins(s, d):
+    return trips.first_fixes(trips.sessionize(X.pings(s, d), 86400), ["did", "trip"], ["us", "seq"])
+
+
+@_query("SELECT us // 3600000000 AS slot, link_id, count(*) AS n FROM firsts GROUP BY ALL", "pings", "trips", "firsts")
+def origins(s, d):
+    return _origins(s, d).groupBy(F.floor(F.col("us") / HOUR).alias("slot"), "link_id").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT link_id, count(*) AS n FROM firsts GROUP BY ALL ORDER BY n DESC, link_id LIMIT 10", "pings", "trips", "firsts")
+def origins_top10(s, d):
+    return _origins(s, d).groupBy("link_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "link_id").limit(10)
+
+
+@_query("SELECT DISTINCT us // 3600000000 AS slot, link_id FROM firsts WHERE (us // 3600000000, link_id) NOT IN (SELECT (us // 3600000000, link_id) FROM pings)", "pings", "trips", "firsts")
+def origin_keys_missing(s, d):
+    slot = F.floor(F.col("us") / HOUR).alias("slot")
+    return _origins(s, d).select(slot, "link_id").distinct().join(X.pings(s, d).select(slot, "link_id").distinct(), ["slot", "link_id"], "left_anti")
+
+
+@_query("SELECT slot, link_id, round(c / sum(c) OVER (PARTITION BY slot) * CAST(1e6 AS DOUBLE), 4) AS p_ppm FROM counts", "pings", "counts")
+def row_normalize(s, d):
+    return graph.normalize(_counts(s, d), "c").select("slot", "link_id", _r(F.col("c")).alias("p_ppm"))
+
+
+@_query(f"SELECT slot, link_id, {_sr('p')} AS p_ppm FROM prior", *_PRIOR)
+def laplace_prior(s, d):
+    return _prior(s, d).select("slot", "link_id", _r(F.col("p")).alias("p_ppm"))
+
+
+_DIFF = "pull AS (SELECT slot, src AS link_id, avg(c) AS m FROM dense JOIN adjacency ON link_id = dst GROUP BY ALL), mixed AS (SELECT d.slot, d.link_id, CAST(0.8 AS DOUBLE) * c + CAST(0.2 AS DOUBLE) * coalesce(m, 0) AS c FROM dense d LEFT JOIN pull USING (slot, link_id))"
+X.SQL["diffused"] = _DIFF
+
+
+@_query(f"SELECT slot, link_id, {_sr('c / sum(c) OVER (PARTITION BY slot)')} AS p_ppm FROM mixed", *_PRIOR, "adjacency", "diffused")
+def graph_diffusion(s, d):
+    dense = graph.laplace(_counts(s, d), X.links(s))
+    return graph.diffuse(dense, graph.kernel(X.adjacency(s))).select("slot", "link_id", _r(F.col("p")).alias("p_ppm"))
+
+
+@_query("SELECT src, dst, round(1.0 / count(*) OVER (PARTITION BY src), 9) AS p FROM adjacency", "adjacency")
+def kernel_uniform(s, d):
+    return graph.kernel(X.adjacency(s)).select("src", "dst", F.round("p", 9).alias("p"))
+
+
+@_query(f"SELECT src, dst, {_sr('p')} AS p_ppm FROM kernel", "links", "adjacency", "weights", "kernel")
+def kernel_weighted(s, d):
+    return _weighted(s).select("src", "dst", _r(F.col("p")).alias("p_ppm"))
+
+
+@_query("SELECT a.src, a.dst, round(coalesce(greatest(-1, least(1, ((l1.lon2 - l1.lon1) * (l2.lon2 - l2.lon1) + (l1.lat2 - l1.lat1) * (l2.lat2 - l2.lat1)) / nullif(sqrt((l1.lon2 - l1.lon1) ** 2 + (l1.lat2 - l1.lat1) ** 2) * sqrt((l2.lon2 - l2.lon1) ** 2 + (l2.lat2 - l2.lat1) ** 2), 0))), 0), 6) + 0 AS turn FROM adjacency a JOIN links l1 ON a.src = l1.link_id JOIN links l2 ON a.dst = l2.link_id", "links", "adjacency")
+def turn_cosine(s, d):
+    ux, uy = geo.unit(F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1"))
+    u = X.links(s).select("link_id", ux.alias("ux"), uy.alias("uy"))
+    a = X.adjacency(s).join(u.toDF("src", "ax", "ay"), "src").join(u.toDF("dst", "bx", "by"), "dst")
+    cos = F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ax") * F.col("bx") + F.col("ay") * F.col("by"))), F.lit(0.0))
+    turn = F.when(F.col("ax").isNull() | F.col("bx").isNull(), 0.0).otherwise(cos)
+    return a.select("src", "dst", (F.round(turn, 6) + 0.0).alias("turn"))
+
+
+def _steps(n: int, body) -> str:
+    """SQL of n steps: body(k) defines s{k} from s{k - 1}."""
+    return ", ".join(body(k) for k in range(1, n + 1))
+
+
+def _sp(route: bool) -> str:
+    body = lambda k: (f"m{k} AS (SELECT slot, dst AS link_id, sum(v * k.p) AS v FROM s{k - 1} JOIN kernel k ON link_id = src GROUP BY ALL), lost{k} AS (SELECT slot, sum(CASE WHEN link_id % 17 = 0 THEN v ELSE 0 END) AS lost FROM s{k - 1} GROUP BY slot), "
+                      f"r{k} AS (SELECT p.slot, p.link_id, CAST(0.0508 AS DOUBLE) * p.p + (1 - CAST(0.0508 AS DOUBLE)) * (coalesce(m.v, 0){' + lost * p.p' if route else ''}) AS v FROM prior p JOIN lost{k} USING (slot) LEFT JOIN m{k} m ON m.slot = p.slot AND m.link_id = p.link_id), s{k} AS (SELECT slot, link_id, v / sum(v) OVER (PARTITION BY slot) AS v FROM r{k})")
+    return "s0 AS (SELECT slot, link_id, p AS v FROM prior), " + _steps(3, body)
+
+
+X.SQL |= {"sp": _sp(False), "spd": _sp(True)}
+
+
+@_query(f"SELECT slot, link_id, {_sr('v')} AS v_ppm FROM s3", *_CHAIN, "sp")
+def sp_chain(s, d):
+    _checkpointed(s)
+    return _v(graph.single_phase(_prior(s, d), _weighted(s)))
+
+
+@_query(f"SELECT slot, link_id, {_sr('v')} AS v_ppm FROM s3", *_CHAIN, "spd")
+def sp_chain_dangling(s, d):
+    _checkpointed(s)
+    return _v(graph.single_phase(_prior(s, d), _weighted(s), to_prior=True))
+
+
+X.SQL["tp"] = "s0 AS (SELECT slot, link_id, p AS u, CAST(0 AS DOUBLE) AS d FROM prior), " + _steps(3, lambda k: (
+    f"m{k} AS (SELECT slot, dst AS link_id, sum(u * k.p) AS u, sum(d * k.p) AS d FROM s{k - 1} JOIN kernel k ON link_id = src GROUP BY ALL), b{k} AS (SELECT slot, sum(d) AS back FROM s{k - 1} GROUP BY slot), "
+    f"r{k} AS (SELECT p.slot, p.link_id, (1 - CAST(0.102 AS DOUBLE)) * coalesce(m.u, 0) + CAST(0.101 AS DOUBLE) * p.p * back AS u, CAST(0.102 AS DOUBLE) * o.u + (1 - CAST(0.101 AS DOUBLE)) * coalesce(m.d, 0) AS d FROM prior p JOIN s{k - 1} o ON o.slot = p.slot AND o.link_id = p.link_id JOIN b{k} b ON b.slot = p.slot LEFT JOIN m{k} m ON m.slot = p.slot AND m.link_id = p.link_id), "
+    f"s{k} AS (SELECT slot, link_id, u / sum(u + d) OVER (PARTITION BY slot) AS u, d / sum(u + d) OVER (PARTITION BY slot) AS d FROM r{k})"))
+
+
+@_query(f"SELECT slot, link_id, {_sr('u + d')} AS v_ppm FROM s3", *_CHAIN, "tp")
+def tp_chain(s, d):
+    _checkpointed(s)
+    k = _weighted(s)
+    return _v(graph.two_phase(_prior(s, d), k, k))
+
+
+X.SQL["damp"] = "s0 AS (SELECT slot, link_id, p AS v FROM prior), " + _steps(3, lambda k: f"m{k} AS (SELECT slot, dst AS link_id, sum(v * k.p) AS v FROM s{k - 1} JOIN kernel k ON link_id = src GROUP BY ALL), s{k} AS (SELECT p.slot, p.link_id, CAST(0.8 AS DOUBLE) * coalesce(m.v, 0) + (1 - CAST(0.8 AS DOUBLE)) * p.p AS v FROM prior p LEFT JOIN m{k} m ON m.slot = p.slot AND m.link_id = p.link_id)")
+
+
+@_query(f"SELECT slot, link_id, {_sr('v')} AS v_ppm FROM s3", *_CHAIN, "damp")
+def pagerank_damped(s, d):
+    _checkpointed(s)
+    return _v(graph.damped(_prior(s, d), _weighted(s)))
+
+
+@_query(f"SELECT s3.slot, round(avg(abs(p - v) / (p + CAST(1e-6 AS DOUBLE))), 6) AS mre FROM s3 JOIN prior USING (slot, link_id) GROUP BY s3.slot", *_CHAIN, "sp")
+def mre_by_slot(s, d):
+    _checkpointed(s)
+    p = _prior(s, d)
+    return stats.relative_error(graph.single_phase(p, _weighted(s)), p).select("slot", F.round("mre", 6).alias("mre"))
+
+
+@_query(f"SELECT src, dst, {_sr('w / sum(w) OVER (PARTITION BY src)')} AS p_ppm FROM adjacency JOIN weights ON dst = link_id WHERE src NOT IN (3, 50) AND dst NOT IN (3, 50)", "links", "adjacency", "weights")
+def closure_kernel(s, d):
+    a = graph.close_links(X.adjacency(s), X.links(s).where(CLOSED))
+    return graph.kernel(a, graph.weights(X.links(s), 1.7513, 0.4358)).select("src", "dst", _r(F.col("p")).alias("p_ppm"))
+
+
+def _pv(s, d):
+    return _prior(s, d).withColumnRenamed("p", "v")
+
+
+@_query(f"SELECT slot, link_id, {_sr(f'CASE WHEN {CLOSED} THEN 0 ELSE p END / sum(CASE WHEN {CLOSED} THEN 0 ELSE p END) OVER (PARTITION BY slot)')} AS v_ppm FROM prior", *_PRIOR)
+def zero_closed(s, d):
+    return _v(graph.zero_closed(_pv(s, d), F.expr(CLOSED)))
+
+
+@_query(f"SELECT slot, link_id, {_sr(f'CASE WHEN {CLOSED} THEN 0 WHEN {BOX} THEN p + gone * p / mass ELSE p END')} AS v_ppm FROM (SELECT *, sum(CASE WHEN {CLOSED} THEN p ELSE 0 END) OVER (PARTITION BY slot) AS gone, sum(CASE WHEN {BOX} THEN p ELSE 0 END) OVER (PARTITION BY slot) AS mass FROM prior)", *_PRIOR)
+def redistribute_box(s, d):
+    return _v(graph.redistribute(_pv(s, d), F.expr(CLOSED), F.expr(BOX)))
+
+
+@_query(f"SELECT slot, link_id, {_sr(f'CASE WHEN {BOX} THEN p * (1 + CAST(0.02 AS DOUBLE) / b) ELSE p * (1 - CAST(0.02 AS DOUBLE) / (1 - b)) END')} AS v_ppm FROM (SELECT *, sum(CASE WHEN {BOX} THEN p ELSE 0 END) OVER (PARTITION BY slot) AS b FROM prior)", *_PRIOR)
+def psi_transfer(s, d):
+    return _v(graph.transfer(_pv(s, d), F.expr(BOX), 0.02))
+
+
+X.SQL["path"] = "path AS (SELECT route_id, link_id, row_number() OVER (PARTITION BY route_id ORDER BY f) - 1 AS pos FROM (SELECT route_id, link_id, min(fix_idx) AS f FROM fixes GROUP BY ALL))"
+X.SQL["phase"] = "scored AS (SELECT route_id, pos, speed, lanes, speed * lanes AS score, count(*) OVER (PARTITION BY route_id) AS k FROM path JOIN links USING (link_id)), phase AS (SELECT route_id, k, pos AS l_up, k - 1 - pos AS l_down FROM scored WHERE k >= 3 QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY score DESC, abs(pos - (k - 1) / 2.0), pos) = 1)"
+
+
+@_query("SELECT route_id, link_id, pos FROM path", "fixes", "path")
+def path_distinct(s, d):
+    return trips.distinct_path(X.fixes(s, d))
+
+
+def _phase(s, d):
+    return trips.phase_split(trips.distinct_path(X.fixes(s, d)), X.links(s))
+
+
+@_query("SELECT route_id, k, l_up, l_down FROM phase", "links", "fixes", "path", "phase")
+def phase_split(s, d):
+    return _phase(s, d).select("route_id", "k", "l_up", "l_down")
+
+
+@_query("SELECT count(*) AS n, round(avg(l_up), 9) AS mean, round(var_samp(l_up), 9) AS var, round(1 / (1 + avg(l_up)), 9) AS p, round(avg(l_up) * (1 + avg(l_up)), 9) AS geom_var FROM phase", "links", "fixes", "path", "phase")
+def geom_fit(s, d):
+    g = stats.geometric_fit(_phase(s, d), "l_up")
+    return g.select("n", *(F.round(c, 9).alias(c) for c in ("mean", "var", "p", "geom_var")))
+
+
+@_query("SELECT round(max(abs(e - (1 - (1 - p) ** (k + 1)))), 9) AS ks FROM (SELECT k, (SELECT 1 / (1 + avg(l_up)) FROM phase) AS p, (SELECT count(*) FROM phase WHERE l_up <= t.k) / (SELECT count(*) FROM phase) AS e FROM (SELECT unnest(range((SELECT max(l_up) FROM phase) + 2)) AS k) t)", "links", "fixes", "path", "phase")
+def ks_geom(s, d):
+    return stats.ks_geometric(_phase(s, d), "l_up").select(F.round("ks", 9).alias("ks"))
+
+
+@_query("SELECT count(*) AS n, any_value(n_all) - count(*) AS dropped, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sigma_std, round((quantile_cont(d, 0.75) - quantile_cont(d, 0.25)) / CAST(1.349 AS DOUBLE), 6) AS sigma_iqr, round(quantile_cont(abs(d - m), 0.5) / CAST(0.6745 AS DOUBLE), 6) AS sigma_mad FROM residuals, (SELECT quantile_cont(d, 0.5) AS m FROM residuals WHERE d <= 30), (SELECT count(*) AS n_all FROM residuals) WHERE d <= 30", "residuals")
+def residual_stats(s, d):
+    r = stats.robust(X.residuals(s, d))
+    return r.select("n", "dropped", *(F.round(c, 6).alias(c) for c in ("mean", "sigma_std", "sigma_iqr", "sigma_mad")))
+
+
+@_query("SELECT CAST(CASE WHEN d > 50 THEN -1 ELSE least(floor(d / 0.25), 199) END AS BIGINT) AS bin, count(*) AS n FROM residuals GROUP BY ALL", "residuals")
+def residual_hist(s, d):
+    return stats.histogram(X.residuals(s, d))
+
+
+_WEEKS = "shares AS (SELECT slot % 7 AS bow, link_id, c / sum(c) OVER (PARTITION BY slot) AS p FROM counts WHERE slot < (SELECT min(slot) FROM counts) + 28)"
+X.SQL["shares"] = _WEEKS
+
+
+def _shares(s, d):
+    c = _counts(s, d)
+    first = c.agg(F.min("slot").alias("first"))
+    c = graph.normalize(c.crossJoin(F.broadcast(first)).where(F.col("slot") < F.col("first") + 28), "c")
+    return c.select((F.col("slot") % 7).alias("bow"), "link_id", F.col("c").alias("p"))
+
+
+@_query(f"SELECT bow, link_id, {_sr('sum(p) / 4')} AS mean_ppm, {_sr('sqrt(greatest(0, (sum(p * p) - sum(p) * sum(p) / 4) / 3))', '1e6', 2)} AS std_ppm, 4 - count(*) AS zeros FROM shares GROUP BY ALL", "pings", "counts", "shares")
+def crossweek_std(s, d):
+    return stats.cross_week(_shares(s, d)).select("bow", "link_id", _r(F.col("mean")).alias("mean_ppm"), _r(F.col("std"), 1e6, 2).alias("std_ppm"), "zeros")
+
+
+@_query("SELECT slot, 100 - count(*) AS zero_links FROM counts GROUP BY slot", "pings", "counts")
+def zero_fraction(s, d):
+    return _counts(s, d).groupBy("slot").agg((100 - F.count("*")).alias("zero_links"))
+
+
+@_query(f"SELECT slot, link_id, {_sr('p')} AS p_ppm FROM prior QUALIFY row_number() OVER (PARTITION BY slot ORDER BY round(p * CAST(1e9 AS DOUBLE)) DESC, link_id) <= 10", *_PRIOR)
+def topk_links(s, d):
+    w = W.partitionBy("slot").orderBy(F.round(F.col("p") * 1e9).desc(), "link_id")
+    return _prior(s, d).withColumn("r", F.row_number().over(w)).where("r <= 10").select("slot", "link_id", _r(F.col("p")).alias("p_ppm"))
+
+
+@_query("SELECT CASE WHEN slot < (SELECT min(slot) FROM counts) + 23 THEN 'train' ELSE 'test' END AS part, count(*) AS cells, sum(c) AS trips FROM counts GROUP BY ALL", "pings", "counts")
+def temporal_split(s, d):
+    c = _counts(s, d)
+    part = F.when(F.col("slot") < F.col("first") + 23, "train").otherwise("test")
+    return c.crossJoin(F.broadcast(c.agg(F.min("slot").alias("first")))).groupBy(part.alias("part")).agg(F.count("*").alias("cells"), F.sum("c").alias("trips"))
+
+
+@_query("SELECT link_id FROM links WHERE (lat1 + lat2) / 2 BETWEEN 40.715 AND 40.755 AND abs(lat2 - lat1) > 1.5 * abs(lon2 - lon1) AND lat2 > lat1 AND speed >= 31", "links")
+def bbox_links(s, d):
+    return X.links(s).where("(lat1 + lat2) / 2 BETWEEN 40.715 AND 40.755 AND abs(lat2 - lat1) > 1.5 * abs(lon2 - lon1) AND lat2 > lat1 AND speed >= 31").select("link_id")
+
+
+_RUNS = ((1.0, 2.195), (1.75, 2.767), (3.0, 3.150), (3.5, 3.223), (3.75, 3.247), (4.0, 3.264), (5.0, 3.308))
+
+
+@_query("SELECT declared, round(measured - declared, 6) AS gap, declared = (SELECT min(declared) FROM runs WHERE measured < declared) AS chosen FROM runs", )
+def sigma_table(s, d):
+    return stats.sigma_table(s.createDataFrame(_RUNS, "declared double, measured double")).select("declared", F.round("gap", 6).alias("gap"), "chosen")
+
+
+_S["sigma_table"] = f"WITH runs(declared, measured) AS (VALUES {', '.join(f'(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))' for a, b in _RUNS)}) " + _S["sigma_table"]
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_S)
