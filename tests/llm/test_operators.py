@@ -1,0 +1,201 @@
+"""Operators on small tables with nulls, empty texts, ties, repeated rows and clashing columns, against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from wayflow.llm import compaction, exact_dedup, language_id, mixing, ngram_join, packing, quality_crf, repair_shards, secrets
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, rank long"
+
+
+def docs(spark, n=60):
+    r = random.Random(5)
+    words = ["alpha", "beta", "gamma,", "delta.", "Épsilon", "zeta!!", "it's", "a1b2"]
+    texts = [None, "", "  \n\t", "x" * 5000, "alpha beta", "alpha  beta", "alpha beta gamma", "nbsp   two", "<|endoftext|> x"]
+    base = [r.choice(words) + str(r.randrange(50)) for _ in range(120)]
+    for k in range(n):
+        w = list(base)
+        for _ in range(r.randrange(14)):
+            w[r.randrange(len(w))] = r.choice(words)
+        texts.append(" ".join(w))
+    texts += texts[-3:]
+    rows = [(k, t, ["en", "de", None][k % 3], ["src1", "src2", None][k % 3], 1, "clash", 7) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows + [(3, texts[3], "en", "src1", 1, "clash", 7), (None, "no id", None, None, None, None, None)], SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_cuckoo_index_inserts_deletes_and_resizes():
+    index, live = exact_dedup.CuckooIndex(2), {}
+    r = random.Random(1)
+    keys = [hashlib.sha256(b"%d" % k).digest() for k in range(3000)]
+    for _ in range(20000):
+        k = r.choice(keys)
+        if r.random() < 0.4:
+            assert index.delete(k) == (live.pop(k, None) is not None)
+        else:
+            index.put(k, k[:3])
+            live[k] = k[:3]
+    assert dict(index.items()) == live and index.size == len(live) and index.resizes > 0
+    assert all(index.get(k) == live.get(k) for k in keys)
+
+
+def test_exact_dedup(spark):
+    d = docs(spark)
+    groups = {}
+    for r in d.collect():
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r.text or ""), []).append((-len(r.text or ""), r.doc_id is None, r.doc_id))
+    want = sorted((i if i is not None else -1, sorted(g)[0][2], len(g)) for g in groups.values() for _, _, i in g)
+    got = exact_dedup.exact_dedup(d).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.keep_id, r.group_size) for r in got) == want
+    assert exact_dedup.exact_dedup(empty(spark)).count() == 0
+
+
+def test_index_versions(spark):
+    d = docs(spark)
+    first = exact_dedup.apply_changes(None, d, spark.createDataFrame([], "digest binary"))
+    n = first.count()
+    gone = first.limit(2).select("digest")
+    assert exact_dedup.apply_changes(first, d.limit(0), gone).count() == n - 2
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_ngram_join(spark, n, percent):
+    d = docs(spark)
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = {}
+    for r in d.where("doc_id IS NOT NULL").collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(low))
+        sets[r.doc_id] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    # small bounds split the groups and blocks, which must change nothing
+    for bounds in ({}, {"group_docs": 7, "block_docs": 5}):
+        got = ngram_join.ngram_join(d, n, percent, **bounds).where("doc_id IS NOT NULL").collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), find(i)) for i, s in sets.items()}
+    assert ngram_join.ngram_join(empty(spark)).count() == 0
+
+
+def _ids(name, end):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    return lambda x: np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4")
+
+
+def test_repair_round_trip(spark, tmp_path):
+    d, ids = docs(spark), _ids("byte_bpe_50k.json", 2)
+    repair_shards.write_shards(d, str(tmp_path / "a"), public_tokenizers.path("byte_bpe_50k.json"), shard_ids=2000)
+    got = {r.doc_id: r for r in repair_shards.read_shards(spark, str(tmp_path / "a")).collect()}
+    start = 0
+    rows = sorted(d.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    for r in rows:
+        x = ids(r.text)
+        if r.doc_id != 3:
+            assert (got[r.doc_id].start, got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (start, len(x), zlib.crc32(x.tobytes()))
+        start += len(x)
+    shard = repair_shards.Shard(bytes(spark.read.parquet(str(tmp_path / "a")).first().shard))
+    assert sum(len(shard.ids(k)) for k in range(len(shard.doc_id))) == len(shard.all_ids()) == shard.n_ids().sum()
+    repair_shards.write_shards(empty(spark), str(tmp_path / "b"), public_tokenizers.path("byte_bpe_50k.json"))
+    assert repair_shards.read_shards(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_packing(spark):
+    d, ids = docs(spark), _ids("word_bpe_49k.json", 0)
+    got = packing.pack(d, public_tokenizers.path("word_bpe_49k.json"), capacity=64).collect()
+    assert sum(r.length for r in got) == sum(len(ids(r.text)) for r in d.collect())
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for slots in by.values():
+        at = 0
+        for offset, length in sorted(slots):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert packing.pack(empty(spark), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+
+def test_secrets():
+    text = "é password: hunter2secret AKIA" + "A" * 16 + " " + "0af" * 9 + " pwd = Xk9$vQ2!mZ7p token=abc"
+    spans = secrets.base_spans(text)
+    assert [(k, text[a:b]) for a, k, b in spans] == [(0, "password: hunter2secret"), (1, "AKIA" + "A" * 16), (2, "0af" * 9)]
+    assert [text[a:b] for a, _, b in secrets.guess_spans(text, 8.0)] == ["hunter2secret", "Xk9$vQ2!mZ7p"] or [text[a:b] for a, _, b in secrets.guess_spans(text, 8.0)] == ["Xk9$vQ2!mZ7p"]
+    assert secrets.guess_cost("password1")[0] < 3 < secrets.guess_cost("Xk9$vQ2!")[0]
+    assert secrets.guess_cost("aaaaaaaa")[0] < 4 and secrets.guess_cost("qwertyuiop")[0] < 6 and secrets.guess_cost("19840521")[0] < 6
+
+
+def test_secret_scan_edges(spark):
+    assert secrets.scan_secrets(docs(spark)).count() == docs(spark).count()
+    assert secrets.scan_secrets(empty(spark)).count() == 0
+
+
+def test_language_id(spark):
+    d = docs(spark)
+    out = language_id.predict(d, *language_id.train(d)).collect()
+    assert len(out) == d.count() and {r.lang_pred for r in out if r.doc_id in (0, 1, 2)} == {"und"}
+    assert {r.lang_pred for r in language_id.predict(d, *language_id.train(empty(spark))).collect()} == {"und"}
+
+
+def test_chain_marginals_equal_enumeration():
+    r = np.random.default_rng(0)
+    emit, link = r.normal(size=(4, 2)), r.normal(size=(2, 2))
+    good, pairs, z = quality_crf.forward_backward(emit, link, np.array([0, 4]))
+    total, marginal = 0.0, np.zeros(4)
+    for code in range(16):
+        y = [code >> k & 1 for k in range(4)]
+        w = np.exp(sum(emit[k, y[k]] for k in range(4)) + sum(link[y[k - 1], y[k]] for k in range(1, 4)))
+        total += w
+        marginal += w * np.array(y)
+    assert np.allclose(good, marginal / total) and np.isclose(z, np.log(total)) and np.isclose(pairs.sum(), 3)
+
+
+def test_quality_edges(spark):
+    d = docs(spark)
+    labels = spark.createDataFrame([(k, k % 2 if k < 40 else None, 0) for k in range(50)], "doc_id long, quality int, toxic int")
+    out = quality_crf.score(d, quality_crf.train(d, labels)).collect()
+    assert len(out) == d.count() and all(0 <= r.score <= 1 for r in out)
+    assert quality_crf.score(d, quality_crf.train(empty(spark), labels)).where("score = 0.5").count() == d.count()
+
+
+def test_compaction(spark, tmp_path):
+    d = docs(spark)
+    store = compaction.compacted(d, path=str(tmp_path / "s"))
+    assert sorted(map(str, store.snapshot().collect())) == sorted(map(str, d.collect()))
+    assert len(store.manifest()["runs"]) < 16
+    with pytest.raises(compaction.Conflict):
+        store.commit([], store.manifest()["version"] - 1)
+    assert compaction.compacted(empty(spark), path=str(tmp_path / "e")).snapshot().count() == 0
+
+
+def test_mixing_redistributes_to_siblings_first(spark):
+    leaves = spark.createDataFrame([("d0", "en", "a", 10), ("d0", "en", "b", 1000), ("d1", "en", "c", 1000)], "domain string, lang string, source string, tokens long")
+    from pyspark.sql import functions as F
+
+    got = {r.source: r.budget for r in mixing.leaf_budgets(leaves, F.lit(400.0), {"domain": {"d0": 1, "d1": 1}}, epochs=1).collect()}
+    assert got == {"a": 10, "b": 190, "c": 200}
+
+
+def test_mixing_edges(spark):
+    assert mixing.mix(docs(spark)).count() == docs(spark).count()
+    assert mixing.mix(empty(spark)).count() == 0
