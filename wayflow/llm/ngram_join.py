@@ -3,10 +3,11 @@
 A document's set holds the 64-bit hashes of its distinct word n-grams.  Equal sets collapse to one representative.
 For ``percent`` p, two sets that link share one of the first n - ceil(p n / 100) + 1 tokens of each under any order of
 all tokens; the order here is by a broadcast sketch of fixed size (rough document frequency, frequent last), then by
-hash.  Representatives that share such a token get pointers to their most shared token, which partitions similar ones
-into groups of bounded size.
+hash.  Representatives that share such a token meet in its block, where a hashed token-group matrix (counts of tokens in 128
+buckets, their maxima over subgroups of 32) bounds the overlap; what the bounds can't rule out forms groups of similar
+documents, which no link leaves.
 
-A cell is one group, or two whose prefixes meet.  In a cell the token-group matrix works on subgroups of 32: it stores
+A cell is one group, or a pair of a large group's splits.  In a cell the token-group matrix works on subgroups of 32: it stores
 each subgroup's token union, bounds a query's overlap with every subgroup, and opens only those where the bound reaches
 p percent of the query's set.  Pairs that are already connected are skipped, so a cell returns a spanning forest instead
 of all pairs, and links inside thousands of near copies cost a row each.
@@ -71,7 +72,7 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (two 64-bit sums), prefix tokens."""
+    """doc_id, n_shingles, digest of the set (two 64-bit sums), prefix tokens, counts of tokens in hashed buckets."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,15 +80,77 @@ def signatures(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> Dat
             tokens, off = shingle_sets(b.column("text"), n)
             level = shared.value[_bucket(tokens)]
             prefix, lo, hi = [], [], []
+            owner = np.repeat(np.arange(b.num_rows), np.diff(off))
+            counts = np.bincount(owner * COUNTS + (tokens % np.uint64(COUNTS)).astype(np.int64), minlength=b.num_rows * COUNTS)
+            if len(counts) and counts.max() > 65535:  # a text of over 8 million distinct n-grams
+                raise ValueError("a document with over 65535 tokens in a bucket")
+            counts = counts.astype(np.uint16).reshape(-1, COUNTS)
             for a, z in zip(off, off[1:], strict=False):
                 t = tokens[a:z]
                 size = len(t) - -(-percent * len(t) // 100) + 1 if len(t) else 0
                 prefix.append(t[np.lexsort((t, level[a:z]))[:size]].view(np.int64).tolist())
                 lo.append(int(mix(t).sum(dtype=np.uint64).view(np.int64)) if len(t) else 0)
                 hi.append(int(mix(t ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if len(t) else 0)
-            yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(off)), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "lo", "hi", "prefix"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(off)), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array([c.tobytes() for c in counts], pa.binary())], names=["doc_id", "n", "lo", "hi", "prefix", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, lo long, hi long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, lo long, hi long, prefix array<long>, counts binary")
+
+
+COUNTS, GROUP = 128, 32
+
+
+def _bounded(percent: int):
+    """Spanning forests, by block, of the pairs whose overlap can reach ``percent`` by their token counts in hashed buckets."""
+
+    def forest(ids: np.ndarray, n: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(n, kind="stable")
+        ids, n, counts = ids[order], n[order], counts[order]
+        label = np.arange(len(ids))
+        cut = np.arange(0, len(ids), GROUP)
+        most = np.maximum.reduceat(counts, cut)  # the matrix: buckets by groups
+        for q in range(len(ids) - 1):
+            g = np.arange(q // GROUP, len(cut))
+            g = g[n[cut[g]] * percent <= n[q] * 100]  # larger sets can't link; groups go by size
+            if len(g) > 2:
+                need = percent * (n[q] + np.maximum(n[cut[g]], n[q])) / (100 + percent)
+                g = g[np.minimum(most[g], counts[q]).sum(1) >= need]
+            member = (g[:, None] * GROUP + np.arange(GROUP)).ravel()
+            member = member[(member > q) & (member < len(ids))]
+            member = member[label[member] != label[q]]
+            if len(member):
+                bound = np.minimum(counts[member], counts[q]).sum(1)
+                member = member[bound * (100 + percent) >= percent * (n[q] + n[member])]
+            if len(member):
+                old = np.unique(np.append(label[member], label[q]))
+                label[np.isin(label, old)] = old[0]
+        out = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.record_batch([pa.array(ids[out]), pa.array(ids[label[out]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(whole: bool) -> Iterator[pa.RecordBatch]:
+            """Blocks that have ended; the last one may go on in the next batch."""
+            nonlocal held
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = t["block"].to_numpy()
+            ends = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+            last = len(ends) - 1 if whole else len(ends) - 2
+            ids, n = t["doc_id"].to_numpy(), t["n"].to_numpy()
+            counts = np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint16).reshape(-1, COUNTS).astype(np.int32)
+            out = [forest(ids[a:z], n[a:z], counts[a:z]) for a, z in zip(ends[:last], ends[1:], strict=False) if z - a > 1]
+            held = t.slice(int(ends[last])).to_batches()
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    return run
 
 
 class TokenGroupMatrix:
@@ -192,13 +255,13 @@ def connected(edges: DataFrame) -> DataFrame:
         now = new
 
 
-def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, group_docs: int = 4096, group_tokens: int = 2_000_000, hops: int = 2) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, group_docs: int = 4096, group_tokens: int = 2_000_000, block_docs: int = 4096) -> DataFrame:
     """Components of documents linked at Jaccard similarity of ``percent`` or more over word ``n``-grams.
 
     Per row: doc_id, n_shingles, component_id (smallest doc_id reachable).  Null, empty and blank texts have no shingles
     and are alone.  Rows with equal ids are rows of their own but share what any of them links to.  Rows without an id
-    are left out of linking: their component is null.  ``group_docs`` and ``group_tokens`` bound the memory of a cell;
-    they split groups, and every pair of splits that may link is joined too, so they drop nothing.
+    are left out of linking: their component is null.  ``group_docs``, ``group_tokens`` and ``block_docs``
+    bound the memory of a cell and a block; larger ones are split, and every pair of splits is joined too, so they drop nothing.
     """
     rows = id_text(docs)
     sig = stored(signatures(rows, n, percent, frequency_levels(rows, n)), "signatures")
@@ -208,23 +271,19 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, group_docs: int =
     entries = stored(chosen.select("doc_id", "n", F.explode("prefix").alias("token")), "entries")
     size = entries.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     shared = stored(entries.join(size, "token"), "shared")
-    # Pointers: a document to its most shared token, tokens to the most shared one that stands beside them.
-    key = shared.groupBy("doc_id").agg(F.max(F.struct("size", "token")).alias("key"), F.max("n").alias("n"))
-    for _ in range(hops):
-        up = shared.join(key.select("doc_id", "key"), "doc_id").groupBy("token").agg(F.max("key").alias("up"))
-        key = key.join(up.select(F.col("token").alias("at"), "up"), F.col("key.token") == F.col("at")).select("doc_id", F.greatest("key", "up").alias("key"), "n")
-    splits = key.groupBy(F.col("key.token").alias("key")).agg(F.greatest(F.ceil(F.count("*") / group_docs), F.ceil(F.sum("n") / group_tokens)).cast("int").alias("splits"))
-    placed = key.select("doc_id", "n", F.col("key.token").alias("key")).join(splits, "key")
-    placed = stored(placed.select("doc_id", F.xxhash64("key", F.pmod(F.xxhash64("doc_id"), F.col("splits"))).alias("gid")), "groups")
-    of_token = shared.join(placed, "doc_id").select("token", "gid").distinct()
-    pairs = of_token.join(of_token.withColumnRenamed("gid", "other"), "token").where("gid < other").select("gid", "other").distinct()
-    cells = placed.select("doc_id", F.col("gid").alias("cell"), F.col("gid").alias("cell2"))
-    cross = stored(pairs, "pairs")
-    a = placed.join(cross, "gid").select("doc_id", F.col("gid").alias("cell"), F.col("other").alias("cell2"))
-    b = placed.withColumnRenamed("gid", "other").join(cross, "other").select("doc_id", F.col("gid").alias("cell"), F.col("other").alias("cell2"))
-    cells = cells.unionByName(a).unionByName(b)
-    # A whole text goes to each cell of its document; texts without shared tokens stay where they are.
-    routed = rows.join(cells, "doc_id").withColumn("bin", F.xxhash64("cell", "cell2"))
+    # Blocks of a shared token, in parts of bounded size; each leaves a spanning forest of what its bounds can't rule out.
+    parts = F.ceil(F.col("size") / block_docs).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    block = shared.withColumn("parts", parts).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    block = block.select("doc_id", F.xxhash64("token", F.least("own", "with"), F.greatest("own", "with")).alias("block"))
+    maybe = block.join(sig.select("doc_id", "n", "counts").dropDuplicates(["doc_id"]), "doc_id").repartition("block").sortWithinPartitions("block").mapInArrow(_bounded(percent), "a long, b long")
+    placed = connected(maybe)
+    placed = stored(placed.unionByName(placed.select(F.col("root").alias("node"), "root")).distinct().join(sig.select(F.col("doc_id").alias("node"), "n").dropDuplicates(["node"]), "node"), "groups")
+    splits = placed.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / group_docs), F.ceil(F.sum("n") / group_tokens)).cast("int").alias("splits"))
+    cells = placed.join(splits, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("splits")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+    cells = cells.select(F.col("node").alias("doc_id"), F.xxhash64("root", F.least("own", "with"), F.greatest("own", "with")).alias("bin"))
+    # A whole text goes to each cell of its document; texts without possible partners stay where they are.
+    routed = rows.join(cells, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
