@@ -31,34 +31,37 @@ SHARD_IDS = 1 << 20
 END = 2
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = 8, per_round: int = 512, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = 8, per_round: int = 2048, rounds: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (n, 2), and the position after each document in the symbols.
 
     ``ends`` has the position after each document in ``ids``.  Each round counts all adjacent pairs within documents,
-    gives the ``per_round`` most frequent of at least ``least`` a nonterminal, and replaces their occurrences from left to right.
+    gives the ``per_round`` most frequent of at least ``least`` a nonterminal (only those that reach the count of the
+    2 * ``per_round``-th bucket of a hash table, which bounds each pair's count from above; others wait a round), and replaces their occurrences from left to right.
     """
-    seq, rules = ids.astype(np.uint64), []
+    seq, rules = ids.astype(np.uint32), []
     last = np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
     keep_ends = ends.copy()
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        pair = seq[:-1] << np.uint64(32) | seq[1:]
-        hashed = (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-        within = ~last[:-1]
-        heavy = np.bincount(hashed[within].astype(np.int64), minlength=1 << 20) >= least  # an upper bound of each pair's count
-        at = np.flatnonzero(within & heavy[hashed.astype(np.int64)])
-        keys, count = np.unique(pair[at], return_counts=True)
-        some = count >= least
+        hashed = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA6B))) >> np.uint32(12)
+        hashed[last[:-1]] = 1 << 20  # pairs over two documents
+        bucket = np.bincount(hashed, minlength=(1 << 20) + 1)  # an upper bound of each pair's count
+        bucket[-1] = 0
+        floor = max(least, int(np.partition(bucket, -2 * per_round)[-2 * per_round]))
+        at = np.flatnonzero((bucket >= floor)[hashed])
+        pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        keys, count = np.unique(pair, return_counts=True)
+        some = count >= floor
         keys, count = keys[some], count[some]
         if not len(keys):
             break
         if len(keys) > per_round:
             top = np.argsort(-count, kind="stable")[:per_round]
             keys = np.sort(keys[top])
-        spot = np.minimum(np.searchsorted(keys, pair[at]), len(keys) - 1)
-        hit = keys[spot] == pair[at]
+        spot = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        hit = keys[spot] == pair
         at, spot = at[hit], spot[hit]
         fresh = np.ones(len(at), bool)
         fresh[1:] = np.diff(at) > 1
@@ -68,13 +71,13 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = 8,
         used, number = np.unique(spot, return_inverse=True)
         base = terminals + sum(map(len, rules))
         rules.append(np.stack([keys[used] >> np.uint64(32), keys[used] & np.uint64(0xFFFFFFFF)], 1))
-        seq[at] = (base + number).astype(np.uint64)
+        seq[at] = (base + number).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         last[at] |= last[at + 1]
         keep_ends = np.concatenate([[0], np.cumsum(stay)])[keep_ends]
         seq, last = seq[stay], last[stay]
-    return seq.astype(np.uint32), np.concatenate([np.zeros((0, 2), np.uint64), *rules]).astype(np.uint32), keep_ends
+    return seq, np.concatenate([np.zeros((0, 2), np.uint64), *rules]).astype(np.uint32), keep_ends
 
 
 def lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
