@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
 from wayflow.operators import graph, stats, trips
+from wayflow.operators.trips import binned_means
+from wayflow.sources.lines import json_lines
 
 
 def test_diffusion_by_hand(spark):
@@ -32,3 +34,16 @@ def test_peak_ties(spark):
 def test_histogram_edges(spark):
     d = spark.createDataFrame([(0.25,), (49.9,), (50.0,), (50.01,)], "d double")
     assert {r.bin: r.n for r in stats.histogram(d).collect()} == {1: 1, 199: 2, -1: 1}
+
+
+def test_json_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n{"a": 1},\n{"a": 2} ,\n{"a": \n]\n')
+    rows = json_lines(spark, str(tmp_path / "a.json"), "a long").collect()
+    assert sorted(r.row.a for r in rows if r.good) == [1, 2]
+    assert sum(not r.good for r in rows) == 1
+
+
+def test_binned_means(spark):
+    df = spark.createDataFrame([(3, 1.0, 1.0), (23, 5.0, 2.0), (4, 3.0, 1.0), (2, 9.0, 9.0)], "k long, avg_speed double, avg_lanes double")
+    got = {r.bin: (r.n, r.speed) for r in binned_means(df).collect()}
+    assert len(got) == 20 and got[0] == (1, 1.0) and got[1] == (1, 3.0) and got[19] == (1, 5.0) and got[7] == (0, 0.0)

@@ -102,3 +102,19 @@ def transfer(v: DataFrame, box: F.Column, psi: float, closed: F.Column | None =
     b = F.sum(F.when(box, F.col("v")).otherwise(0.0)).over(W.partitionBy("slot"))
     moved = F.when(box, F.col("v") * (1 + psi / b)).otherwise(F.col("v") * (1 - psi / (1 - b)))
     return v.withColumn("v", moved if closed is None else F.when(closed, F.col("v")).otherwise(moved))
+
+
+def psi_sweep(v: DataFrame, truth: DataFrame, box: F.Column, grid: list[float]) -> DataFrame:
+    """Mean absolute (1e-6) and squared (1e-12) error over the box for each psi of the grid, with the mass moved by ``transfer``."""
+    b = F.sum(F.when(box, F.col("v")).otherwise(0.0)).over(W.partitionBy("slot"))
+    inside = v.withColumn("b", b).where(box).join(truth, ["slot", "link_id"]).withColumn("psi", F.explode(F.array(*map(F.lit, grid))))
+    off = F.col("p") - F.col("v") * (1 + F.col("psi") / F.col("b"))
+    return inside.groupBy("psi").agg((F.avg(F.abs(off)) * 1e6).alias("mae"), (F.avg(off * off) * 1e12).alias("mse"))
+
+
+def displacement(shares: DataFrame, uniform: DataFrame, gamma: float = 0.20, weeks: int = 4) -> DataFrame:
+    """(bow, link_id, d): mean over weeks of how far diffusion moves a link's share; a week without the link counts what flows into it."""
+    key = ["week", "bow", "link_id"]
+    pulled = shares.join(uniform, shares["link_id"] == uniform["dst"]).groupBy("week", "bow", F.col("src").alias("link_id")).agg(F.sum(uniform["p"] * shares["p"]).alias("m"))
+    moved = F.abs(F.coalesce("m", F.lit(0.0)) - F.coalesce("p", F.lit(0.0))) * gamma
+    return shares.select(*key, "p").join(pulled, key, "full").groupBy("bow", "link_id").agg((F.sum(moved) / weeks).alias("d"))

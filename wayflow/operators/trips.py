@@ -49,3 +49,21 @@ def phase_split(path: DataFrame, links: DataFrame) -> DataFrame:
     best = F.max_by("pos", F.struct("score", -F.abs(F.col("pos") - (F.col("k") - 1) / 2), -F.col("pos")))
     out = rows.groupBy("route_id").agg(F.max("k").alias("k"), best.alias("l_up"), F.max("score").alias("top"), F.avg("speed").alias("avg_speed"), F.avg("lanes").alias("avg_lanes"))
     return out.where("k >= 3 AND top > 0").select("route_id", "k", "l_up", (F.col("k") - 1 - F.col("l_up")).alias("l_down"), "avg_speed", "avg_lanes")
+
+
+def phase_split_weighted(path: DataFrame, links: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``phase_split`` in pieces of links (link_id, pieces; 1 where absent); the peak is where the pieces before its link end."""
+    at = path.join(pieces, "link_id", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    w = W.partitionBy("route_id")
+    at = at.withColumns({"before": F.coalesce(F.sum("pieces").over(w.orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "k_pieces": F.sum("pieces").over(w)})
+    peak = phase_split(path, links).select("route_id", F.col("l_up").alias("pos"))
+    return at.join(peak, ["route_id", "pos"]).select("route_id", F.col("k_pieces").alias("k"), F.col("before").alias("l_up"), (F.col("k_pieces") - 1 - F.col("before")).alias("l_down"))
+
+
+def binned_means(lengths: DataFrame, bins: int = 20, low: float = 3.0) -> DataFrame:
+    """Mean speed and lanes of trips (k, avg_speed, avg_lanes) in equal bins of k from ``low`` to the largest; empty bins have zeros."""
+    top = lengths.agg(F.max("k").cast("double").alias("top"))
+    width = (F.col("top") - low) / bins
+    at = F.coalesce(F.least(F.floor(F.try_divide(F.col("k") - low, width)), F.lit(bins - 1)), F.lit(0)).cast("long")
+    found = lengths.where(F.col("k") >= low).crossJoin(F.broadcast(top)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg("avg_speed").alias("speed"), F.avg("avg_lanes").alias("lanes"))
+    return lengths.sparkSession.range(bins).withColumnRenamed("id", "bin").join(found, "bin", "left").na.fill(0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wayflow.functions import geo
-from wayflow.operators import graph, stats, trips
+from wayflow.operators import graph, network, stats, trips
 from wayflow.sources import fixtures as X
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -329,6 +329,64 @@ def sigma_table(s, d):
 _S["sigma_table"] = f"WITH runs(declared, measured) AS (VALUES {', '.join(f'(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))' for a, b in _RUNS)}) " + _S["sigma_table"]
 
 
+_XY = ", ".join(f"radians(lon{k} + CAST(111.90 AS DOUBLE)) * CAST(6371000 AS DOUBLE) * cos(radians(CAST(40.75 AS DOUBLE))) AS {x}, radians(lat{k} - CAST(40.75 AS DOUBLE)) * CAST(6371000 AS DOUBLE) AS {y}" for k, x, y in (("", "px", "py"), ("1", "ax", "ay"), ("2", "bx", "by_")))
+X.SQL |= {
+    "steps": "steps AS (SELECT route_id, link_id AS a, lead(link_id) OVER (PARTITION BY route_id ORDER BY fix_idx) AS b FROM fixes)",
+    "measured": f"measured AS (SELECT seq, {_XY} FROM pings JOIN links USING (link_id))",
+    "sized": "sized AS (SELECT link_id, speed * lanes + link_id * CAST(0.5 AS DOUBLE) AS length FROM links)",
+    "weekly": "weekly AS (SELECT (slot - (SELECT min(slot) FROM counts)) // 7 AS week, slot % 7 AS bow, link_id, c / sum(c) OVER (PARTITION BY slot) AS p FROM counts WHERE slot < (SELECT min(slot) FROM counts) + 28)",
+}
+
+
+def _ways(s, d):
+    way = X.fixes(s, d).groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("fix_idx", "link_id"))).alias("f"))
+    kind = F.when(F.col("route_id") % 3 == 0, "-1").when(F.col("route_id") % 3 == 1, "yes").otherwise("no")
+    return way.select(F.col("route_id").alias("way_id"), F.col("f.link_id").alias("nodes"), kind.alias("oneway"))
+
+
+@_query("SELECT DISTINCT a, b FROM (SELECT CASE WHEN route_id % 3 = 0 THEN b ELSE a END AS a, CASE WHEN route_id % 3 = 0 THEN a ELSE b END AS b FROM steps UNION ALL SELECT b, a FROM steps WHERE route_id % 3 = 2) WHERE a <> b AND a < 95 AND b < 95", "fixes", "steps")
+def directed_edges(s, d):
+    return network.directed_edges(_ways(s, d), s.range(95))
+
+
+@_query("SELECT seq, round(sqrt((px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2), 3) AS d FROM (SELECT *, greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / greatest(dx * dx + dy * dy, CAST(1e-9 AS DOUBLE)))) AS t FROM (SELECT seq, px, py, ax, ay, bx - ax AS dx, by_ - ay AS dy FROM measured))", "pings", "links", "measured")
+def residual_measure(s, d):
+    return network.measure_residuals(X.pings(s, d), X.links(s), ["seq"]).select("seq", F.round("d", 3).alias("d"))
+
+
+@_query("SELECT len(list_filter(e, lambda x: x < length)) AS bucket, count(*) AS links, round(avg(CAST(coalesce(n, 0) > 0 AS INT)), 9) AS coverage, round(avg(coalesce(n, 0)), 9) AS mean_trips FROM sized LEFT JOIN (SELECT link_id, count(DISTINCT route_id) AS n FROM fixes WHERE link_id % 9 <> 0 GROUP BY ALL) USING (link_id), (SELECT quantile_cont(length, [0.2, 0.4, 0.6, 0.8, 0.99, 1.0]) AS e FROM sized) GROUP BY ALL", "links", "fixes", "sized")
+def length_buckets(s, d):
+    sized = X.links(s).select("link_id", (F.col("speed") * F.col("lanes") + F.col("link_id") * 0.5).alias("length"))
+    counts = X.fixes(s, d).where("link_id % 9 != 0").groupBy("link_id").agg(F.count_distinct("route_id").alias("n"))
+    return network.length_buckets(sized, counts).select("bucket", "links", F.round("coverage", 9).alias("coverage"), F.round("mean_trips", 9).alias("mean_trips"))
+
+
+@_query("SELECT band, count(*) AS cells FROM (SELECT CASE WHEN std < 0.004 THEN 'SUBNOISE' WHEN std <= 0.016 THEN 'MIXED' ELSE 'SIGNAL' END AS band FROM (SELECT sqrt(greatest(0, (sum(p * p) - sum(p) * sum(p) / 4) / 3)) AS std FROM shares GROUP BY bow, link_id)) GROUP BY ALL", "pings", "counts", "shares")
+def noise_bands(s, d):
+    return network.noise_bands(stats.cross_week(_shares(s, d)), 0.008).groupBy("band").agg(F.count("*").alias("cells"))
+
+
+@_query("SELECT route_id, CAST(k_pieces AS BIGINT) AS k, CAST(before AS BIGINT) AS l_up, CAST(k_pieces - 1 - before AS BIGINT) AS l_down FROM (SELECT *, coalesce(sum(1 + link_id % 3) OVER (PARTITION BY route_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(1 + link_id % 3) OVER (PARTITION BY route_id) AS k_pieces FROM path) a JOIN (SELECT route_id, l_up AS pos FROM phase) USING (route_id, pos)", "links", "fixes", "path", "phase")
+def phase_split_weighted(s, d):
+    pieces = X.links(s).select("link_id", (1 + F.col("link_id") % 3).alias("pieces"))
+    return trips.phase_split_weighted(trips.distinct_path(X.fixes(s, d)), X.links(s), pieces)
+
+
+@_query("SELECT bow, link_id, round(sum(abs(coalesce(m, 0) - coalesce(p, 0))) * CAST(0.2 AS DOUBLE) / 4 * 1000000, 3) AS d_ppm FROM weekly FULL JOIN (SELECT week, bow, src AS link_id, sum(p / deg) AS m FROM weekly JOIN (SELECT *, count(*) OVER (PARTITION BY src) AS deg FROM adjacency) ON dst = link_id GROUP BY ALL) USING (week, bow, link_id) GROUP BY bow, link_id", "pings", "counts", "adjacency", "weekly")
+def displacement(s, d):
+    c = _counts(s, d)
+    c = graph.normalize(c.crossJoin(F.broadcast(c.agg(F.min("slot").alias("first")))).where(F.col("slot") < F.col("first") + 28), "c")
+    shares = c.select(F.floor((F.col("slot") - F.col("first")) / 7).alias("week"), (F.col("slot") % 7).alias("bow"), "link_id", F.col("c").alias("p"))
+    return graph.displacement(shares, graph.kernel(X.adjacency(s))).select("bow", "link_id", _r(F.col("d"), 1e6, 3).alias("d_ppm"))
+
+
+@_query(f"SELECT psi, round(avg(abs(q - p * (1 + psi / b))) * 1000000, 4) AS mae FROM (SELECT slot, link_id, p, sum(CASE WHEN {BOX} THEN p ELSE 0 END) OVER (PARTITION BY slot) AS b FROM prior) JOIN (SELECT slot - 7 AS slot, link_id, p AS q FROM prior) USING (slot, link_id), (SELECT (i - 12) / CAST(1000 AS DOUBLE) AS psi FROM range(53) t(i)) WHERE {BOX} GROUP BY psi", *_PRIOR)
+def psi_sweep(s, d):
+    p = _prior(s, d)
+    truth = p.select((F.col("slot") - 7).alias("slot"), "link_id", "p")
+    return graph.psi_sweep(p.select("slot", "link_id", F.col("p").alias("v")), truth, F.expr(BOX), [k / 1000 for k in range(-12, 41)]).select("psi", F.round("mae", 4).alias("mae"))
+
+
 def queries() -> dict:
     return dict(_Q)
 
