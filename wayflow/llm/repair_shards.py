@@ -49,33 +49,38 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = 8,
         hashed[last[:-1]] = 1 << 20  # pairs over two documents
         bucket = np.bincount(hashed, minlength=(1 << 20) + 1)  # an upper bound of each pair's count
         bucket[-1] = 0
-        floor = max(least, int(np.partition(bucket, -2 * per_round)[-2 * per_round]))
+        often = bucket[bucket >= least]
+        floor = int(np.partition(often, -2 * per_round)[-2 * per_round]) if len(often) > 2 * per_round else least
         at = np.flatnonzero((bucket >= floor)[hashed])
         pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-        keys, count = np.unique(pair, return_counts=True)
-        some = count >= floor
-        keys, count = keys[some], count[some]
-        if not len(keys):
+        coded = pa.array(pair).dictionary_encode()  # a hash table; sorting all pairs costs more
+        keys, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        count = np.bincount(code, minlength=len(keys))
+        some = np.flatnonzero(count >= floor)
+        if not len(some):
             break
-        if len(keys) > per_round:
-            top = np.argsort(-count, kind="stable")[:per_round]
-            keys = np.sort(keys[top])
-        spot = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-        hit = keys[spot] == pair
+        if len(some) > per_round:
+            some = some[np.lexsort((keys[some], -count[some]))[:per_round]]
+        some = some[np.argsort(keys[some])]
+        rank = np.full(len(keys), -1, np.int32)
+        rank[some] = np.arange(len(some))
+        keys, spot = keys[some], rank[code]
+        hit = spot >= 0
         at, spot = at[hit], spot[hit]
         fresh = np.ones(len(at), bool)
         fresh[1:] = np.diff(at) > 1
         run = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         take = run % 2 == 0  # of overlapping occurrences every other one
         at, spot = at[take], spot[take]
-        used, number = np.unique(spot, return_inverse=True)
+        used = np.flatnonzero(np.bincount(spot, minlength=len(keys)))
+        number = np.searchsorted(used, np.arange(len(keys)))[spot]
         base = terminals + sum(map(len, rules))
         rules.append(np.stack([keys[used] >> np.uint64(32), keys[used] & np.uint64(0xFFFFFFFF)], 1))
         seq[at] = (base + number).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         last[at] |= last[at + 1]
-        keep_ends = np.concatenate([[0], np.cumsum(stay)])[keep_ends]
+        keep_ends = keep_ends - np.searchsorted(at + 1, keep_ends)
         seq, last = seq[stay], last[stay]
     return seq, np.concatenate([np.zeros((0, 2), np.uint64), *rules]).astype(np.uint32), keep_ends
 
