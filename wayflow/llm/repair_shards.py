@@ -150,7 +150,17 @@ class Shard:
         return expand(self.symbols[self.starts[k] : self.starts[k + 1]], self.rules, self.terminals)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.terminals)
+        """Every rule is expanded once; then each symbol copies its ids."""
+        n = len(self.rules)
+        flat = expand(np.arange(self.terminals, self.terminals + n, dtype=np.uint32), self.rules, self.terminals)
+        start = np.cumsum(self.rule_length, dtype=np.int64) - self.rule_length
+        big = self.symbols >= self.terminals
+        size, begin = np.ones(len(self.symbols), np.int64), len(flat) + np.cumsum(~big) - 1
+        rule = self.symbols[big].astype(np.int64) - self.terminals
+        size[big], begin[big] = self.rule_length[rule], start[rule]
+        ends = np.cumsum(size)
+        source = np.concatenate([flat, self.symbols[~big].astype(np.uint32)])
+        return source[np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 SHARDS = "part int, seq int, n_docs long, n_ids long, shard binary"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ class ChunkEncoder:
     there too a word of either vocabulary ends.  ``plain`` is for a vocabulary that drops white space and case.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -112,12 +113,15 @@ class ChunkEncoder:
             raw = _PLAIN[data]
         chunks = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
         words, code = chunks.dictionary.to_pylist(), chunks.indices.to_numpy(zero_copy_only=False)
-        fresh = [x for x in words if x not in self.known]
-        if len(self.known) + len(fresh) > self.most:
+        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(place < 0)
+        if len(self.known) + len(new) > self.most:
             self._clear()
-            fresh = words
+            new = np.arange(len(words))
+        fresh = [words[i] for i in new.tolist()]
         self._learn(fresh)
-        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[code]
+        place[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        index = place[code]
         size = (self.off[1:] - self.off[:-1])[index]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.off[index] - total[:-1], size) + np.arange(total[-1])]
