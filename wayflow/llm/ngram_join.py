@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import added, buffers, id_text, mix, read, slices, spaced, stored, task, word_hashes
 
 BITS, BLOCK = 20, 1 << 12
+#: Bytes of text hashed at once; the arrays of a slice take some 25 times as much.
+SLICE = 1 << 20
 
 
 def shingle_sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +60,7 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.int64)
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             total += np.bincount(_bucket(shingle_sets(b.column("text"), n)[0]), minlength=1 << BITS)
         part = task()
         for k, x in enumerate(total.reshape(-1, BLOCK)):
@@ -76,7 +78,7 @@ def signatures(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             tokens, off = shingle_sets(b.column("text"), n)
             level = shared.value[_bucket(tokens)]
             prefix, lo, hi = [], [], []
@@ -296,7 +298,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, group_docs: int =
             return pa.record_batch([pa.array(who[out]), pa.array(who[label[out]])], names=["a", "b"])
 
         last = None
-        for s in slices(batches):
+        for s in slices(batches, most=SLICE):
             tokens, off = shingle_sets(s.column("text"), n)
             for k, (cell, i) in enumerate(zip(s.column("bin").to_pylist(), s.column("doc_id").to_pylist(), strict=True)):
                 if cell != last and sets:
