@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
-from wayflow.operators import graph, stats, trips
+from wayflow.operators import graph, network, stats, trips
 from wayflow.operators.trips import binned_means
+from wayflow.plans import catalog
 from wayflow.sources.lines import json_lines
 
 
@@ -47,3 +48,19 @@ def test_binned_means(spark):
     df = spark.createDataFrame([(3, 1.0, 1.0), (23, 5.0, 2.0), (4, 3.0, 1.0), (2, 9.0, 9.0)], "k long, avg_speed double, avg_lanes double")
     got = {r.bin: (r.n, r.speed) for r in binned_means(df).collect()}
     assert len(got) == 20 and got[0] == (1, 1.0) and got[1] == (1, 3.0) and got[19] == (1, 5.0) and got[7] == (0, 0.0)
+
+
+def test_links_without_trips_and_unknown_nodes(spark):
+    sized = spark.createDataFrame([(9, 1.0), (10, 1.0), (11, 1.0)], "link_id long, length double")
+    counts = spark.createDataFrame([(9, 4), (10, 2)], "link_id long, n long")
+    assert [(r.links, round(r.coverage, 9), r.mean_trips) for r in network.length_buckets(sized, counts).collect()] == [(3, 0.666666667, 2.0)]
+    ways = spark.createDataFrame([(1, [97, 98, 500], "yes")], "way_id long, nodes array<long>, oneway string")
+    assert [tuple(r) for r in network.directed_edges(ways, spark.range(100)).collect()] == [(97, 98)]
+
+
+def test_whole_queries_keep_every_link(spark):
+    sf = "/root/testdata/sf0.01"
+    edges = catalog.queries()["directed_edges_all"](spark, sf).collect()
+    assert any(max(r.a, r.b) >= 95 for r in edges)
+    covered = sum(r.links * r.coverage for r in catalog.queries()["length_buckets_all"](spark, sf).collect())
+    assert round(covered) == catalog.X.fixes(spark, sf).select("link_id").distinct().count()

@@ -349,6 +349,12 @@ def directed_edges(s, d):
     return network.directed_edges(_ways(s, d), s.range(95))
 
 
+@_query("SELECT DISTINCT a, b FROM (SELECT CASE WHEN route_id % 3 = 0 THEN b ELSE a END AS a, CASE WHEN route_id % 3 = 0 THEN a ELSE b END AS b FROM steps UNION ALL SELECT b, a FROM steps WHERE route_id % 3 = 2) WHERE a <> b AND a IN (SELECT link_id FROM links) AND b IN (SELECT link_id FROM links)", "links", "fixes", "steps")
+def directed_edges_all(s, d):
+    """Over all nodes; ``directed_edges`` keeps those of its SQL, below 95."""
+    return network.directed_edges(_ways(s, d), X.links(s).select(F.col("link_id").alias("id")))
+
+
 @_query("SELECT seq, round(sqrt((px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2), 3) AS d FROM (SELECT *, greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / greatest(dx * dx + dy * dy, CAST(1e-9 AS DOUBLE)))) AS t FROM (SELECT seq, px, py, ax, ay, bx - ax AS dx, by_ - ay AS dy FROM measured))", "pings", "links", "measured")
 def residual_measure(s, d):
     return network.measure_residuals(X.pings(s, d), X.links(s), ["seq"]).select("seq", F.round("d", 3).alias("d"))
@@ -361,6 +367,14 @@ def length_buckets(s, d):
     return network.length_buckets(sized, counts).select("bucket", "links", F.round("coverage", 9).alias("coverage"), F.round("mean_trips", 9).alias("mean_trips"))
 
 
+@_query("SELECT len(list_filter(e, lambda x: x < length)) AS bucket, count(*) AS links, round(avg(CAST(coalesce(n, 0) > 0 AS INT)), 9) AS coverage, round(avg(coalesce(n, 0)), 9) AS mean_trips FROM sized LEFT JOIN (SELECT link_id, count(DISTINCT route_id) AS n FROM fixes GROUP BY ALL) USING (link_id), (SELECT quantile_cont(length, [0.2, 0.4, 0.6, 0.8, 0.99, 1.0]) AS e FROM sized) GROUP BY ALL", "links", "fixes", "sized")
+def length_buckets_all(s, d):
+    """Over all fixes; ``length_buckets`` leaves out those that its SQL leaves out."""
+    sized = X.links(s).select("link_id", (F.col("speed") * F.col("lanes") + F.col("link_id") * 0.5).alias("length"))
+    counts = X.fixes(s, d).groupBy("link_id").agg(F.count_distinct("route_id").alias("n"))
+    return network.length_buckets(sized, counts).select("bucket", "links", F.round("coverage", 9).alias("coverage"), F.round("mean_trips", 9).alias("mean_trips"))
+
+
 @_query("SELECT band, count(*) AS cells FROM (SELECT CASE WHEN std < 0.004 THEN 'SUBNOISE' WHEN std <= 0.016 THEN 'MIXED' ELSE 'SIGNAL' END AS band FROM (SELECT sqrt(greatest(0, (sum(p * p) - sum(p) * sum(p) / 4) / 3)) AS std FROM shares GROUP BY bow, link_id)) GROUP BY ALL", "pings", "counts", "shares")
 def noise_bands(s, d):
     return network.noise_bands(stats.cross_week(_shares(s, d)), 0.008).groupBy("band").agg(F.count("*").alias("cells"))
