@@ -67,33 +67,84 @@ def test_index_versions(spark):
     assert exact_dedup.apply_changes(first, d.limit(0), gone).count() == n - 2
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
-def test_ngram_join(spark, n, percent):
-    d = docs(spark)
+def components(rows, n, percent):
+    """(doc_id, set) of each row to its component, by comparing every pair of rows."""
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    sets = {}
-    for r in d.where("doc_id IS NOT NULL").collect():
-        w = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(low))
-        sets[r.doc_id] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
-    root = {i: i for i in sets}
+
+    def grams(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(low))
+        return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+    items = [(i, grams(t)) for i, t in rows]
+    root = list(range(len(items)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
+    for a, (_, s) in enumerate(items):
+        for b, (_, t) in enumerate(items[:a]):
+            if s and t and 100 * len(s & t) >= percent * len(s | t):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(items):
+        least[find(k)] = min(least.get(find(k), i), i)
+    return sorted((i, len(s), least[find(k)]) for k, (i, s) in enumerate(items))
+
+
+BOUNDS = ({}, {"group_docs": 7, "group_tokens": 400, "block_docs": 5})
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_ngram_join(spark, n, percent):
+    d = docs(spark)
+    want = components([(r.doc_id, r.text) for r in d.where("doc_id IS NOT NULL").collect()], n, percent)
     # small bounds split the groups and blocks, which must change nothing
-    for bounds in ({}, {"group_docs": 7, "block_docs": 5}):
-        got = ngram_join.ngram_join(d, n, percent, **bounds).where("doc_id IS NOT NULL").collect()
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), find(i)) for i, s in sets.items()}
+    for bounds in BOUNDS:
+        got = ngram_join.ngram_join(d, n, percent, **bounds).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == want
+        assert [r.component_id for r in got if r.doc_id is None] == [None]
     assert ngram_join.ngram_join(empty(spark)).count() == 0
 
 
+def test_counts_bound_the_overlap():
+    r = np.random.default_rng(2)
+    for size in (1, 40, 127, 128, 500, 3000):
+        a = r.integers(0, 1 << 63, size, np.uint64)
+        a[: size // 2] = a[: size // 2] // np.uint64(1 << 16) * np.uint64(1 << 16)  # crowded buckets
+        for keep in (0.5, 0.9, 1.0):
+            b = np.unique(np.concatenate([a[: int(size * keep)], r.integers(0, 1 << 63, max(1, size // 5), np.uint64)]))
+            sets = [np.unique(a), b]
+            c = ngram_join.Counts([ngram_join.bucket_counts(x) for x in sets], np.array([len(x) for x in sets]))
+            assert c.bound(np.array([0]), 1)[0] >= len(np.intersect1d(*sets))
+
+
+@pytest.mark.parametrize("bounds", BOUNDS)
+def test_ngram_join_ids_with_two_texts(spark, bounds):
+    """Ids that two different texts share, chains of links, and a passage that all texts have."""
+    r = random.Random(11)
+    words = [f"w{k}" for k in range(4000)]
+    common, rows = r.choices(words, k=60), []
+    for k in range(25):
+        text = r.choices(words, k=70) + common
+        for step in range(5):  # each a little further from the first
+            rows.append(((7 * k + step) % 60, " ".join(text)))
+            text = [*text[:3 * step], r.choice(words), *text[3 * step + 1 :]]
+        rows.append(((7 * k) % 60, " ".join(r.choices(words, k=90) + common)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, percent in ((3, 90), (5, 80)):
+        got = ngram_join.ngram_join(d, n, percent, **bounds).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == components(rows, n, percent)
+
+
+def test_ngram_join_very_long_text(spark):
+    """More than 65,535 n-grams in one bucket of counts, were it not for its width; and a near copy of it."""
+    one = " ".join(str(k) for k in range(300_000))
+    d = spark.createDataFrame([(1, one), (2, one + " tail"), (3, "short text")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.ngram_join(d, 3, 90).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
 def _ids(name, end):
     from tokenizers import Tokenizer
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,30 +18,84 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+def tidied(run: Callable) -> Callable:
+    """The same Arrow function, which gives unused memory back at the end: a worker outlives its task, beside the JVM of its executor."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a local one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new path in the folder that the cluster shares.  Where none is set, a local one, but only if all runs on this machine."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if base is None:
-        base = os.environ.setdefault("WAYFLOW_TEST_DIR", tempfile.mkdtemp(prefix="wayflow-"))
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="wayflow-")
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.  The files stay."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def id_text(docs: DataFrame) -> DataFrame:
-    """Only the two columns an operator reads, so that further columns can't clash; a null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+class Scratch:
+    """Tables that are stored for a while: all of them go when the block ends, so nothing lazy may leave it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*list(self.paths))
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """Store under ``name``; an older table of that name stays until :meth:`drop`."""
+        path = shared_path(self.spark, name)
+        self.paths.setdefault(name, []).append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str, keep: int = 0) -> None:
+        """Delete the tables of these names, but for the last ``keep`` of each."""
+        jvm = self.spark._jvm
+        for name in names:
+            paths = self.paths.get(name, [])
+            gone = paths[: len(paths) - keep]
+            for path in gone:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self.paths[name] = paths[len(gone) :]
+        self.clean()
+
+    def clean(self) -> None:
+        """Let Spark's cleaner see that the shuffles of finished jobs are garbage; it deletes their files."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
+def id_text(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """Only the two columns an operator reads, so that further columns can't clash; a null text is empty.  ``hashed`` adds ``text_hash``."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *([F.xxhash64(text).alias("text_hash")] if hashed else []))
 
 
 def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,11 +126,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 yield batch.slice(a, b - a)
 
 
-def held_out(doc_id: np.ndarray, mod: int) -> np.ndarray:
-    """crc32 of each id as decimal text, modulo ``mod``.  A null id (given as None) counts as the empty text."""
-    return np.fromiter((zlib.crc32(b"" if i is None else b"%d" % i) % mod for i in doc_id), np.int64, len(doc_id))
-
-
 def segment_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sums of values[off[i]:off[i+1]]; empty segments give 0."""
     total = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind in "iuf" else np.int64), np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
@@ -141,12 +191,6 @@ def spaced(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, off + np.arange(n + 1)
 
 
-def binaries(parts: np.ndarray, off: np.ndarray) -> pa.Array:
-    """Rows of a binary column from one array and n + 1 offsets in elements."""
-    parts = np.ascontiguousarray(parts)
-    return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * parts.itemsize).astype(np.int64)), pa.py_buffer(parts)]).cast(pa.binary())
-
-
 def added(df: DataFrame, keys: list[str]) -> DataFrame:
     """Sum int64 arrays, stored as bytes in ``counts``, by ``keys`` in two levels over the task number ``part``.
 

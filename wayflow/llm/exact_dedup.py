@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, read, slices, stored
+from .common import id_text, read, slices, stored, tidied
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -143,7 +143,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         text = b.column("text")
         out = [normal_digest(x.as_py()) for x in text.cast(pa.binary())]
-        yield pa.record_batch([b.column("doc_id"), pa.array(out, pa.binary()), pc.cast(pc.utf8_length(text), pa.int64())], names=["doc_id", "digest", "n_chars"])
+        yield pa.record_batch([b.column("doc_id"), pa.array(out, pa.binary()), pc.cast(pc.utf8_length(text), pa.int64()), b.column("text_hash")], names=["doc_id", "digest", "n_chars", "text_hash"])
 
 
 def _fold_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,29 +172,29 @@ def _merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the normalised text, code points of the original text."""
-    return id_text(docs).mapInArrow(_digests, "doc_id long, digest binary, n_chars long")
+    """doc_id, digest of the normalised text, code points and a hash of the original text."""
+    return id_text(docs, hashed=True).mapInArrow(tidied(_digests), "doc_id long, digest binary, n_chars long, text_hash long")
 
 
 def exact_groups(digested: DataFrame, shards: int = 4096) -> DataFrame:
     """One row per live digest: digest, n_chars and doc_id of the row that stays, rows.
 
     ``shards`` bounds one index to distinct texts / shards; raise it with the corpus."""
-    folded = digested.mapInArrow(_fold_task, "digest binary, n_chars long, doc_id long, rows long")
+    folded = digested.mapInArrow(tidied(_fold_task), "digest binary, n_chars long, doc_id long, rows long")
     placed = folded.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int"))
-    return placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge_shards, "digest binary, n_chars long, doc_id long, rows long")
+    return placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidied(_merge_shards), "digest binary, n_chars long, doc_id long, rows long")
 
 
 def exact_dedup(docs: DataFrame, shards: int = 4096) -> DataFrame:
     """Group documents whose texts are equal without white space.
 
-    Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.  Null texts are empty and form one group with
+    Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_chars, text_hash.  Null texts are empty and form one group with
     blank ones.  Rows with equal ids are rows of their own in group_size; all of them that match keep_id are kept.
     Rows without an id are kept only if no row of their group has one.  An empty table gives an empty result.
     """
     digested = stored(digests(docs), "digests")
     groups = exact_groups(digested, shards).select("digest", F.col("doc_id").alias("keep_id"), F.col("rows").alias("group_size"))
-    return digested.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return digested.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "n_chars", "text_hash")
 
 
 def apply_changes(index: DataFrame | None, inserts: DataFrame, deletes: DataFrame, shards: int = 4096) -> DataFrame:
@@ -204,7 +204,7 @@ def apply_changes(index: DataFrame | None, inserts: DataFrame, deletes: DataFram
     switch to it: a lost executor only repeats its tasks.
     """
     spark = inserts.sparkSession
-    fresh = digests(inserts).mapInArrow(_fold_task, "digest binary, n_chars long, doc_id long, rows long").withColumn("step", F.lit(2))
+    fresh = digests(inserts).mapInArrow(tidied(_fold_task), "digest binary, n_chars long, doc_id long, rows long").withColumn("step", F.lit(2))
     gone = deletes.select("digest", F.lit(0).cast("long").alias("n_chars"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("rows"), F.lit(1).alias("step"))
     live = (index if index is not None else spark.createDataFrame([], "digest binary, n_chars long, doc_id long, rows long")).withColumn("step", F.lit(0))
     every = live.select("digest", "n_chars", "doc_id", "rows", "step").unionByName(gone).unionByName(fresh.select("digest", "n_chars", "doc_id", "rows", "step"))
@@ -223,11 +223,11 @@ def apply_changes(index: DataFrame | None, inserts: DataFrame, deletes: DataFram
                     _fold(cuckoo, digest, *row)
         yield _rows(cuckoo)
 
-    return placed.repartition("shard").sortWithinPartitions("shard", "step").mapInArrow(run, "digest binary, n_chars long, doc_id long, rows long")
+    return placed.repartition("shard").sortWithinPartitions("shard", "step").mapInArrow(tidied(run), "digest binary, n_chars long, doc_id long, rows long")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(read(spark, sf_dir, "documents"))
+    return exact_dedup(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE = """

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import added, read, segment_sums, slices, task
+from .common import added, read, segment_sums, slices, task, tidied
 
 BITS, BLOCK, SPACE = 16, 1 << 12, 32
 
@@ -73,7 +73,7 @@ def train(docs: DataFrame, alpha: float = 0.5, max_langs: int = 1000) -> tuple[l
     ``docs`` has text and lang; rows without a language are left out, a null text counts as empty.  No rows: no languages.
     """
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL")
-    got = added(rows.mapInArrow(_count, "lang string, block int, part int, counts binary"), ["lang", "block"]).collect()
+    got = added(rows.mapInArrow(tidied(_count), "lang string, block int, part int, counts binary"), ["lang", "block"]).collect()
     langs = sorted({r.lang for r in got})
     if len(langs) > max_langs:
         raise ValueError(f"{len(langs)} languages; the broadcast matrix is bounded to {max_langs}")
@@ -107,7 +107,7 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
             yield pa.record_batch([rows.column("doc_id"), pa.array(names[np.where(some, best, len(prior))].tolist(), pa.string()), pa.array(np.where(some, score, 0.0))], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(tidied(run), "doc_id long, lang_pred string, score double")
 
 
 def remainder(doc_id: str, mod: int) -> F.Column:

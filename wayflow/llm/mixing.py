@@ -66,12 +66,12 @@ def _null_join(left: DataFrame, right: DataFrame, on: tuple) -> DataFrame:
 
 
 def mix(docs: DataFrame, fraction: float = 0.8, weights: dict = WEIGHTS, epochs: int = 4, seed: int = 42, digits: int = 3) -> DataFrame:
-    """How often each document is taken: doc_id, domain, lang, source, tokens, copies.
+    """How often each document is taken: doc_id, text_hash, domain, lang, source, tokens, copies.
 
     The budget is ``fraction`` of all tokens.  Null languages and sources are leaves of their own; null and empty texts
     have no tokens and are taken with whatever prefix they stand in.  Rows with equal ids are rows of their own.
     """
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain().alias("domain"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("tokens")), "mix-rows")
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain().alias("domain"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("tokens"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash")), "mix-rows")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     plan = leaf_budgets(leaves, F.col("tokens") * F.lit(fraction), weights, epochs)
     plan = plan.select(*LEVELS, F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long").alias("whole"), F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).alias("rest"))
@@ -80,13 +80,13 @@ def mix(docs: DataFrame, fraction: float = 0.8, weights: dict = WEIGHTS, epochs:
     placed = placed.withColumn("order", h).withColumn("bucket", F.substring("order", 1, digits))
     sums = placed.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("n"))
     before = sums.select(*LEVELS, "bucket", (F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bucket")) - F.col("n")).alias("before"))
-    inside = F.sum("tokens").over(W.partitionBy(*LEVELS, "bucket").orderBy("order", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, 0))
+    inside = F.sum("tokens").over(W.partitionBy(*LEVELS, "bucket").orderBy("order", "doc_id", "tokens", "text_hash").rowsBetween(W.unboundedPreceding, 0))
     ranked = _null_join(placed.withColumn("inside", inside), before, (*LEVELS, "bucket"))
-    return ranked.select("doc_id", *LEVELS, "tokens", (F.col("whole") + (F.col("before") + F.col("inside") <= F.col("rest")).cast("long")).alias("copies"))
+    return ranked.select("doc_id", "text_hash", *LEVELS, "tokens", (F.col("whole") + (F.col("before") + F.col("inside") <= F.col("rest")).cast("long")).alias("copies"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents"))
+    return mix(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def sql(table: str = "documents", fraction: float = 0.8, weights: dict = WEIGHTS, epochs: int = 4, seed: int = 42) -> str:

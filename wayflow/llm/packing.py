@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import id_text, read, slices, stored, task
+from .common import id_text, read, slices, stored, task, tidied
 from .tokens import encoder, with_end
 
 CAPACITY, END = 2048, 0
@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
             yield pa.record_batch([*columns, pa.array(raw, pa.binary())] if with_ids else columns, names=[*names, "ids"] if with_ids else names)
 
-    return id_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * with_ids)
+    return id_text(docs).mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
 
     kinds = dict(ranked.dtypes)
     out = ", ".join(f"{c} {kinds[c]}" for c in ranked.columns if c != "rank") + ", sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(place, out)
+    return ranked.mapInArrow(tidied(place), out)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, id_text, read, segment_sums, slices, spaced, word_hashes
+from .common import buffers, id_text, read, segment_sums, slices, spaced, tidied, word_hashes
 from .language_id import remainder
 
 # Byte classes: other, letter or non-ASCII, upper case, digit, white space, sentence punctuation, symbol.
@@ -30,6 +30,8 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = LETTER, UPPER, DIGIT
 _CLASS[[9, 10, 11, 12, 13, 32]] = WHITE
 _CLASS[list(b".,;:?'\"-()")] = STOP
 BASE = 20
+#: Bytes of text whose line features are in memory at once, as some 50 times as much.
+SLICE = 1 << 20
 
 
 def line_features(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,13 +182,13 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000) -> Model:
     rows = id_text(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             x, n, off = line_features(b.column("text"))
             ids, label = b.column("doc_id").to_pylist(), b.column("quality").to_pylist()
             cut = [(x[a:z], n[a:z]) for a, z in zip(off, off[1:], strict=False)]
             yield pa.record_batch([pa.array(ids), pa.array(label, pa.int32()), pa.array([c[0].tobytes() for c in cut], pa.binary()), pa.array([c[1].tobytes() for c in cut], pa.binary())], names=["doc_id", "quality", "x", "n"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, quality int, x binary, n binary").collect(), key=lambda r: (r.doc_id, r.x))
+    got = sorted(rows.mapInArrow(tidied(run), "doc_id long, quality int, x binary, n binary").collect(), key=lambda r: (r.doc_id, r.x))
     width = 3 * BASE + 1
     x = [np.frombuffer(r.x, np.float32).reshape(-1, width) for r in got]
     off = np.cumsum([0, *map(len, x)])
@@ -199,10 +201,26 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             yield pa.record_batch([b.column("doc_id"), pa.array(shared.value.score(*line_features(b.column("text"))).astype(np.float64))], names=["doc_id", "score"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, score double")
+    return id_text(docs).mapInArrow(tidied(run), "doc_id long, score double")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more: a filter in the scan."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = pa.RecordBatch.from_arrays(b.columns, names=[f"c{i}" for i in range(b.num_columns)])
+            for part in slices([b], f"c{at}", SLICE):
+                good = shared.value.score(*line_features(part.column(at))) >= threshold
+                yield pa.RecordBatch.from_arrays(part.filter(pa.array(good)).columns, names=docs_names)
+
+    docs_names = docs.columns
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 THRESHOLD = 0.3

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import id_text, read, shared_path, slices, task
+from .common import id_text, read, shared_path, slices, task, tidied
 from .tokens import encoder, with_end
 
 MAGIC = b"RPR1"
@@ -197,7 +197,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = END, sha
         if held:
             yield shard()
 
-    rows.mapInArrow(run, SHARDS).write.parquet(path)
+    rows.mapInArrow(tidied(run), SHARDS).write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -219,7 +219,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a:z].tobytes()) for a, z in zip(off, off[1:], strict=False)]
                 yield pa.record_batch([pa.array(s.doc_id, pa.int64()), pa.array(start + off[:-1], pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array([seq] * len(n), pa.int32())], names=["doc_id", "start", "n_tokens", "ids_crc32", "part", "seq"])
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, seq int")
+    return rows.mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long, part int, seq int")
 
 
 def op1_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, id_text, read, slices, spaced
+from .common import buffers, id_text, read, slices, spaced, tidied
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -160,7 +160,7 @@ def scan_secrets(docs: DataFrame, min_cost: float = 8.0, words: tuple[str, ...]
                 guessed.append([{"kind": KINDS[k], "start": a, "end": b, "cost": _cost(text[a:b], words)[0]} for a, k, b in guess_spans(text, min_cost, words)])
             yield pa.record_batch([rows.column("doc_id"), pa.array(base, pa.list_(span)), pa.array(guessed, pa.list_(priced))], names=["doc_id", "base", "guessed"])
 
-    return id_text(docs).mapInArrow(run, out)
+    return id_text(docs).mapInArrow(tidied(run), out)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
