@@ -2,8 +2,12 @@
 
 A store is a folder of runs (Parquet folders) and a folder of manifests ``v0000000001.json``.  Appending writes small
 runs; compaction merges ``fanout`` or more runs of similar size into files of a target size.  A version becomes visible
-by a rename that fails if the version exists, so readers see one version or the next, and of two writers one retries.
-All data moves through DataFrame scans and writes without a shuffle.
+by a rename that fails if the version exists, so readers see one version or the next.  Of two writers one fails, and tries again
+on top of what the other has committed.  All data moves through DataFrame scans and writes without a shuffle.
+
+The file system must have a rename that fails if the target exists, for two writers at once (HDFS and most cluster stores have;
+a local disk only nearly, an object store without conditional writes not).  Runs that no version of the last ``retain`` names are
+deleted, so a reader has that many commits of time to finish.
 """
 
 from __future__ import annotations
@@ -23,10 +27,14 @@ class Conflict(Exception):
     """Another writer has committed this version."""
 
 
+class Gone(Exception):
+    """This version's runs may have been deleted, as it is older than the last ``retain``."""
+
+
 class RunStore:
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, fanout: int = 4, target_bytes: int = 32 << 20, least_bytes: int = 1 << 20):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, fanout: int = 4, target_bytes: int = 32 << 20, least_bytes: int = 1 << 20, retain: int = 2, tries: int = 20):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.fanout, self.target, self.least = fanout, target_bytes, least_bytes
+        self.fanout, self.target, self.least, self.retain, self.tries = fanout, target_bytes, least_bytes, retain, tries
         self._jvm = spark._jvm
         self._conf = spark._jsc.hadoopConfiguration()
         self._fs = self._path("").getFileSystem(self._conf)
@@ -41,10 +49,16 @@ class RunStore:
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
     def manifest(self, version: int | None = None) -> dict:
-        """The runs of a version, the last one by default; version 0 has none."""
-        version = (self.versions() or [0])[-1] if version is None else version
+        """The runs of a version, the last one by default; version 0 has none.  Versions beyond the last ``retain`` are :class:`Gone`."""
+        known = self.versions()
+        version = (known or [0])[-1] if version is None else version
         if version == 0:
             return {"version": 0, "runs": []}
+        if version not in known[-self.retain :]:
+            raise Gone(version)
+        return self._read(version)
+
+    def _read(self, version: int) -> dict:
         stream = self._fs.open(self._path(f"manifest/v{version:010d}.json"))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -68,26 +82,40 @@ class RunStore:
             raise
         return after + 1
 
+    def _delete(self, path: str) -> None:
+        self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(path), True)
+
     def _run(self, path: str, tier: int) -> dict:
         return {"path": path, "tier": tier, "bytes": self._fs.getContentSummary(self._jvm.org.apache.hadoop.fs.Path(path)).getLength()}
 
     def append(self, rows: DataFrame, by: F.Column | None = None) -> int:
-        """Write ``rows`` as one small run, or as one run for each value of ``by``; runs arrive in the order of its values."""
+        """Write ``rows`` as one small run, or as one run for each value of ``by``, and commit all of them as one version.
+
+        If another writer commits first, the runs go on top of its version; if that fails too often, or at all, they are deleted.
+        """
         at = f"{self.path}/runs/{uuid.uuid4().hex}"
-        if by is None:
-            rows.write.parquet(at)
-            new = [at]
-        else:
-            name = next(n for k in range(len(rows.columns) + 1) if (n := f"arrival{k}") not in {c.lower() for c in rows.columns})
-            rows.withColumn(name, by).write.partitionBy(name).parquet(at)
-            found = self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(at))
-            new = sorted((str(x.getPath()) for x in found if x.isDirectory() and x.getPath().getName().startswith(name)), key=lambda p: (len(p), p))
-        now = self.manifest()
-        version, runs = now["version"], now["runs"]
-        for path in new:
-            runs = [*runs, self._run(path, 0)]
-            version = self.commit(runs, version)
-        return version
+        try:
+            if by is None:
+                rows.write.parquet(at)
+                new = [at]
+            else:
+                name = next(n for k in range(len(rows.columns) + 1) if (n := f"arrival{k}") not in {c.lower() for c in rows.columns})
+                rows.withColumn(name, by).write.partitionBy(name).parquet(at)
+                found = self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(at))
+                new = sorted((str(x.getPath()) for x in found if x.isDirectory() and x.getPath().getName().startswith(name)), key=lambda p: (len(p), p))
+            added = [self._run(path, 0) for path in new]
+            for _ in range(self.tries):
+                now = self.manifest()
+                if not added:
+                    return now["version"]
+                try:
+                    return self.commit([*now["runs"], *added], now["version"])
+                except Conflict as e:
+                    last = e
+            raise last
+        except BaseException:
+            self._delete(at)
+            raise
 
     def similar(self, runs: list[dict]) -> list[dict] | None:
         """``fanout`` or more runs of similar size, smallest first: each at most 1.5 times their mean, or all below the least size."""
@@ -103,8 +131,8 @@ class RunStore:
                 return bucket
         return bucket if len(bucket) >= self.fanout else None
 
-    def compact(self, keep_old: bool = False) -> int:
-        """Merge until no ``fanout`` runs are of similar size.  Files of merged runs are deleted once the new version stands."""
+    def compact(self) -> int:
+        """Merge until no ``fanout`` runs are of similar size.  A merge whose runs another writer has replaced is given up and chosen anew."""
         while True:
             now = self.manifest()
             some = self.similar(now["runs"])
@@ -112,12 +140,32 @@ class RunStore:
                 return now["version"]
             at = f"{self.path}/runs/{uuid.uuid4().hex}"
             size = sum(r["bytes"] for r in some)
-            self._scan(some).coalesce(max(1, math.ceil(size / self.target))).write.parquet(at)
             gone = {r["path"] for r in some}
-            self.commit([r for r in now["runs"] if r["path"] not in gone] + [self._run(at, 1 + max(r["tier"] for r in some))], now["version"])
-            if not keep_old:
-                for path in gone:
-                    self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(path), True)
+            try:
+                self._scan(some).coalesce(max(1, math.ceil(size / self.target))).write.parquet(at)
+                merged = self._run(at, 1 + max(r["tier"] for r in some))
+                while gone <= {r["path"] for r in now["runs"]}:
+                    try:
+                        self.commit([r for r in now["runs"] if r["path"] not in gone] + [merged], now["version"])
+                        break
+                    except Conflict:
+                        now = self.manifest()
+                else:
+                    self._delete(at)
+            except BaseException:
+                self._delete(at)
+                raise
+            self.vacuum()
+
+    def vacuum(self) -> None:
+        """Delete manifests before the last ``retain``, and the runs that only those name.  Runs that no manifest names may be a writer's, and stay."""
+        known = self.versions()
+        old, new = known[: -self.retain], known[-self.retain :]
+        live = {r["path"] for v in new for r in self._read(v)["runs"]}
+        for version in old:
+            for path in {r["path"] for r in self._read(version)["runs"]} - live:
+                self._delete(path)
+            self._fs.delete(self._path(f"manifest/v{version:010d}.json"), False)
 
     def _scan(self, runs: list[dict]) -> DataFrame:
         reader = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true")
