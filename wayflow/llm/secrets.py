@@ -1,18 +1,18 @@
 """Secret scan: fixed patterns, and guess costs of values in a credential context.
 
-A value that stands where a credential would (``pwd: ...``, ``login = ...``) is segmented at minimum cost into words,
+A value that stands where a credential would (``db_pwd: ...``, ``Bearer ...``) is segmented at minimum cost into words,
 dates, repeats, keyboard walks, sequences and brute-force characters.  The cost is the decimal logarithm of the guesses
-needed; values that cost ``min_cost`` or more are reported as further spans of kind ``guess``.
+needed; values that cost ``min_cost`` or more are reported as further spans of kind ``guess``.  Words are ranked: a short list
+of common parts of passwords, then the most frequent words of the corpus itself.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +24,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the same runs as [0-9a-f]+ of 24 or more
 KINDS = ("assign", "access", "hex", "guess")
-HINTS = ("pass", "pwd", "secret", "token", "api", "auth", "login", "credential", "bearer", "pin")
-CONTEXT = re.compile(r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|login|credentials?|bearer|pin)["']?[\x20\t]*(?:[:=]|=>|\bis\b)[\x20\t]*["']?([^\s"'<>,;]{6,})""", re.I | re.A)
+HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "login", "credential", "bearer", "pin")
+_NAME = r"(?:password|passwd|passphrase|passcode|secret|token|(?:api|private|secret|access)[_-]?key|(?<![A-Za-z])(?:pass|pwd|auth|authorization|login|credentials?|pin))"
+#: A name, perhaps inside a longer one (DB_PASSWORD_PROD), a sign or "is", perhaps a scheme, and the value; or a bearer's value.
+CONTEXT = re.compile(
+    rf"""{_NAME}(?:[_.-][A-Za-z0-9]{{1,32}}){{0,4}}["']?[\x20\t]{{0,64}}(?:=>|[:=]|\bis\b)[\x20\t]{{0,64}}["']?(?:(?:bearer|basic)[\x20\t]{{1,64}})?([^\s"'<>,;]{{6,}})|\bbearer[\x20\t]{{1,64}}([^\s"'<>,;]{{6,}})""",
+    re.I | re.A,
+)
 # Common parts of passwords, most likely first; a parameter of the operator.
 WORDS = ("password", "love", "admin", "letmein", "welcome", "monkey", "dragon", "master", "login", "princess", "sunshine", "shadow", "football", "baseball", "summer", "winter", "spring", "autumn", "hello", "secret", "token", "access", "root", "test", "user", "guest", "pass", "changeme", "default", "system", "server", "qwerty", "iloveyou", "trustno", "superman", "batman", "freedom", "whatever", "michael", "jordan", "hunter", "ranger", "soccer", "hockey", "killer", "george", "charlie", "andrew", "michelle", "jessica", "pepper", "daniel", "access", "joshua", "maggie", "starwars", "silver", "william", "dallas", "yankees", "example", "sample", "your", "here", "my", "the", "new", "old")
 LEET = str.maketrans("@4310$57!", "aaelosstl")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
-DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
-YEAR = re.compile(r"(?:19|20)\d\d")
-
 
 def _next_to() -> frozenset[tuple[str, str]]:
     """Neighbours on the keyboard: in a row, and the keys below, which are shifted by half a key."""
@@ -50,63 +52,152 @@ def _next_to() -> frozenset[tuple[str, str]]:
 NEAR = _next_to()
 
 
-def _spans(value: str, words: tuple[str, ...]) -> Iterator[tuple[int, int, float, str]]:
-    """Candidate segments: start, end, log10 of guesses, kind."""
-    low = value.lower()
-    plain = low.translate(LEET)
-    for rank, word in enumerate(words):
-        for text, extra in ((low, 0.0), (plain, math.log10(4))):
-            at = text.find(word)
-            while at >= 0:
-                part = value[at : at + len(word)]
-                case = 0.0 if part == part.lower() else math.log10(2) if part[1:] == part[1:].lower() or part == part.upper() else math.log10(2) * min(len(part), 8)
-                yield at, at + len(word), math.log10(rank + 2) + extra * (text is plain and plain[at : at + len(word)] != low[at : at + len(word)]) + case, "word"
-                at = text.find(word, at + 1)
-    for m in DATE.finditer(value):
-        yield m.start(), m.end(), math.log10(365 * 120 * (4 if m[1] or m[2] else 1)), "date"
-    for m in YEAR.finditer(value):
-        yield m.start(), m.end(), math.log10(120), "date"
-    for m in re.finditer(r"(.+?)\1+", value):
-        yield m.start(), m.end(), len(m[1]) * 1.0 + math.log10((m.end() - m.start()) // len(m[1])), "repeat"
-    n = len(low)
-    for kind, linked, base in (("walk", lambda a, b: (a, b) in NEAR, 3.0), ("sequence", lambda a, b: abs(ord(a) - ord(b)) == 1 and a.isalnum() and b.isalnum(), 1.6)):
-        start = 0
-        for k in range(1, n + 1):
-            if k == n or not linked(low[k - 1], low[k]):
-                if k - start >= 3:
-                    yield start, k, base + math.log10(k - start) + (kind == "walk") * 0.15 * (k - start), kind
-                start = k
-
-
-def _brute(c: str) -> float:
+#: Segments up to this length may start and end anywhere; of longer runs only the whole one is offered.
+SPAN = 64
+
+
+def lower(value: str) -> str:
+    """Lower case, character by character, so that positions stay."""
+    return "".join(x if len(x := c.lower()) == 1 else c for c in value)
+
+
+def brute_cost(c: str) -> float:
     """A brute-force character: an alphabet's size, as an attacker would mix them."""
     return 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33)
 
 
-def guess_cost(value: str, words: tuple[str, ...] = WORDS) -> tuple[float, list[tuple[str, str]]]:
-    """log10 of the guesses of the cheapest segmentation, and its (kind, part) list.  The empty value costs 0."""
-    ends: dict[int, list] = {}
-    for a, b, cost, kind in _spans(value, words):
-        ends.setdefault(b, []).append((a, cost, kind))
-    best: list[tuple[float, int, str]] = [(0.0, 0, "")]
-    for k in range(1, len(value) + 1):
-        options = [(best[k - 1][0] + _brute(value[k - 1]), k - 1, "brute"), *((best[a][0] + cost, a, kind) for a, cost, kind in ends.get(k, ()))]
-        best.append(min(options, key=lambda x: x[0]))
-    parts: list[tuple[str, str]] = []
-    k = len(value)
-    while k:
-        _, a, kind = best[k]
-        if kind == "brute" and parts and parts[-1][0] == "brute":
-            parts[-1] = (kind, value[a:k] + parts[-1][1])
-        else:
-            parts.append((kind, value[a:k]))
-        k = a
-    return best[-1][0], parts[::-1]
-
-
-@lru_cache(1 << 14)
-def _cost(value: str, words: tuple[str, ...]) -> tuple[float, list[tuple[str, str]]]:
-    return guess_cost(value, words)
+def word_cost(part: str, rank: int) -> float:
+    """A word by its rank, and how it is spelled: substituted signs (part differs from the word), one capital, all capitals, or mixed."""
+    low = lower(part)
+    case = 0.0 if part == low else math.log10(2) if lower(part[1:]) == part[1:] or part == part.upper() else math.log10(2) * min(len(part), 8)
+    return math.log10(rank + 2) + (0.0 if low.isalpha() else math.log10(4)) + case
+
+
+def run_cost(kind: str, size: int) -> float:
+    return (3.0 + 0.15 * size if kind == "walk" else 1.6) + math.log10(size)
+
+
+def date_cost(part: str) -> float:
+    return math.log10(120) if len(part) == 4 else math.log10(365 * 120 * (4 if not part.isdigit() else 1))
+
+
+def walks(a: str, b: str) -> bool:
+    return (a, b) in NEAR
+
+
+def follows(a: str, b: str) -> bool:
+    return abs(ord(a) - ord(b)) == 1 and a.isalnum() and b.isalnum()
+
+
+DATES = tuple(re.compile(x) for x in (
+    r"(?:19|20)\d\d", r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d",
+))
+
+
+class Guesser:
+    """Minimum-cost segmentation with one ranked list of words, in time linear in the value's length.
+
+    Offered are every occurrence of a word (also with substituted signs), every date, all runs of a walk or sequence of 3 keys or
+    more and all repeats of a unit, priced by the unit's own segmentation: anywhere up to ``SPAN`` characters, and beyond it
+    those that fill a whole run from its start.
+    """
+
+    def __init__(self, words: tuple[str, ...] | list[str] = WORDS):
+        self.ranks: dict[str, int] = {}
+        for w in words:
+            if w:
+                self.ranks.setdefault(w, len(self.ranks))
+        self.finder = ahocorasick.Automaton()
+        for w, rank in self.ranks.items():
+            self.finder.add_word(w, (len(w), rank))
+        self.finder.make_automaton()
+        self._known: dict[str, tuple[float, list[tuple[str, str]]]] = {}
+
+    def spans(self, value: str) -> Iterator[list[tuple[int, float, str]]]:
+        """For each position the segments on offer that start there: end, cost, kind.  Runs are unfolded position by position."""
+        low, n = lower(value), len(value)
+        fixed: dict[int, list[tuple[int, float, str]]] = {}
+        for text in {low, low.translate(LEET)} if self.ranks else ():
+            for last, (size, rank) in self.finder.iter(text):
+                a, z = last + 1 - size, last + 1
+                fixed.setdefault(a, []).append((z, word_cost(value[a:z], rank), "word"))
+        if any(c.isdigit() for c in value):
+            for k in range(n - 3):
+                if value[k].isdigit():
+                    fixed.setdefault(k, []).extend((m.end(), date_cost(m[0]), "date") for form in DATES if (m := form.match(value, k)))
+        begin: dict[int, list[tuple]] = {}
+        code = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+        for p in range(1, min(SPAN, n) // 2 + 1):
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], (code[p:] == code[:-p]).astype(np.int8), [0]])))
+            for a, z in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):  # value[k] == value[k + p] for a <= k < z
+                if z - a >= p:
+                    begin.setdefault(a, []).append((z + p, "repeat", p, {}))
+        for kind, linked in (("walk", walks), ("sequence", follows)):
+            start = 0
+            for k in range(1, n + 1):
+                if k == n or not linked(low[k - 1], low[k]):
+                    if k - start >= 3:
+                        begin.setdefault(start, []).append((k, kind, 1, None))
+                    start = k
+        active: list[tuple] = []
+        for a in range(n):
+            out = fixed.pop(a, [])
+            fresh = begin.pop(a, [])
+            active = [r for r in active if r[0] - a >= (2 * r[2] if r[3] is not None else 3)] + fresh
+            for run in active:
+                z, kind, p, units = run
+                if units is None:
+                    out += [(e, run_cost(kind, e - a), kind) for e in range(a + 3, min(a + SPAN, z) + 1)]
+                    if run in fresh and z - a > SPAN:
+                        out.append((z, run_cost(kind, z - a), kind))
+                    continue
+                unit = value[a : a + p]
+                if unit not in units:
+                    units[unit] = self._unit(unit)
+                cost = units[unit]
+                if cost is not None:
+                    out += [(a + many * p, cost + math.log10(many), kind) for many in range(2, min(SPAN, z - a) // p + 1)]
+                    many = (z - a) // p
+                    if run in fresh and many * p > SPAN:
+                        out.append((a + many * p, cost + math.log10(many), kind))
+            yield out
+
+    def _unit(self, unit: str) -> float | None:
+        """Cost of a repeated unit; None if it is a repeat itself and costs no less than one, so that its repeats are offered already."""
+        cost = self.cost(unit)[0]
+        for p in range(1, len(unit) // 2 + 1):
+            if len(unit) % p == 0 and unit == unit[:p] * (len(unit) // p):
+                return None if cost >= self.cost(unit[:p])[0] + math.log10(len(unit) // p) - 1e-12 else cost
+        return cost
+
+    def cost(self, value: str) -> tuple[float, list[tuple[str, str]]]:
+        """log10 of the guesses of the cheapest segmentation, and its (kind, part) list.  The empty value costs 0."""
+        got = self._known.get(value)
+        if got is None:
+            if len(self._known) >= 1 << 14:
+                self._known.clear()
+            got = self._segmented(value)
+            if len(value) <= 256:
+                self._known[value] = got
+        return got
+
+    def _segmented(self, value: str) -> tuple[float, list[tuple[str, str]]]:
+        best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(math.inf, 0, "")] * len(value)
+        for a, offered in enumerate(self.spans(value)):
+            base = best[a][0]
+            for z, cost, kind in ((a + 1, brute_cost(value[a]), "brute"), *offered):
+                if base + cost < best[z][0]:
+                    best[z] = (base + cost, a, kind)
+        parts: list[tuple[str, str]] = []
+        k = len(value)
+        while k:
+            _, a, kind = best[k]
+            if kind == "brute" and parts and parts[-1][0] == "brute":
+                parts[-1] = (kind, value[a:k] + parts[-1][1])
+            else:
+                parts.append((kind, value[a:k]))
+            k = a
+        return best[-1][0], parts[::-1]
 
 
 def base_spans(text: str, hexed: bool = True) -> list[tuple[int, int, int]]:
@@ -122,33 +213,46 @@ def base_spans(text: str, hexed: bool = True) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guess_spans(text: str, min_cost: float, words: tuple[str, ...] = WORDS) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of values in a credential context that need 10**min_cost guesses or more."""
+def guess_spans(text: str, min_cost: float, guesser: Guesser) -> list[tuple[int, int, int, float]]:
+    """(start, kind, end, cost) of values in a credential context that need 10**min_cost guesses or more."""
     low = text.lower()
     if not any(w in low for w in HINTS):
         return []
-    return [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if _cost(m[1], words)[0] >= min_cost]
+    out = []
+    for m in CONTEXT.finditer(text):
+        a, z = m.span(1 if m[1] is not None else 2)
+        cost = guesser.cost(text[a:z])[0]
+        if cost >= min_cost:
+            out.append((a, 3, z, cost))
+    return out
 
 
-def _joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+def corpus_words(docs: DataFrame, most: int = 20_000, least: int = 3) -> list[str]:
+    """The ``most`` most frequent words of all texts, most frequent first: runs of ``least`` to 24 letters, in lower case."""
+    word = F.explode(F.split(F.lower(F.col("text")), r"[^\p{L}]+"))
+    count = id_text(docs).select(word.alias("word")).where(f"length(word) BETWEEN {least} AND 24").groupBy("word").agg(F.count("*").alias("n"))
+    return [r.word for r in count.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
 
 
 _HEXES = np.zeros(256, np.int8)
 _HEXES[list(b"0123456789abcdef")] = 1
 
 
-def scan_secrets(docs: DataFrame, min_cost: float = 8.0, words: tuple[str, ...] = WORDS) -> DataFrame:
+def scan_secrets(docs: DataFrame, min_cost: float = 8.0, words: tuple[str, ...] | list[str] = WORDS) -> DataFrame:
     """Spans of secrets in every whole text; offsets are code points, ends exclusive.
 
     Per row: doc_id, base and guessed (arrays of kind, start, end, and the cost of the guessed).  Null and empty texts
-    have none; repeated rows and null ids give rows of their own.
+    have none; repeated rows, equal ids and null ids give rows of their own; an empty table gives none.  Very long texts and
+    values are scanned whole, in time linear in their length.  Of spans that start together, the fixed patterns come first.
+    Other columns are left out, whatever their names.  ``words`` are ranked, the likeliest first.
     """
     out = "doc_id long, base array<struct<kind:string,start:long,end:long>>, guessed array<struct<kind:string,start:long,end:long,cost:double>>"
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     priced = pa.struct([*span, pa.field("cost", pa.float64())])
+    shared = docs.sparkSession.sparkContext.broadcast(list(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesser = Guesser(shared.value)
         for rows in slices(batches):
             data, off = spaced(*buffers(rows.column("text")))
             edge = np.flatnonzero(np.diff(_HEXES[data], prepend=np.int8(0), append=np.int8(0)))
@@ -157,14 +261,15 @@ def scan_secrets(docs: DataFrame, min_cost: float = 8.0, words: tuple[str, ...]
             base, guessed = [], []
             for text, has in zip(rows.column("text").to_pylist(), hexed, strict=True):
                 base.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in base_spans(text, has)])
-                guessed.append([{"kind": KINDS[k], "start": a, "end": b, "cost": _cost(text[a:b], words)[0]} for a, k, b in guess_spans(text, min_cost, words)])
+                guessed.append([{"kind": KINDS[k], "start": a, "end": b, "cost": cost} for a, k, b, cost in guess_spans(text, min_cost, guesser)])
             yield pa.record_batch([rows.column("doc_id"), pa.array(base, pa.list_(span)), pa.array(guessed, pa.list_(priced))], names=["doc_id", "base", "guessed"])
 
     return id_text(docs).mapInArrow(tidied(run), out)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    found = scan_secrets(docs, words=[*WORDS, *corpus_words(docs)])
 
     def joined(c: F.Column) -> F.Column:
         return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -176,9 +281,5 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(ordered).alias("spans"), F.size("guessed").cast("long").alias("n_guess"))
 
 
-def digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()
-
-
 QUERIES = {"op3_secret_scan": op3_secret_scan}
 SQL: dict[str, str] = {}
