@@ -2,7 +2,8 @@
 
 Both vocabularies split a text into words before they merge, and no word ends in white space, so a text's ids are those
 of its chunks (white space followed by other characters) in order.  Each task encodes a distinct chunk once with the
-tokenizers library and gathers the ids.  Texts with white space beyond ASCII are encoded whole.
+tokenizers library and gathers the ids.  Texts with white space beyond ASCII, or with the text of an added token (which the library
+finds wherever it stands), are encoded whole.
 """
 
 from __future__ import annotations
@@ -43,9 +44,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.plain = self.tokenizer.normalizer is not None
         self.most = most
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         names = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(names.values()) + 1, np.int64)
         for name, k in names.items():  # a byte-level vocabulary writes one character a byte
@@ -105,9 +106,10 @@ class ChunkEncoder:
         at = np.flatnonzero(cut)
         raw = data.tobytes()
         odd: dict[int, list[int]] = {}
-        if any(x in raw for x in _ODD_BYTES):
+        low = raw.lower()
+        if any(x in raw for x in _ODD_BYTES) or any(x.encode().lower() in low for x in self.added):
             texts = text.to_pylist()
-            where = [i for i in range(n) if texts[i] and ODD.search(texts[i])]
+            where = [i for i in range(n) if texts[i] and (ODD.search(texts[i]) or any(x in texts[i].lower() for x in self.added))]
             odd = dict(zip(where, self._whole([texts[i] for i in where]), strict=True))
         if self.plain:
             raw = _PLAIN[data]
