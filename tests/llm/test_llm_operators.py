@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayflow.llm import compaction, exact_dedup, language_id, mixing, ngram_join, packing, quality_crf, repair_shards, secrets
 
@@ -17,7 +18,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ke
 def docs(spark, n=60):
     r = random.Random(5)
     words = ["alpha", "beta", "gamma,", "delta.", "Épsilon", "zeta!!", "it's", "a1b2"]
-    texts = [None, "", "  \n\t", "x" * 5000, "alpha beta", "alpha  beta", "alpha beta gamma", "nbsp   two", "<|endoftext|> x"]
+    texts = [None, "", "  \n\t", "x" * 5000, "alpha beta", "alpha  beta", "alpha beta gamma", "nbsp   two", "<|endoftext|> x", "a<|endoftext|>b [SEP] <s> [UNK]x<|ENDOFTEXT|>"]
     base = [r.choice(words) + str(r.randrange(50)) for _ in range(120)]
     for k in range(n):
         w = list(base)
@@ -149,7 +150,6 @@ def _ids(name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda x: np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -173,7 +173,11 @@ def test_repair_round_trip(spark, tmp_path):
 def test_packing(spark):
     d, ids = docs(spark), _ids("word_bpe_49k.json", 0)
     got = packing.pack(d, public_tokenizers.path("word_bpe_49k.json"), capacity=64).collect()
-    assert sum(r.length for r in got) == sum(len(ids(r.text)) for r in d.collect())
+    want = []
+    for r in d.collect():
+        x = ids(r.text)
+        want += [(r.doc_id if r.doc_id is not None else -1, k, a, len(x[a : a + 64]), zlib.crc32(x[a : a + 64].tobytes())) for k, a in enumerate(range(0, len(x), 64))]
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
     by = {}
     for r in got:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -183,22 +187,108 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at <= 64
+    least = -(-sum(w[3] for w in want) // 64)
+    assert least <= len(by) <= least + max(1, least // 10)
     assert packing.pack(empty(spark), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_equals_best_fit_on_single_pieces():
+    """The plan over counts fills as many sequences as best-fit decreasing over pieces, one by one."""
+    r = random.Random(8)
+    for _ in range(30):
+        sizes = [r.randrange(1, 33) for _ in range(r.randrange(1, 200))]
+        room = []
+        for n in sorted(sizes, reverse=True):
+            fits = [x for x in room if x >= n]
+            x = min(fits) if fits else 32
+            if fits:
+                room.remove(x)
+            room.append(x - n)
+        histogram = {n: sizes.count(n) for n in set(sizes)}
+        assert packing.plan(histogram, 32)[1] == len(room)
+
 
 def test_secrets():
     text = "é password: hunter2secret AKIA" + "A" * 16 + " " + "0af" * 9 + " pwd = Xk9$vQ2!mZ7p token=abc"
     spans = secrets.base_spans(text)
     assert [(k, text[a:b]) for a, k, b in spans] == [(0, "password: hunter2secret"), (1, "AKIA" + "A" * 16), (2, "0af" * 9)]
-    assert "Xk9$vQ2!mZ7p" in [text[a:b] for a, _, b in secrets.guess_spans(text, 8.0)]
-    assert secrets.guess_cost("password1")[0] < 3 < secrets.guess_cost("Xk9$vQ2!")[0]
-    assert secrets.guess_cost("aaaaaaaa")[0] < 4 and secrets.guess_cost("qwertyuiop")[0] < 6 and secrets.guess_cost("19840521")[0] < 6
+    guesser = secrets.Guesser()
+    cost = lambda v: guesser.cost(v)[0]
+    assert "Xk9$vQ2!mZ7p" in [text[a:b] for a, _, b, _ in secrets.guess_spans(text, 8.0, guesser)]
+    assert cost("password1") < 3 < cost("Xk9$vQ2!") and cost("asdfghjklove") < 6
+    assert cost("aaaaaaaa") < 4 and cost("qwertyuiop") < 6 and cost("19840521") < 6
+
+
+@pytest.mark.parametrize(("text", "value"), [
+    ("DB_PASSWORD_PROD=Xk9$vQ2!mZ7p", "Xk9$vQ2!mZ7p"), ("Authorization: Bearer eyJhbGciOi9", "eyJhbGciOi9"), ("aws_secret_access_key = wJalrXUtnFEMI9", "wJalrXUtnFEMI9"),
+    ("bearer eyJhbGciOi9", "eyJhbGciOi9"), ("the password is required", None), ("login: Monday", None), ("spinning: Xk9$vQ2!mZ7p", None),
+])
+def test_credential_context(text, value):
+    guesser = secrets.Guesser([*secrets.WORDS, "required", "monday"])
+    assert [text[a:b] for a, _, b, _ in secrets.guess_spans(text, 8.0, guesser)] == ([value] if value else [])
+
+
+def test_guess_cost_is_the_least_of_all_segmentations():
+    words = ["ab", "pass", "love", "one"]
+    guesser = secrets.Guesser(words)
+
+    def segments(v, memo):
+        """Prices of the whole of v as one segment, by the definitions."""
+        low = secrets.lower(v)
+        if len(v) == 1:
+            yield secrets.brute_cost(v)
+        for rank, w in enumerate(words):
+            if w in (low, low.translate(secrets.LEET)):
+                yield secrets.word_cost(v, rank)
+        if any(f.fullmatch(v) for f in secrets.DATES):
+            yield secrets.date_cost(v)
+        for kind, linked in (("walk", secrets.walks), ("sequence", secrets.follows)):
+            if len(v) >= 3 and all(linked(a, b) for a, b in zip(low, low[1:], strict=False)):
+                yield secrets.run_cost(kind, len(v))
+        for p in range(1, len(v) // 2 + 1):
+            if len(v) % p == 0 and v == v[:p] * (len(v) // p):
+                yield least(v[:p], memo) + np.log10(len(v) // p)
+
+    def least(v, memo):
+        if v not in memo:
+            memo[v] = 0.0 if not v else min(least(v[:k], memo) + c for k in range(len(v)) for c in segments(v[k:], memo))
+        return memo[v]
+
+    r, memo = random.Random(4), {}
+    pieces = ["ab", "Ab", "p4ss", "love", "2019", "21-05-1984", "19840521", "aaa", "qwer", "asdf", "cba", "123", "x", "!", "É", "one", "0ne", "aab", "."]
+    for _ in range(400):
+        v = "".join(r.choices(pieces, k=r.randrange(1, 6)))
+        v = v * r.choice((1, 1, 2, 3)) if len(v) < 9 else v
+        cost, parts = guesser.cost(v)
+        assert abs(cost - least(v, memo)) < 1e-9, v
+        assert "".join(p for _, p in parts) == v
+
+
+def test_guess_cost_of_very_long_values():
+    guesser = secrets.Guesser()
+    assert guesser.cost("a" * 100_000)[0] < 8 and guesser.cost("abcd" * 30_000)[0] < 8
+    assert guesser.cost("".join(random.Random(1).choices("abcXYZ019+/", k=200_000)))[0] > 1000
+
+
+def test_secret_scan(spark):
+    """Base spans by the patterns one by one, on every text."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    want = {}
+    for r in d.collect():
+        t = r.text or ""
+        found = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        found += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 20]
+        found += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", t) if m.end() - m.start() >= 24]
+        want[r.doc_id] = hashlib.sha256(",".join(f"{k}:{a}:{z}" for a, _, k, z in sorted(found)).encode()).hexdigest()
+    got = secrets.op3_secret_scan(spark, "/root/testdata/sf0.01").collect()
+    assert {r.doc_id: r.base_sha256 for r in got} == want
+    assert all(len(r.spans.split(",")) == r.n_assign + r.n_access + r.n_hex + r.n_guess for r in got if r.spans)
 
 
 def test_secret_scan_edges(spark):
     assert secrets.scan_secrets(docs(spark)).count() == docs(spark).count()
-    assert secrets.scan_secrets(empty(spark)).count() == 0
+    assert secrets.scan_secrets(empty(spark)).count() == 0 and secrets.corpus_words(empty(spark)) == []
 
 
 def test_language_id(spark):
@@ -208,6 +298,47 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict(d, *language_id.train(empty(spark))).collect()} == {"und"}
 
 
+def test_language_id_equals_plain_naive_bayes(spark):
+    """Counts in dictionaries, character by character, with the same hash; and what it gets right of held-out documents."""
+    from math import exp, log
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    mul, two, three, mask = 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0xFFFFFFFF
+
+    def grams(text):
+        c = [ord(x) if x.isalpha() else 32 for x in (text or "").lower()]
+        out = []
+        for k, x in enumerate(c):
+            b, a = c[k - 1] if k else 32, c[k - 2] if k > 1 else 32
+            h1 = x * mul & mask
+            h2 = ((b * two & mask) ^ h1) * mul & mask
+            h3 = ((a * three & mask) ^ h2) * mul & mask
+            out += [h >> 16 | 1 for h, on in ((h1, x != 32), (h2, x != 32 or b != 32), (h3, b != 32)) if on]
+        return out
+
+    rows = d.collect()
+    counts, many = {}, {}
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            many[r.lang] = many.get(r.lang, 0) + 1
+            table = counts.setdefault(r.lang, {})
+            for g in grams(r.text):
+                table[g] = table.get(g, 0) + 1
+    size = {k: sum(t.values()) + 0.5 * (1 << 16) for k, t in counts.items()}
+    got = {r.doc_id: r for r in language_id.op10_language_id(spark, "/root/testdata/sf0.001").collect()}
+    right = []
+    for r in rows:
+        gs = grams(r.text)
+        points = {k: log(many[k] / sum(many.values())) + sum(log(t.get(g, 0) + 0.5) - log(size[k]) for g in gs) for k, t in counts.items()}
+        best = max(points, key=points.get)
+        assert got[r.doc_id].lang_pred == (best if any(x.isalpha() for x in r.text or "") else "und")
+        if got[r.doc_id].lang_pred != "und":
+            assert abs(got[r.doc_id].score - 1 / sum(exp(p - points[best]) for p in points.values())) < 0.02
+            if got[r.doc_id].held_out and r.lang is not None:
+                right.append(got[r.doc_id].lang_pred == r.lang)
+    assert sum(right) / len(right) > 0.95
+
+
 def test_chain_marginals_equal_enumeration():
     r = np.random.default_rng(0)
     emit, link = r.normal(size=(4, 2)), r.normal(size=(2, 2))
@@ -221,6 +352,36 @@ def test_chain_marginals_equal_enumeration():
     assert np.allclose(good, marginal / total) and np.isclose(z, np.log(total)) and np.isclose(pairs.sum(), 3)
 
 
+def test_quality_score_of_each_document_and_held_out_area(spark):
+    """The score from plain features' marginals, one document at a time; and how well it ranks held-out labels."""
+    import pyarrow as pa
+
+    sf = "/root/testdata/sf0.01"
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    held = {i for i in quality if zlib.crc32(str(i).encode()) % 5 == 0}
+    model = quality_crf.train(d, spark.createDataFrame([(i, q) for i, q in quality.items() if i not in held], "doc_id long, quality int"))
+    got = {r.doc_id: r for r in quality_crf.op4_quality_crf(spark, sf).collect()}
+    for r in d.limit(150).collect():
+        x, n, off = quality_crf.line_features(pa.array([r.text or ""]))
+        assert len(x) == (r.text or "").count("\n") + 1 and list(n) == [len(line.encode()) for line in (r.text or "").split("\n")]
+        emit = np.stack([np.zeros(len(x)), x @ model.weights], 1)
+        alpha = [emit[0]]
+        for t in range(1, len(x)):
+            alpha.append(emit[t] + np.logaddexp(alpha[-1][0] + model.link[0], alpha[-1][1] + model.link[1]))
+        beta = [np.zeros(2)]
+        for t in range(len(x) - 1, 0, -1):
+            v = emit[t] + beta[0]
+            beta.insert(0, np.logaddexp(model.link[:, 0] + v[0], model.link[:, 1] + v[1]))
+        full = np.array(alpha) + np.array(beta)
+        good = 1 / (1 + np.exp(full[:, 0] - full[:, 1]))
+        want = 1 / (1 + np.exp(-(model.curve[0] * (good @ n) / n.sum() + model.curve[1]))) if n.sum() else model.prior
+        assert abs(got[r.doc_id].score - want) < 1e-6 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
+    good, bad = ([got[i].score for i in held if quality[i] == q] for q in (1, 0))
+    assert np.mean([(a > b) + (a == b) / 2 for a in good for b in bad]) > 0.95
+    assert np.mean([s >= 0.3 for s in good]) > 0.95
+
+
 def test_quality_edges(spark):
     d = docs(spark)
     labels = spark.createDataFrame([(k, k % 2 if k < 40 else None, 0) for k in range(50)], "doc_id long, quality int, toxic int")
@@ -239,10 +400,59 @@ def test_compaction(spark, tmp_path):
     assert compaction.compacted(empty(spark), path=str(tmp_path / "e")).snapshot().count() == 0
 
 
+def test_writers_that_race(spark, tmp_path):
+    """A rival commits just before each of a writer's first commits: nothing is lost, and no snapshot shows part of an append."""
+    d = docs(spark)
+    by = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(8))
+    store, rival = (compaction.RunStore(spark, str(tmp_path / "s"), d.schema, retain=50) for _ in range(2))
+    commit, left = store.commit, [3]
+
+    def late(runs, after):
+        if left[0]:
+            left[0] -= 1
+            rival.append(d.limit(1))
+        return commit(runs, after)
+
+    store.commit = late
+    store.append(d, by)
+    n = d.count()
+    assert [store.snapshot(v).count() for v in store.versions()] == [1, 2, 3, 3 + n]
+    left[0] = 2
+    store.compact()
+    assert store.snapshot().count() == 3 + n + 2 and store.snapshot(4).count() == 3 + n
+
+
+def test_a_writer_that_fails_leaves_nothing(spark, tmp_path):
+    d = docs(spark)
+    store = compaction.RunStore(spark, str(tmp_path / "s"), d.schema, tries=2)
+    store.append(d)
+
+    def conflict(runs, after):
+        raise compaction.Conflict(after)
+
+    store.commit = conflict
+    before = sorted((tmp_path / "s" / "runs").iterdir())
+    with pytest.raises(compaction.Conflict):
+        store.append(d)
+    assert sorted((tmp_path / "s" / "runs").iterdir()) == before
+
+
+def test_old_versions_stay_readable_for_a_while(spark, tmp_path):
+    d = docs(spark)
+    store = compaction.RunStore(spark, str(tmp_path / "s"), d.schema, fanout=2, retain=2)
+    for _ in range(2):
+        store.append(d)
+    old = store.snapshot(2)
+    assert store.compact() == 3
+    assert old.count() == store.snapshot(2).count() == store.snapshot().count() == 2 * d.count()
+    store.append(d)
+    store.compact()
+    with pytest.raises(compaction.Gone):
+        store.snapshot(2)
+
+
 def test_mixing_redistributes_to_siblings_first(spark):
     leaves = spark.createDataFrame([("d0", "en", "a", 10), ("d0", "en", "b", 1000), ("d1", "en", "c", 1000)], "domain string, lang string, source string, tokens long")
-    from pyspark.sql import functions as F
-
     got = {r.source: r.budget for r in mixing.leaf_budgets(leaves, F.lit(400.0), {"domain": {"d0": 1, "d1": 1}}, epochs=1).collect()}
     assert got == {"a": 10, "b": 190, "c": 200}
 
