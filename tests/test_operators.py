@@ -60,7 +60,7 @@ def test_links_without_trips_and_unknown_nodes(spark):
 
 def test_whole_queries_keep_every_link(spark):
     sf = "/root/testdata/sf0.01"
-    edges = catalog.queries()["directed_edges_all"](spark, sf).collect()
+    edges = catalog.queries()["directed_edges"](spark, sf).collect()
     assert any(max(r.a, r.b) >= 95 for r in edges)
-    covered = sum(r.links * r.coverage for r in catalog.queries()["length_buckets_all"](spark, sf).collect())
+    covered = sum(r.links * r.coverage for r in catalog.queries()["length_buckets"](spark, sf).collect())
     assert round(covered) == catalog.X.fixes(spark, sf).select("link_id").distinct().count()

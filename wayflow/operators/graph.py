@@ -1,4 +1,4 @@
-"""Kernels, diffusion, chains and what-if surgery on the link graph, all in long form."""
+"""Kernels, diffusion and what-if surgery on the link graph, all in long form."""
 
 from __future__ import annotations
 
@@ -6,11 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wayflow.functions.geo import unit
+
+
+#: Speed and lanes of links that have none.
+DEFAULT_SPEED, DEFAULT_LANES = 11.17, 1.0
+
 
 def weights(links: DataFrame, speed: float, lanes: float) -> DataFrame:
-    """Mean-normalised speed and lanes to given powers."""
-    mean = links.agg(F.avg("speed").alias("ms"), F.avg("lanes").alias("ml"))
-    return links.crossJoin(F.broadcast(mean)).select("link_id", (F.pow(F.col("speed") / F.col("ms"), speed) * F.pow(F.col("lanes") / F.col("ml"), lanes)).alias("w"))
+    """Mean-normalised speed and lanes to given powers; a mean that isn't positive doesn't divide, and absent values have defaults."""
+    known = links.select("link_id", F.coalesce("speed", F.lit(DEFAULT_SPEED)).alias("speed"), F.coalesce("lanes", F.lit(DEFAULT_LANES)).alias("lanes"))
+    guard = lambda c: F.when(F.avg(c) > 0, F.avg(c)).otherwise(1.0)
+    mean = known.agg(guard("speed").alias("ms"), guard("lanes").alias("ml"))
+    return known.crossJoin(F.broadcast(mean)).select("link_id", (F.pow(F.col("speed") / F.col("ms"), speed) * F.pow(F.col("lanes") / F.col("ml"), lanes)).alias("w"))
+
+
+def turns(adjacency: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, dst, turn): cosine of the turn between links (link_id, lat1, lon1, lat2, lon2); 0 where one has no direction."""
+    ux, uy = unit(F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1"))
+    u = links.select("link_id", ux.alias("ux"), uy.alias("uy"))
+    a = adjacency.join(u.toDF("src", "ax", "ay"), "src").join(u.toDF("dst", "bx", "by"), "dst")
+    cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ax") * F.col("bx") + F.col("ay") * F.col("by")))
+    return a.select("src", "dst", F.when(F.col("ax").isNull() | F.col("bx").isNull(), 0.0).otherwise(cos).alias("turn"))
+
+
+def angle_kernel(turned: DataFrame, weight: DataFrame, power: float, delta: float = 0.0, mean: float = 1.0) -> DataFrame:
+    """Transitions by the weight of dst times ((1 + turn + delta) / mean) ** power, at least 0; power 0 leaves turns out."""
+    factor = F.lit(1.0) if power == 0 else F.pow(F.greatest(1.0 + F.col("turn") + delta, F.lit(0.0)) / mean, power)
+    rows = turned.join(weight, turned["dst"] == weight["link_id"]).select("src", "dst", (F.col("w") * factor).alias("w"))
+    return rows.withColumn("p", F.try_divide("w", F.sum("w").over(W.partitionBy("src")))).where("p IS NOT NULL").select("src", "dst", "p")
 
 
 def kernel(adjacency: DataFrame, weight: DataFrame | None = None) -> DataFrame:
@@ -21,9 +45,69 @@ def kernel(adjacency: DataFrame, weight: DataFrame | None = None) -> DataFrame:
     return rows.select("src", "dst", (F.col("w") / F.sum("w").over(W.partitionBy("src"))).alias("p"))
 
 
-def normalize(rows: DataFrame, value: str, by: str = "slot") -> DataFrame:
-    """Divide by the sum of each slot; a slot that sums to nothing keeps zeros."""
-    return rows.withColumn(value, F.coalesce(F.try_divide(F.col(value), F.sum(value).over(W.partitionBy(by))), F.lit(0.0)))
+def normalize(rows: DataFrame, value: str, by: str = "slot", empty: str = "zeros") -> DataFrame:
+    """Divide by the sum of each slot; a slot that sums to nothing keeps zeros, or gets equal shares of its rows (``uniform``)."""
+    w = W.partitionBy(by)
+    nothing = 1.0 / F.count("*").over(w) if empty == "uniform" else F.lit(0.0)
+    return rows.withColumn(value, F.coalesce(F.try_divide(F.col(value), F.sum(value).over(w)), nothing))
+
+
+def smoothed(counts: DataFrame, links: DataFrame, uniform: DataFrame, alpha: float = 0.01, gamma: float = 0.20) -> DataFrame:
+    """The diffused prior without a dense table: (slot, link_id, p) where counts or their successors are, and ``rest`` elsewhere.
+
+    P (c + alpha) = P c + alpha for links with successors, so only the sparse counts move, and every other link of the slot has one
+    of two constants.  Rows have p, the slot's total, and the constants of links with and without successors (p_link, p_dead).
+    """
+    out = uniform.select(F.col("src").alias("link_id")).distinct()
+    sizes = links.select("link_id").join(out.withColumn("alive", F.lit(1)), "link_id", "left").agg(F.count("*").alias("n"), F.count("alive").alias("alive"))
+    pulled = counts.join(uniform, counts["link_id"] == uniform["dst"]).groupBy("slot", F.col("src").alias("link_id")).agg(F.sum(F.col("p") * F.col("c")).alias("m"))
+    rows = counts.select("slot", "link_id", "c").join(pulled, ["slot", "link_id"], "full").join(out.withColumn("alive", F.lit(1)), "link_id", "left")
+    rows = rows.withColumn("s", (1 - gamma) * F.coalesce("c", F.lit(0.0)) + gamma * F.coalesce("m", F.lit(0.0)))
+    constant = F.when(F.col("alive") == 1, alpha).otherwise((1 - gamma) * alpha)
+    total = F.sum("s").over(W.partitionBy("slot")) + alpha * F.col("n_alive") + (1 - gamma) * alpha * (F.col("n") - F.col("n_alive"))
+    rows = rows.crossJoin(F.broadcast(sizes.withColumnRenamed("alive", "n_alive"))).withColumn("total", total)
+    return rows.select("slot", "link_id", ((F.col("s") + constant) / F.col("total")).alias("p"), (alpha / F.col("total")).alias("p_link"), ((1 - gamma) * alpha / F.col("total")).alias("p_dead"))
+
+
+def project(counts: DataFrame, links: DataFrame, assign: bool = False) -> DataFrame:
+    """Counts (slot, link_id, c) of links of the graph; other ids go.  Repeated cells are summed, or the largest stands (``assign``)."""
+    known = counts.join(links.select("link_id"), "link_id", "left_semi")
+    return known.groupBy("slot", "link_id").agg((F.max("c") if assign else F.sum("c")).alias("c"))
+
+
+def at_slots(counts: DataFrame, slots: DataFrame) -> DataFrame:
+    """Counts at given slots; a slot without any has one row without a link and with 0, so that it isn't lost."""
+    return slots.select("slot").distinct().join(counts, "slot", "left").select("slot", "link_id", F.coalesce("c", F.lit(0.0)).alias("c"))
+
+
+def between(shares: DataFrame, first, last) -> DataFrame:
+    """Slots from ``first`` to ``last``, both included, normalised."""
+    return normalize(shares.where(F.col("slot").between(first, last)), "c")
+
+
+def axis(rows: DataFrame, column: str = "link_id") -> DataFrame:
+    """Distinct values with their index in order; one window over the distinct values alone, for vectors that need positions."""
+    return rows.select(column).distinct().withColumn("idx", F.row_number().over(W.orderBy(column)) - 1)
+
+
+def next_week(rows: DataFrame, value: str, week: int, name: str = "q") -> DataFrame:
+    """``value`` of a week later, at this week's slot; ``week`` is its length in units of slot."""
+    return rows.select((F.col("slot") - week).alias("slot"), "link_id", F.col(value).alias(name))
+
+
+def in_box(links: DataFrame, south: float, north: float, west: float | None = None, east: float | None = None, along: str | None = None, upward: bool = False, least_speed: float | None = None) -> DataFrame:
+    """Links (lat1, lon1, lat2, lon2, speed) whose middle is in the box; ``along`` keeps those that run mostly "lat" or "lon" by 1.5 to 1."""
+    dx, dy = F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1")
+    cond = ((F.col("lat1") + F.col("lat2")) / 2).between(south, north)
+    if west is not None:
+        cond &= ((F.col("lon1") + F.col("lon2")) / 2).between(west, east)
+    if along:
+        cond &= F.abs(dy) > 1.5 * F.abs(dx) if along == "lat" else F.abs(dx) > 1.5 * F.abs(dy)
+    if upward:
+        cond &= dy > 0
+    if least_speed is not None:
+        cond &= F.col("speed") >= least_speed
+    return links.where(cond)
 
 
 def laplace(counts: DataFrame, links: DataFrame, alpha: float = 0.01) -> DataFrame:
@@ -39,46 +123,6 @@ def diffuse(dense: DataFrame, uniform: DataFrame, gamma: float = 0.20) -> DataFr
     return normalize(rows, "p")
 
 
-def _push(state: DataFrame, k: DataFrame, value: str) -> DataFrame:
-    return state.join(k, state["link_id"] == k["src"]).groupBy("slot", F.col("dst").alias("link_id")).agg(F.sum(F.col("p") * F.col(value)).alias("in_" + value))
-
-
-def single_phase(prior: DataFrame, k: DataFrame, alpha: float = 0.0508, steps: int = 3, to_prior: bool = False) -> DataFrame:
-    """Steps of v = alpha E + (1 - alpha) P v, normalised; links without successors leak their mass or give it to the prior."""
-    base = prior.select("slot", "link_id", F.col("p").alias("e"))
-    v = base.withColumn("v", F.col("e"))
-    alive = k.select(F.col("src").alias("link_id")).distinct().withColumn("out", F.lit(True))
-    for _ in range(steps):
-        moved = v.select("slot", "link_id", "v").join(alive, "link_id", "left")
-        lost = moved.groupBy("slot").agg(F.sum(F.when(F.col("out").isNull(), F.col("v")).otherwise(0.0)).alias("lost"))
-        v = base.join(_push(v.select("slot", "link_id", "v"), k, "v"), ["slot", "link_id"], "left").join(lost, "slot")
-        v = v.select("slot", "link_id", "e", (alpha * F.col("e") + (1 - alpha) * (F.coalesce("in_v", F.lit(0.0)) + (F.col("lost") * F.col("e") if to_prior else 0.0))).alias("v"))
-        v = normalize(v, "v").checkpoint()
-    return v.select("slot", "link_id", "v")
-
-
-def two_phase(prior: DataFrame, up: DataFrame, down: DataFrame, beta: float = 0.102, rho: float = 0.101, steps: int = 3) -> DataFrame:
-    """Steps of up = (1 - beta) P_up up + rho E sum(down), down = beta up + (1 - rho) P_down down, normalised jointly; v is their sum."""
-    base = prior.select("slot", "link_id", F.col("p").alias("e"))
-    s = base.withColumns({"u": F.col("e"), "d": F.lit(0.0)})
-    for _ in range(steps):
-        back = s.groupBy("slot").agg(F.sum("d").alias("back"))
-        now = s.select("slot", "link_id", "e", "u", "d").join(_push(s.select("slot", "link_id", "u"), up, "u"), ["slot", "link_id"], "left").join(_push(s.select("slot", "link_id", "d"), down, "d"), ["slot", "link_id"], "left").join(back, "slot")
-        s = now.select("slot", "link_id", "e", ((1 - beta) * F.coalesce("in_u", F.lit(0.0)) + rho * F.col("e") * F.col("back")).alias("u"), (beta * F.col("u") + (1 - rho) * F.coalesce("in_d", F.lit(0.0))).alias("d"))
-        total = F.sum(F.col("u") + F.col("d")).over(W.partitionBy("slot"))
-        s = s.select("slot", "link_id", "e", (F.col("u") / total).alias("u"), (F.col("d") / total).alias("d")).checkpoint()
-    return s.select("slot", "link_id", (F.col("u") + F.col("d")).alias("v"))
-
-
-def damped(prior: DataFrame, k: DataFrame, damping: float = 0.8, steps: int = 3) -> DataFrame:
-    """Steps of v = d P v + (1 - d) E without normalisation."""
-    base = prior.select("slot", "link_id", F.col("p").alias("e"))
-    v = base.withColumn("v", F.col("e"))
-    for _ in range(steps):
-        v = base.join(_push(v.select("slot", "link_id", "v"), k, "v"), ["slot", "link_id"], "left").select("slot", "link_id", "e", (damping * F.coalesce("in_v", F.lit(0.0)) + (1 - damping) * F.col("e")).alias("v")).checkpoint()
-    return v.select("slot", "link_id", "v")
-
-
 def close_links(adjacency: DataFrame, closed: DataFrame) -> DataFrame:
     """Edges with neither end closed."""
     c = closed.select("link_id")

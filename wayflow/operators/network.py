@@ -25,6 +25,67 @@ def measure_residuals(fixes: DataFrame, segments: DataFrame, key: list[str]) ->
     return fixes.join(segments, "link_id").groupBy(*key).agg(F.min(point_segment(px, py, ax, ay, bx, by)).alias("d"))
 
 
+def subedge_segments(subedges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Segments (link_id, lat1, lon1, lat2, lon2) of sub-edges (a, b, link_id) between known nodes (id, lat, lon)."""
+    end = lambda k, n: nodes.select(F.col("id").alias(n), F.col("lat").alias(f"lat{k}"), F.col("lon").alias(f"lon{k}"))
+    return subedges.join(end(1, "a"), "a").join(end(2, "b"), "b").select("link_id", "lat1", "lon1", "lat2", "lon2")
+
+
+def trip_residuals(fixes: DataFrame, pings: DataFrame, segments: DataFrame, min_links: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Distances of matched fixes (route_id, fix_idx, link_id, t) from their links, and how many fixes could not be measured.
+
+    A fix stands where its trip's ping (route_id, sec, lat, lon, seq) of the same second is; of several the last one counts.  Trips
+    with fewer than ``min_links`` distinct links, and those without pings, are left out; the counters are fixes on links without
+    segments, and others without a ping.
+    """
+    enough = fixes.groupBy("route_id").agg(F.count_distinct("link_id").alias("n")).where(F.col("n") >= min_links).select("route_id")
+    last = pings.groupBy("route_id", "sec").agg(F.max_by(F.struct("lat", "lon"), "seq").alias("at"))
+    asked = fixes.join(enough, "route_id", "left_semi").join(last.select("route_id").distinct(), "route_id", "left_semi").withColumn("sec", F.bround("t").cast("long"))
+    shapes = segments.select("link_id").distinct().withColumn("shape", F.lit(True))
+    placed = asked.join(shapes, "link_id", "left").join(last, ["route_id", "sec"], "left")
+    skipped = placed.agg(F.count_if(F.col("shape").isNull()).alias("no_shape"), F.count_if(F.col("shape") & F.col("at").isNull()).alias("no_ping"))
+    good = placed.where("shape AND at IS NOT NULL").select("route_id", "fix_idx", "link_id", "at.lat", "at.lon")
+    return measure_residuals(good, segments, ["route_id", "fix_idx"]), skipped
+
+
+def walk_chains(edges: DataFrame, ends: DataFrame, links: DataFrame, max_steps: int = 1000) -> DataFrame:
+    """(a, b, link_id): the sub-edges of directed ``edges`` (a, b) that make up each link (link_id, u, v) between two end nodes (id).
+
+    From an end node every out-edge is followed while its head is no end and has exactly one way on other than back; walks back to
+    their start and walks of more than ``max_steps`` are given up.  A sub-edge on several links goes to the smallest id.
+    """
+    e = edges.select("a", "b").distinct()
+    inner = e.join(ends.select(F.col("id").alias("b")), "b", "left_anti")
+    on = inner.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").where("c != a").groupBy("a", "b").agg(F.min("c").alias("c"), F.count("*").alias("ways")).where("ways = 1").select("a", "b", "c").checkpoint()
+    stop = ends.select(F.col("id").alias("b"), F.lit(True).alias("end"))
+    front = e.join(ends.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("a").alias("start"), F.col("b").alias("first"), "a", "b").checkpoint()
+    steps = [front]
+    for _ in range(max_steps):
+        front = front.join(on, ["a", "b"]).select("start", "first", F.col("b").alias("a"), F.col("c").alias("b")).checkpoint()
+        if front.isEmpty():
+            break
+        steps.append(front)
+    walked = steps[0]
+    for s in steps[1:]:
+        walked = walked.unionByName(s)
+    done = walked.join(stop, "b").where("b != start").select("start", "first", F.col("b").alias("last"))
+    named = done.join(links.select(F.col("u").alias("start"), F.col("v").alias("last"), "link_id"), ["start", "last"]).groupBy("start", "first").agg(F.min("link_id").alias("link_id"))
+    return walked.join(named, ["start", "first"]).groupBy("a", "b").agg(F.min("link_id").alias("link_id"))
+
+
+def compare_buckets(links: DataFrame, before: DataFrame, after: DataFrame, at: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8, 0.99, 1.0)) -> DataFrame:
+    """``length_buckets`` of two counts side by side: gain in coverage, and how many times more trips a link has."""
+    one, two = (length_buckets(links, c, at).select("bucket", "links", F.col("coverage").alias(f"coverage{k}"), F.col("mean_trips").alias(f"trips{k}")) for k, c in ((1, before), (2, after)))
+    return one.join(two.drop("links"), "bucket").withColumns({"delta": F.col("coverage2") - F.col("coverage1"), "ratio": F.try_divide("trips2", "trips1")})
+
+
+def coverage_gain(links: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Links with a trip in each of two counts (link_id, n), of how many, and those that only the second has."""
+    has = lambda c, name: c.where("n > 0").select("link_id", F.lit(1).alias(name))
+    both = links.select("link_id").join(has(before, "one"), "link_id", "left").join(has(after, "two"), "link_id", "left")
+    return both.agg(F.count("*").alias("links"), F.count("one").alias("covered1"), F.count("two").alias("covered2"), F.count_if(F.col("one").isNull() & F.col("two").isNotNull()).alias("extra"))
+
+
 def length_buckets(links: DataFrame, counts: DataFrame, at: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8, 0.99, 1.0)) -> DataFrame:
     """Links (link_id, length) by the first quantile that their length doesn't pass: number, share with trips, mean trips (link_id, n)."""
     edges = links.agg(F.percentile("length", F.array(*map(F.lit, at))).alias("edges"))
@@ -34,6 +95,11 @@ def length_buckets(links: DataFrame, counts: DataFrame, at: tuple[float, ...] =
     return rows.groupBy(first.cast("long").alias("bucket")).agg(F.count("*").alias("links"), F.avg((trips > 0).cast("double")).alias("coverage"), F.avg(trips.cast("double")).alias("mean_trips"))
 
 
+def trips_per_link(fixes: DataFrame) -> DataFrame:
+    """(link_id, n): distinct trips of each link."""
+    return fixes.groupBy("link_id").agg(F.count_distinct("route_id").alias("n"))
+
+
 def noise_bands(cells: DataFrame, floor: float) -> DataFrame:
     """Cells (mean, std) as EMPTY, SUBNOISE, MIXED or SIGNAL against a noise floor."""
     std = F.col("std")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wayflow.functions import geo
-from wayflow.operators import graph, network, stats, trips
+from wayflow.operators import chain, graph, network, stats, trips
 from wayflow.sources import fixtures as X
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -23,7 +23,7 @@ def _query(sql: str, *inputs: str):
 
     def put(f):
         _Q[f.__name__] = f
-        _S[f.__name__] = ("WITH " + ", ".join(X.SQL[i] for i in inputs) + " " if inputs else "") + sql
+        _S[f.__name__] = ("WITH RECURSIVE " + ", ".join(X.SQL[i] for i in inputs) + " " if inputs else "") + sql
         return f
 
     return put
@@ -51,9 +51,13 @@ def _weighted(s: SparkSession, speed: float = 1.7513, lanes: float = 0.4358) ->
 
 
 def _checkpointed(s: SparkSession) -> None:
-    """A checkpoint folder: the session's own, another only where none is set."""
-    if s.sparkContext.getCheckpointDir() is None:
-        s.sparkContext.setCheckpointDir(s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+    """A checkpoint folder: the session's own, another only where none is set and all runs on this machine."""
+    context = s.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if shared is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp())
 
 
 def _v(df: DataFrame) -> DataFrame:
@@ -75,7 +79,10 @@ def haversine(s, d):
     return p.select("seq", _r(geo.haversine(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon")), 1, 3).alias("metres"))
 
 
-@_query(f"SELECT did, seq FROM far WHERE du IS NULL OR du < 0 OR (du > 0 AND {_DIST} / (du / CAST(1e6 AS DOUBLE)) >= 2) OR (du = 0 AND {_DIST} >= 1)", "pings", "far")
+X.SQL["arrived"] = _LAG.replace("ORDER BY us, seq", "ORDER BY seq")
+
+
+@_query(f"SELECT did, seq FROM far WHERE du IS NULL OR du < 0 OR (du > 0 AND {_DIST} / (du / CAST(1e6 AS DOUBLE)) >= 2) OR (du = 0 AND {_DIST} >= 1)", "pings", "arrived")
 def speed_filter(s, d):
     return trips.speed_filter(X.pings(s, d)).select("did", "seq")
 
@@ -151,12 +158,7 @@ def kernel_weighted(s, d):
 
 @_query("SELECT a.src, a.dst, round(coalesce(greatest(-1, least(1, ((l1.lon2 - l1.lon1) * (l2.lon2 - l2.lon1) + (l1.lat2 - l1.lat1) * (l2.lat2 - l2.lat1)) / nullif(sqrt((l1.lon2 - l1.lon1) ** 2 + (l1.lat2 - l1.lat1) ** 2) * sqrt((l2.lon2 - l2.lon1) ** 2 + (l2.lat2 - l2.lat1) ** 2), 0))), 0), 6) + 0 AS turn FROM adjacency a JOIN links l1 ON a.src = l1.link_id JOIN links l2 ON a.dst = l2.link_id", "links", "adjacency")
 def turn_cosine(s, d):
-    ux, uy = geo.unit(F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1"))
-    u = X.links(s).select("link_id", ux.alias("ux"), uy.alias("uy"))
-    a = X.adjacency(s).join(u.toDF("src", "ax", "ay"), "src").join(u.toDF("dst", "bx", "by"), "dst")
-    cos = F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ax") * F.col("bx") + F.col("ay") * F.col("by"))), F.lit(0.0))
-    turn = F.when(F.col("ax").isNull() | F.col("bx").isNull(), 0.0).otherwise(cos)
-    return a.select("src", "dst", (F.round(turn, 6) + 0.0).alias("turn"))
+    return graph.turns(X.adjacency(s), X.links(s)).select("src", "dst", (F.round("turn", 6) + 0.0).alias("turn"))
 
 
 def _steps(n: int, body) -> str:
@@ -173,16 +175,20 @@ def _sp(route: bool) -> str:
 X.SQL |= {"sp": _sp(False), "spd": _sp(True)}
 
 
-@_query(f"SELECT slot, link_id, {_sr('v')} AS v_ppm FROM s3", *_CHAIN, "sp")
-def sp_chain(s, d):
+def _fixed(s, d, model: chain.Model, *kernels: DataFrame, steps: int = 3) -> DataFrame:
+    """A fixed number of steps: no change is below a tolerance of 0."""
     _checkpointed(s)
-    return _v(graph.single_phase(_prior(s, d), _weighted(s)))
+    return chain.stationary(_prior(s, d), list(kernels) or [_weighted(s)], model, tol=0.0, max_iter=steps).select("slot", "link_id", "v")
+
+
+@_query(f"SELECT slot, link_id, {_sr('v')} AS v_ppm FROM s3", *_CHAIN, "sp")
+def sp_chain_k(s, d):
+    return _v(_fixed(s, d, chain.Model()))
 
 
 @_query(f"SELECT slot, link_id, {_sr('v')} AS v_ppm FROM s3", *_CHAIN, "spd")
-def sp_chain_dangling(s, d):
-    _checkpointed(s)
-    return _v(graph.single_phase(_prior(s, d), _weighted(s), to_prior=True))
+def sp_chain_dangling_k(s, d):
+    return _v(_fixed(s, d, chain.Model(to_prior=True)))
 
 
 X.SQL["tp"] = "s0 AS (SELECT slot, link_id, p AS u, CAST(0 AS DOUBLE) AS d FROM prior), " + _steps(3, lambda k: (
@@ -192,26 +198,21 @@ X.SQL["tp"] = "s0 AS (SELECT slot, link_id, p AS u, CAST(0 AS DOUBLE) AS d FROM
 
 
 @_query(f"SELECT slot, link_id, {_sr('u + d')} AS v_ppm FROM s3", *_CHAIN, "tp")
-def tp_chain(s, d):
-    _checkpointed(s)
-    k = _weighted(s)
-    return _v(graph.two_phase(_prior(s, d), k, k))
+def tp_chain_k(s, d):
+    return _v(_fixed(s, d, chain.Model("two")))
 
 
 X.SQL["damp"] = "s0 AS (SELECT slot, link_id, p AS v FROM prior), " + _steps(3, lambda k: f"m{k} AS (SELECT slot, dst AS link_id, sum(v * k.p) AS v FROM s{k - 1} JOIN kernel k ON link_id = src GROUP BY ALL), s{k} AS (SELECT p.slot, p.link_id, CAST(0.8 AS DOUBLE) * coalesce(m.v, 0) + (1 - CAST(0.8 AS DOUBLE)) * p.p AS v FROM prior p LEFT JOIN m{k} m ON m.slot = p.slot AND m.link_id = p.link_id)")
 
 
 @_query(f"SELECT slot, link_id, {_sr('v')} AS v_ppm FROM s3", *_CHAIN, "damp")
-def pagerank_damped(s, d):
-    _checkpointed(s)
-    return _v(graph.damped(_prior(s, d), _weighted(s)))
+def pagerank_damped_k(s, d):
+    return _v(_fixed(s, d, chain.Model("damped")))
 
 
 @_query(f"SELECT s3.slot, round(avg(abs(p - v) / (p + CAST(1e-6 AS DOUBLE))), 6) AS mre FROM s3 JOIN prior USING (slot, link_id) GROUP BY s3.slot", *_CHAIN, "sp")
-def mre_by_slot(s, d):
-    _checkpointed(s)
-    p = _prior(s, d)
-    return stats.relative_error(graph.single_phase(p, _weighted(s)), p).select("slot", F.round("mre", 6).alias("mre"))
+def mre_by_slot_k(s, d):
+    return stats.relative_error(_fixed(s, d, chain.Model()), _prior(s, d)).select("slot", F.round("mre", 6).alias("mre"))
 
 
 @_query(f"SELECT src, dst, {_sr('w / sum(w) OVER (PARTITION BY src)')} AS p_ppm FROM adjacency JOIN weights ON dst = link_id WHERE src NOT IN (3, 50) AND dst NOT IN (3, 50)", "links", "adjacency", "weights")
@@ -297,7 +298,7 @@ def crossweek_std(s, d):
 
 @_query("SELECT slot, 100 - count(*) AS zero_links FROM counts GROUP BY slot", "pings", "counts")
 def zero_fraction(s, d):
-    return _counts(s, d).groupBy("slot").agg((100 - F.count("*")).alias("zero_links"))
+    return stats.zero_cells(_counts(s, d).withColumnRenamed("c", "p"), 100).select("slot", "zero_links")
 
 
 @_query(f"SELECT slot, link_id, {_sr('p')} AS p_ppm FROM prior QUALIFY row_number() OVER (PARTITION BY slot ORDER BY round(p * CAST(1e9 AS DOUBLE)) DESC, link_id) <= 10", *_PRIOR)
@@ -315,7 +316,7 @@ def temporal_split(s, d):
 
 @_query("SELECT link_id FROM links WHERE (lat1 + lat2) / 2 BETWEEN 40.715 AND 40.755 AND abs(lat2 - lat1) > 1.5 * abs(lon2 - lon1) AND lat2 > lat1 AND speed >= 31", "links")
 def bbox_links(s, d):
-    return X.links(s).where("(lat1 + lat2) / 2 BETWEEN 40.715 AND 40.755 AND abs(lat2 - lat1) > 1.5 * abs(lon2 - lon1) AND lat2 > lat1 AND speed >= 31").select("link_id")
+    return graph.in_box(X.links(s), 40.715, 40.755, along="lat", upward=True, least_speed=31).select("link_id")
 
 
 _RUNS = ((1.0, 2.195), (1.75, 2.767), (3.0, 3.150), (3.5, 3.223), (3.75, 3.247), (4.0, 3.264), (5.0, 3.308))
@@ -344,14 +345,8 @@ def _ways(s, d):
     return way.select(F.col("route_id").alias("way_id"), F.col("f.link_id").alias("nodes"), kind.alias("oneway"))
 
 
-@_query("SELECT DISTINCT a, b FROM (SELECT CASE WHEN route_id % 3 = 0 THEN b ELSE a END AS a, CASE WHEN route_id % 3 = 0 THEN a ELSE b END AS b FROM steps UNION ALL SELECT b, a FROM steps WHERE route_id % 3 = 2) WHERE a <> b AND a < 95 AND b < 95", "fixes", "steps")
-def directed_edges(s, d):
-    return network.directed_edges(_ways(s, d), s.range(95))
-
-
 @_query("SELECT DISTINCT a, b FROM (SELECT CASE WHEN route_id % 3 = 0 THEN b ELSE a END AS a, CASE WHEN route_id % 3 = 0 THEN a ELSE b END AS b FROM steps UNION ALL SELECT b, a FROM steps WHERE route_id % 3 = 2) WHERE a <> b AND a IN (SELECT link_id FROM links) AND b IN (SELECT link_id FROM links)", "links", "fixes", "steps")
-def directed_edges_all(s, d):
-    """Over all nodes; ``directed_edges`` keeps those of its SQL, below 95."""
+def directed_edges(s, d):
     return network.directed_edges(_ways(s, d), X.links(s).select(F.col("link_id").alias("id")))
 
 
@@ -360,16 +355,8 @@ def residual_measure(s, d):
     return network.measure_residuals(X.pings(s, d), X.links(s), ["seq"]).select("seq", F.round("d", 3).alias("d"))
 
 
-@_query("SELECT len(list_filter(e, lambda x: x < length)) AS bucket, count(*) AS links, round(avg(CAST(coalesce(n, 0) > 0 AS INT)), 9) AS coverage, round(avg(coalesce(n, 0)), 9) AS mean_trips FROM sized LEFT JOIN (SELECT link_id, count(DISTINCT route_id) AS n FROM fixes WHERE link_id % 9 <> 0 GROUP BY ALL) USING (link_id), (SELECT quantile_cont(length, [0.2, 0.4, 0.6, 0.8, 0.99, 1.0]) AS e FROM sized) GROUP BY ALL", "links", "fixes", "sized")
-def length_buckets(s, d):
-    sized = X.links(s).select("link_id", (F.col("speed") * F.col("lanes") + F.col("link_id") * 0.5).alias("length"))
-    counts = X.fixes(s, d).where("link_id % 9 != 0").groupBy("link_id").agg(F.count_distinct("route_id").alias("n"))
-    return network.length_buckets(sized, counts).select("bucket", "links", F.round("coverage", 9).alias("coverage"), F.round("mean_trips", 9).alias("mean_trips"))
-
-
 @_query("SELECT len(list_filter(e, lambda x: x < length)) AS bucket, count(*) AS links, round(avg(CAST(coalesce(n, 0) > 0 AS INT)), 9) AS coverage, round(avg(coalesce(n, 0)), 9) AS mean_trips FROM sized LEFT JOIN (SELECT link_id, count(DISTINCT route_id) AS n FROM fixes GROUP BY ALL) USING (link_id), (SELECT quantile_cont(length, [0.2, 0.4, 0.6, 0.8, 0.99, 1.0]) AS e FROM sized) GROUP BY ALL", "links", "fixes", "sized")
-def length_buckets_all(s, d):
-    """Over all fixes; ``length_buckets`` leaves out those that its SQL leaves out."""
+def length_buckets(s, d):
     sized = X.links(s).select("link_id", (F.col("speed") * F.col("lanes") + F.col("link_id") * 0.5).alias("length"))
     counts = X.fixes(s, d).groupBy("link_id").agg(F.count_distinct("route_id").alias("n"))
     return network.length_buckets(sized, counts).select("bucket", "links", F.round("coverage", 9).alias("coverage"), F.round("mean_trips", 9).alias("mean_trips"))
@@ -402,8 +389,12 @@ def psi_sweep(s, d):
 
 
 def queries() -> dict:
+    from wayflow.plans import studies  # noqa: F401  registers its own
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from wayflow.plans import studies  # noqa: F401
+
     return dict(_S)
