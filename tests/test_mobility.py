@@ -44,7 +44,17 @@ def prior(spark):
 @pytest.mark.parametrize("model", [chain.Model(), chain.Model(to_prior=True), chain.Model("two"), chain.Model("two", to_prior=True), chain.Model("damped")])
 def test_chain_forms_agree_with_a_dense_solution(spark, model):
     ks = [kernel(spark, 1), kernel(spark, 2)] if model.kind == "two" else [kernel(spark, 1)]
-    mats, p, tol = [dense(k) for k in ks], prior(spark), 1e-6
+    mats, p = [dense(k) for k in ks], prior(spark)
+    for form, tol in ((chain.vector, 1e-7), (chain.relational, 0.15)):  # a step of the relational form is some jobs
+        want = solved(p, mats, model, tol)
+        assert model != chain.Model() or form is chain.relational or len({s for _, s in want.values()}) > 1  # slots stop one by one
+        got = {(r.slot, r.link_id): (r.v, r.steps) for r in form(p, ks, model, tol, 200).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+
+
+def solved(p, mats, model, tol):
+    """Every slot by itself with dense matrices: v and the steps taken."""
     want = {}
     for slot in range(4):
         e = np.array([r.p for r in sorted(p.where(F.col("slot") == slot).collect(), key=lambda r: r.link_id)])
@@ -65,16 +75,12 @@ def test_chain_forms_agree_with_a_dense_solution(spark, model):
                 steps = k
                 break
         want |= {(slot, k): (v, steps) for k, v in enumerate(u + d)}
-    assert len({s for _, s in want.values()}) > 1  # slots stop one by one
-    for form in (chain.vector, chain.relational):
-        got = {(r.slot, r.link_id): (r.v, r.steps) for r in form(p, ks, model, tol, 200).collect()}
-        assert got.keys() == want.keys()
-        assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+    return want
 
 
 def test_stationary_goes_on_when_the_kernel_is_large(spark):
     p, k = prior(spark), kernel(spark, 1)
-    a, b = ({(r.slot, r.link_id): r.v for r in chain.stationary(p, [k], max_edges=m).collect()} for m in (100, 1))
+    a, b = ({(r.slot, r.link_id): r.v for r in chain.stationary(p, [k], tol=0.05, max_edges=m).collect()} for m in (100, 1))
     assert a.keys() == b.keys() and all(abs(a[x] - b[x]) < 1e-12 for x in a)
     assert chain.stationary(p.limit(0), [k]).count() == 0
 
