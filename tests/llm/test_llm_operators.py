@@ -109,7 +109,7 @@ def test_ngram_join(spark, n, percent):
     assert ngram_join.ngram_join(empty(spark)).count() == 0
 
 
-def test_counts_bound_the_overlap():
+def test_parities_bound_the_overlap():
     r = np.random.default_rng(2)
     for size in (1, 40, 127, 128, 500, 3000):
         a = r.integers(0, 1 << 63, size, np.uint64)
@@ -117,7 +117,7 @@ def test_counts_bound_the_overlap():
         for keep in (0.5, 0.9, 1.0):
             b = np.unique(np.concatenate([a[: int(size * keep)], r.integers(0, 1 << 63, max(1, size // 5), np.uint64)]))
             sets = [np.unique(a), b]
-            c = ngram_join.Counts([ngram_join.bucket_counts(x) for x in sets], np.array([len(x) for x in sets]))
+            c = ngram_join.Parities([ngram_join.parities(x) for x in sets], np.array([len(x) for x in sets]))
             assert c.bound(np.array([0]), 1)[0] >= len(np.intersect1d(*sets))
 
 

@@ -8,8 +8,8 @@ of its own, so rows that share an id but not a text stay apart.
 2.  For ``percent`` p, two sets that link share one of the first n - ceil(p n / 100) + 1 tokens of each under any order of
     all tokens; the order here is by a broadcast sketch of fixed size (rough document frequency, frequent last), then by
     hash.  A token whose holders all have one label needs no more work; tokens with the same holders count once.
-3.  What is left meets in blocks of a token and a range of sizes, where a hashed token-group matrix (counts of tokens in about as
-    many buckets as a set has tokens, their maxima over subgroups of 32) bounds the overlap of sets with different labels.
+3.  What is left meets in blocks of a token and a range of sizes, where parity bits of hashed tokens, about as many as a set has
+    tokens, bound the overlap of sets with different labels; sets that may link form groups of similar documents.
 4.  Sets that the bounds can't rule out meet in cells.  There the token-group matrix works on subgroups of 32: it stores each
     subgroup's token union, bounds a query's overlap with every subgroup, and opens only those where the bound reaches p
     percent of the query's set.
@@ -80,7 +80,6 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
     return np.clip(np.log2(np.maximum(count, 1) / max(count.mean(), 1)), 0, 60).astype(np.uint8)
 
 
-GROUP = 32
 #: Digests whose prefix a scan task remembers to have sent; more are sent again, which changes nothing.
 SENT = 100_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -91,12 +90,10 @@ def size_class(n: int) -> int:
     return max(int(n).bit_length() - 1, 6)
 
 
-def bucket_counts(tokens: np.ndarray) -> bytes:
-    """Counts of tokens in 2**class buckets, as bytes; what goes beyond 255 is summed in four more bytes."""
-    many = 1 << size_class(len(tokens))
-    count = np.bincount((tokens % np.uint64(many)).astype(np.int64), minlength=many)
-    low = np.minimum(count, 255)
-    return low.astype(np.uint8).tobytes() + int((count - low).sum()).to_bytes(4, "little")
+def parities(tokens: np.ndarray) -> bytes:
+    """Whether the tokens in each of 2 * 2**class hashed buckets are odd in number, a bit each."""
+    many = 2 << size_class(len(tokens))
+    return np.packbits(np.bincount((tokens % np.uint64(many)).astype(np.int64), minlength=many).astype(np.uint8) & 1).tobytes()
 
 
 def digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -104,11 +101,11 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(tokens ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)) for salt in (0, 0xA5A5A5A5A5A5A5A5))
 
 
-SIGNATURE = "doc_id long, text_hash long, n long, lo long, hi long, mins array<long>, cut int, prefix array<long>, counts binary"
+SIGNATURE = "doc_id long, text_hash long, n long, lo long, hi long, mins array<long>, cut int, prefix array<long>, bits binary"
 
 
 def signatures(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, digest of the set; and once a task and set: min-hashes, prefix tokens, of which the first ``cut`` are not frequent, counts of tokens in hashed buckets."""
+    """doc_id, n, digest of the set; and once a task and set: min-hashes, prefix tokens, of which the first ``cut`` are not frequent, parity bits."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,14 +113,14 @@ def signatures(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> Dat
         for b in slices(batches, most=SLICE):
             tokens, off = shingle_sets(b.column("text"), n)
             level = shared.value[_bucket(tokens)]
-            lo, hi, mins, cut, prefix, counts = [], [], [], [], [], []
+            lo, hi, mins, cut, prefix, bits = [], [], [], [], [], []
             for a, z in zip(off, off[1:], strict=False):
                 t, rank = tokens[a:z], level[a:z]
                 name = digest(t)
                 lo.append(name[0])
                 hi.append(name[1])
                 if not len(t) or name in sent:
-                    for column in (mins, cut, prefix, counts):
+                    for column in (mins, cut, prefix, bits):
                         column.append(None)
                     continue
                 if len(sent) >= SENT:
@@ -135,9 +132,9 @@ def signatures(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> Dat
                 cut.append(int((rank[first] == 0).sum()))
                 rare = t[rank == 0] if cut[-1] else t
                 mins.append((rare[:, None] * _ODD).min(0).view(np.int64).tolist())
-                counts.append(bucket_counts(t))
+                bits.append(parities(t))
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), pa.array(np.diff(off)), *(pa.array(c, k) for c, k in zip((lo, hi, mins, cut, prefix, counts), kinds, strict=True))], names=["doc_id", "text_hash", "n", "lo", "hi", "mins", "cut", "prefix", "counts"])
+            yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), pa.array(np.diff(off)), *(pa.array(c, k) for c, k in zip((lo, hi, mins, cut, prefix, bits), kinds, strict=True))], names=["doc_id", "text_hash", "n", "lo", "hi", "mins", "cut", "prefix", "bits"])
 
     return docs.mapInArrow(tidied(run), SIGNATURE)
 
@@ -180,22 +177,20 @@ def askers(label: np.ndarray) -> np.ndarray:
     return np.flatnonzero(code != count.argmax())
 
 
-class Counts:
-    """The bucket counts of sets of one class, and of those below that can link, at the width of the smallest.
+class Parities:
+    """Parity bits of sets of one class, and of those below that can link, at the width of the smallest.
 
-    The overlap of two sets is at most the sum of the smaller count of each bucket, and of the smaller rest beyond a byte.
+    Each bit that differs needs a token that only one of two sets has, so their overlap is at most (n + n' - differing bits) / 2.
     """
 
     def __init__(self, raw: list[bytes], n: np.ndarray):
-        width = min(map(len, raw)) - 4
+        width = min(map(len, raw))
         self.n = n
-        self.rest = np.array([int.from_bytes(x[-4:], "little") for x in raw])
-        rows = [np.frombuffer(x, np.uint8, len(x) - 4).reshape(-1, width) for x in raw]
-        folded = np.stack([r[0] if len(r) == 1 else r.sum(0, dtype=np.uint16) for r in rows])
-        self.counts = folded if folded.dtype == np.uint8 or folded.max(initial=0) > 255 else folded.astype(np.uint8)
+        rows = [np.frombuffer(x, np.uint8).reshape(-1, width) for x in raw]
+        self.bits = np.stack([r[0] if len(r) == 1 else np.bitwise_xor.reduce(r, axis=0) for r in rows]).view(np.uint64)
 
     def bound(self, a: np.ndarray, q: int) -> np.ndarray:
-        return np.minimum(self.counts[a], self.counts[q]).sum(1, dtype=np.int64) + np.minimum(self.rest[a], self.rest[q])
+        return (self.n[a] + self.n[q] - np.bitwise_count(self.bits[a] ^ self.bits[q]).sum(1, dtype=np.int64)) // 2
 
     def may_link(self, a: np.ndarray, q: int, percent: int) -> np.ndarray:
         """Whether the sets ``a`` can overlap with the set ``q`` by ``percent``."""
@@ -203,24 +198,18 @@ class Counts:
 
 
 def _bounded(percent: int):
-    """Spanning forests, by bin, of the pairs of labels whose overlap can reach ``percent`` by token counts in hashed buckets."""
+    """Spanning forests, by bin, of the pairs of labels whose overlap can reach ``percent`` by their parity bits."""
 
     def forest(n: np.ndarray, raw: list[bytes], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((n, names))  # sets of one label are alike, so they stand together
+        order = np.argsort(n, kind="stable")
         n, names = n[order], names[order]
-        sets = Counts([raw[i] for i in order], n)
+        sets = Parities([raw[i] for i in order], n)
         values, label = np.unique(names, return_inverse=True)
         first = label.copy()
-        cut = np.arange(0, len(n), GROUP)
-        most, rest = np.maximum.reduceat(sets.counts, cut), np.maximum.reduceat(sets.rest, cut)  # the matrix: buckets by groups
-        least, largest = np.minimum.reduceat(n, cut), np.maximum.reduceat(n, cut)
+        low, high = np.searchsorted(n * 100, n * percent), np.searchsorted(n * percent, n * 100, "right")  # sizes that can link
         for q in askers(label):
-            g = np.flatnonzero((least * percent <= n[q] * 100) & (n[q] * percent <= largest * 100))
-            need = percent * (n[q] + least[g]) / (100 + percent)
-            g = g[np.minimum(most[g], sets.counts[q]).sum(1, dtype=np.int64) + np.minimum(rest[g], sets.rest[q]) >= need]
-            member = (g[:, None] * GROUP + np.arange(GROUP)).ravel()
-            member = member[member < len(n)]
-            member = member[(label[member] != label[q]) & (n[member] * percent <= n[q] * 100) & (n[q] * percent <= n[member] * 100)]
+            member = np.arange(low[q], high[q])
+            member = member[label[member] != label[q]]
             if len(member):
                 member = member[sets.may_link(member, q, percent)]
             if len(member):
@@ -241,12 +230,12 @@ def _bounded(percent: int):
             last = int(ends[-1 if whole else -2])
             ends = ends[: len(ends) - (not whole)]
             held = t.slice(last).to_batches()
-            n, names, raw = t["n"].to_numpy(), t["label"].to_numpy(), t["counts"].slice(0, last).to_pylist()
+            n, names, raw = t["n"].to_numpy(), t["label"].to_numpy(), t["bits"].slice(0, last).to_pylist()
             out = [(np.zeros(0, np.int64),) * 2]
             for a, z in zip(ends, ends[1:], strict=False):
                 if z - a > 2:
                     out.append(forest(n[a:z], raw[a:z], names[a:z]))
-                elif z - a == 2 and names[a] != names[a + 1] and Counts(raw[a:z], n[a:z]).may_link(np.array([0]), 1, percent)[0]:
+                elif z - a == 2 and names[a] != names[a + 1] and Parities(raw[a:z], n[a:z]).may_link(np.array([0]), 1, percent)[0]:
                     out.append((names[a : a + 1], names[a + 1 : z]))
             a, b = (np.concatenate(x) for x in zip(*out, strict=True))
             if len(a):
@@ -431,7 +420,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, group_docs: int =
     rows = id_text(docs, hashed=True)
     with Scratch(docs.sparkSession) as scratch:
         sig = scratch.stored(signatures(rows, n, percent, frequency_levels(rows, n)), "signatures")
-        kept = [F.first(c, ignorenulls=True).alias(c) for c in ("mins", "cut", "prefix", "counts")]
+        kept = [F.first(c, ignorenulls=True).alias(c) for c in ("mins", "cut", "prefix", "bits")]
         reps = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep"), *kept)
         reps = scratch.stored(reps.withColumn("key", F.monotonically_increasing_id()), "reps")
         scratch.clean()
@@ -464,13 +453,13 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, group_docs: int =
         open_ = scratch.stored(held.join(mixed, "token"), "open")
         scratch.drop("labelled")
 
-        # Labels that the counts can't keep apart form groups of similar documents, which no link leaves.
+        # Labels that the bits can't keep apart form groups of similar documents, which no link leaves.
         # Sets that link differ little in size: a set meets those of its class, and of the classes that its partners can have.
         own, above = (F.greatest(F.length(F.bin(x)) - 1, F.lit(6)) for x in (F.col("n"), F.floor(F.col("n") * 100 / percent)))
         sized = open_.join(reps.select("key", "n"), "key").withColumn("root", F.explode(F.transform(F.sequence(own, above), lambda c: F.xxhash64("token", c))))
         lone = sized.groupBy("root").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("root")
         blocks = _bins(scratch.stored(sized.join(lone, "root").select("root", "key", "label", "n"), "sized"), "root", block_docs, block_tokens).select("key", "label", "bin")
-        blocks = blocks.join(reps.select("key", "n", "counts"), "key").select("bin", "label", "n", "counts")
+        blocks = blocks.join(reps.select("key", "n", "bits"), "key").select("bin", "label", "n", "bits")
         maybe = blocks.repartition("bin").sortWithinPartitions("bin").mapInArrow(tidied(_bounded(percent)), "a long, b long")
         groups = scratch.stored(connected(maybe, scratch), "groups")
         scratch.drop("edges")
