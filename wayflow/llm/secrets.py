@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, id_text, read, slices, spaced, tidied
+from .common import Scratch, buffers, id_text, read, slices, spaced, tidied
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -228,10 +228,24 @@ def guess_spans(text: str, min_cost: float, guesser: Guesser) -> list[tuple[int,
 
 
 def corpus_words(docs: DataFrame, most: int = 20_000, least: int = 3) -> list[str]:
-    """The ``most`` most frequent words of all texts, most frequent first: runs of ``least`` to 24 letters, in lower case."""
+    """At most ``most`` of the most frequent words of all texts, most frequent first: runs of ``least`` to 24 letters, in lower case.
+
+    Words are counted over all documents.  A histogram of the counts, in sixteenths of a doubling, gives the least count at which no
+    more than ``most`` words are left, so only those reach the driver, however many tasks there are.
+    """
     word = F.explode(F.split(F.lower(F.col("text")), r"[^\p{L}]+"))
     count = id_text(docs).select(word.alias("word")).where(f"length(word) BETWEEN {least} AND 24").groupBy("word").agg(F.count("*").alias("n"))
-    return [r.word for r in count.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    with Scratch(docs.sparkSession) as scratch:
+        count = scratch.stored(count.withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "words")
+        levels = sorted(((r.level, r.words) for r in count.groupBy("level").agg(F.count("*").alias("words")).collect()), reverse=True)
+        total, cut = 0, None
+        for level, words in levels:  # some hundreds at most
+            total += words
+            if total > most:
+                break
+            cut = level
+        rows = count.where(F.col("level") >= cut).select("word", "n").collect() if cut is not None else []
+    return [r.word for r in sorted(rows, key=lambda r: (-r.n, r.word))]
 
 
 _HEXES = np.zeros(256, np.int8)
