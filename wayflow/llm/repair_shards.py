@@ -31,7 +31,7 @@ SHARD_IDS = 1 << 20
 END = 2
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = 8, per_round: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = 8, per_round: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (n, 2), and the position after each document in the symbols.
 
     ``ends`` has the position after each document in ``ids``.  Each round counts all adjacent pairs within documents,
@@ -44,21 +44,27 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = 8,
     last = np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
     keep_ends = ends.copy()
+    fresh_from = 0
     while len(seq) > 1:
-        hashed = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA6B))) >> np.uint32(12)
-        hashed[last[:-1]] = 1 << 20  # pairs over two documents
-        bucket = np.bincount(hashed, minlength=(1 << 20) + 1)  # an upper bound of each pair's count
-        bucket[-1] = 0
+        inside = ~last[:-1]  # not over two documents
+        if fresh_from:  # only a pair with a symbol of the last round can have become frequent
+            young = seq >= fresh_from
+            inside &= young[:-1] | young[1:]
+        at = np.flatnonzero(inside)
+        first, second = seq[at], seq[at + 1]
+        hashed = ((first * np.uint32(0x9E3779B1)) ^ (second * np.uint32(0x85EBCA6B))) >> np.uint32(12)
+        bucket = np.bincount(hashed, minlength=1 << 20)  # an upper bound of each pair's count
         often = bucket[bucket >= least]
         floor = int(np.partition(often, -2 * per_round)[-2 * per_round]) if len(often) > 2 * per_round else least
-        at = np.flatnonzero((bucket >= floor)[hashed])
-        pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        likely = (bucket >= floor)[hashed]
+        at, pair = at[likely], first[likely].astype(np.uint64) << np.uint64(32) | second[likely]
         coded = pa.array(pair).dictionary_encode()  # a hash table; sorting all pairs costs more
         keys, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         count = np.bincount(code, minlength=len(keys))
         some = np.flatnonzero(count >= floor)
         if not len(some):
             break
+        waiting = floor > least or len(some) > per_round
         if len(some) > per_round:
             some = some[np.lexsort((keys[some], -count[some]))[:per_round]]
         some = some[np.argsort(keys[some])]
@@ -75,6 +81,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = 8,
         used = np.flatnonzero(np.bincount(spot, minlength=len(keys)))
         number = np.searchsorted(used, np.arange(len(keys)))[spot]
         base = terminals + sum(map(len, rules))
+        fresh_from = 0 if waiting else base
         rules.append(np.stack([keys[used] >> np.uint64(32), keys[used] & np.uint64(0xFFFFFFFF)], 1))
         seq[at] = (base + number).astype(np.uint32)
         stay = np.ones(len(seq), bool)
