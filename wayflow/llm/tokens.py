@@ -44,8 +44,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = Tokenizer.from_file(path)  # for chunks without the text of an added token: it needn't look for them
-        self.chunks.encode_special_tokens = True
         self.plain = self.tokenizer.normalizer is not None
         self.most = most
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
@@ -61,11 +59,13 @@ class ChunkEncoder:
         self.off = np.zeros(1, np.int64)
 
     def _whole(self, texts: list[str], chunks: bool = False) -> list[list[int]]:
-        return [x.ids for x in (self.chunks if chunks else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+        self.tokenizer.encode_special_tokens = chunks  # chunks of texts without an added token needn't be searched for one
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids and their number for chunks that start with white space, encoded as one text; None if bytes don't tell them apart."""
-        ids = np.array(self.chunks.encode_batch_fast([b"".join(chunks).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        self.tokenizer.encode_special_tokens = True
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(chunks).decode()], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.cumsum([len(x) - (self.plain and len(x) - len(x.lstrip())) for x in chunks])
         total = np.cumsum(self.bytes_of[ids])
         if not len(ids) or total[-1] != ends[-1]:
