@@ -109,14 +109,14 @@ class ChunkEncoder:
         raw = data.tobytes()
         odd: dict[int, list[int]] = {}
         low = raw.lower()
-        if any(x in raw for x in _ODD_BYTES) or any(x.encode().lower() in low for x in self.added):
+        if any(x[:1] in raw and x in raw for x in _ODD_BYTES) or any(x.encode().lower() in low for x in self.added):
             texts = text.to_pylist()
             where = [i for i in range(n) if texts[i] and (ODD.search(texts[i]) or any(x in texts[i].lower() for x in self.added))]
             odd = dict(zip(where, self._whole([texts[i] for i in where]), strict=True))
         if self.plain:
             raw = _PLAIN[data]
         chunks = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
-        words, code = chunks.dictionary.to_pylist(), chunks.indices.to_numpy(zero_copy_only=False)
+        words, code = chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), chunks.indices.to_numpy(zero_copy_only=False)
         place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(place < 0)
         if len(self.known) + len(new) > self.most:
