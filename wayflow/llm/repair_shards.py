@@ -170,11 +170,14 @@ class Shard:
         return source[np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-SHARDS = "part int, seq int, n_docs long, n_ids long, shard binary"
+SHARDS = "part int, seq int, n_docs long, n_ids long, inner long, shard binary"
+#: Partitions up to which their starts, 12 bytes each, are broadcast.
+MOST_PARTS = 1 << 20
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = END, shard_ids: int = SHARD_IDS) -> None:
-    """Encode ``docs`` and write shards to ``path`` (a Parquet table of part, seq, n_docs, n_ids, shard), in ascending doc_id order.
+    """Encode ``docs`` and write shards to ``path`` (a Parquet table of part, seq, n_docs, n_ids, inner, shard), in ascending doc_id order;
+    ``inner`` counts the ids of the partition before the shard.
 
     Null texts are empty: they have the end id alone.  A text longer than ``shard_ids`` is a shard of its own, with those before it.
     Other columns are left out, whatever their names.  Rows with equal ids keep rows of their own, in the order of their
@@ -186,13 +189,13 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = END, sha
         enc, part, seq = encoder(tokenizer), task(), 0
         terminals = enc.tokenizer.get_vocab_size()
         held: list[tuple] = []
-        size = 0
+        size = inner = 0
 
         def shard() -> pa.RecordBatch:
             ids = np.concatenate([h[2] for h in held])
             off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(h[3]) for h in held]))])
             raw = pack(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), ids, off, terminals)
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(off) - 1], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([raw], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "shard"])
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(off) - 1], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([inner], pa.int64()), pa.array([raw], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "inner", "shard"])
 
         for b in slices(batches):
             ids, off = with_end(*enc.encode(b.column("text")), end)
@@ -201,7 +204,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = END, sha
             size += len(ids)
             if size >= shard_ids:
                 yield shard()
-                seq, held, size = seq + 1, [], 0
+                seq, inner, held, size = seq + 1, inner + size, [], 0
         if held:
             yield shard()
 
@@ -211,11 +214,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = END, sha
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, part and seq of its shard."""
     shards = spark.read.schema(SHARDS).parquet(path)
-    sums = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each partition: small
-    before = sums.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
-    within = W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    starts = shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("inner")).join(before, "part").select("part", "seq", (F.col("base") + F.col("inner")).alias("start"))
-    rows = shards.join(starts, ["part", "seq"]).select("part", "seq", "start", "shard")
+    sums = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = sums.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))  # a row for each partition of the writer
+    before = F.broadcast(before) if sums.count() <= MOST_PARTS else before
+    rows = shards.join(before, "part").select("part", "seq", (F.col("base") + F.col("inner")).alias("start"), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
