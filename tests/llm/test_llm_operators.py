@@ -293,9 +293,19 @@ def test_secret_scan_edges(spark):
 
 def test_language_id(spark):
     d = docs(spark)
-    out = language_id.predict(d, *language_id.train(d)).collect()
+    out = language_id.predict(d, language_id.train(d)).collect()
     assert len(out) == d.count() and {r.lang_pred for r in out if r.doc_id in (0, 1, 2)} == {"und"}
-    assert {r.lang_pred for r in language_id.predict(d, *language_id.train(empty(spark))).collect()} == {"und"}
+    assert {r.lang_pred for r in language_id.predict(d, language_id.train(empty(spark))).collect()} == {"und"}
+
+
+def test_language_id_in_parts(spark):
+    """Seven languages in parts of two, with one language's counts held at once, give what one matrix gives."""
+    d = docs(spark).withColumn("lang", F.concat(F.lit("l"), F.pmod(F.xxhash64("text"), F.lit(7)).cast("string")))
+    read = lambda model: sorted((r.doc_id is not None, r.doc_id, r.lang_pred, round(r.score, 9)) for r in language_id.predict(d.where("doc_id IS NOT NULL"), model).collect())
+    whole = read(language_id.train(d))
+    model = language_id.train(d, most=2, held=1)
+    assert len(model.parts) > 2 and len({x[2] for x in whole}) > 3
+    assert read(model) == whole
 
 
 def test_language_id_equals_plain_naive_bayes(spark):
