@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -26,11 +26,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the same runs as [0-9a-f]+ of 24 or more
 KINDS = ("assign", "access", "hex", "guess")
 HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "login", "credential", "bearer", "pin")
 _NAME = r"(?:password|passwd|passphrase|passcode|secret|token|(?:api|private|secret|access)[_-]?key|(?<![A-Za-z])(?:pass|pwd|auth|authorization|login|credentials?|pin))"
-#: A name, perhaps inside a longer one (DB_PASSWORD_PROD), a sign or "is", perhaps a scheme, and the value; or a bearer's value.
-CONTEXT = re.compile(
-    rf"""{_NAME}(?:[_.-][A-Za-z0-9]{{1,32}}){{0,4}}["']?[\x20\t]{{0,64}}(?:=>|[:=]|\bis\b)[\x20\t]{{0,64}}["']?(?:(?:bearer|basic)[\x20\t]{{1,64}})?([^\s"'<>,;]{{6,}})|\bbearer[\x20\t]{{1,64}}([^\s"'<>,;]{{6,}})""",
-    re.I | re.A,
-)
+#: A longer name that may hold one (DB_PASSWORD_PROD) with a sign or "is" after it; or the scheme that stands before a bearer's value.
+CONTEXT = re.compile(r"""(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)["']?[\x20\t]*+(?:=>|[:=]|\bis\b)|\bbearer[\x20\t]++""", re.I | re.A)
+NAME = re.compile(rf"{_NAME}(?=[_.-]|$)", re.I | re.A)
+#: A separator that another one or the end follows: what stands before it is no name of what comes after.
+BROKEN = re.compile(r"[_.-](?=[_.-]|$)")
+SCHEME = re.compile(r"""[\x20\t]*+["']?(?:(?:bearer|basic)[\x20\t]++)?""", re.I | re.A)
+VALUE = re.compile(r"""[^\s"'<>,;]{6,}""", re.A)
 # Common parts of passwords, most likely first; a parameter of the operator.
 WORDS = ("password", "love", "admin", "letmein", "welcome", "monkey", "dragon", "master", "login", "princess", "sunshine", "shadow", "football", "baseball", "summer", "winter", "spring", "autumn", "hello", "secret", "token", "access", "root", "test", "user", "guest", "pass", "changeme", "default", "system", "server", "qwerty", "iloveyou", "trustno", "superman", "batman", "freedom", "whatever", "michael", "jordan", "hunter", "ranger", "soccer", "hockey", "killer", "george", "charlie", "andrew", "michelle", "jessica", "pepper", "daniel", "access", "joshua", "maggie", "starwars", "silver", "william", "dallas", "yankees", "example", "sample", "your", "here", "my", "the", "new", "old")
 LEET = str.maketrans("@4310$57!", "aaelosstl")
@@ -52,10 +54,6 @@ def _next_to() -> frozenset[tuple[str, str]]:
 NEAR = _next_to()
 
 
-#: Segments up to this length may start and end anywhere; of longer runs only the whole one is offered.
-SPAN = 64
-
-
 def lower(value: str) -> str:
     """Lower case, character by character, so that positions stay."""
     return "".join(x if len(x := c.lower()) == 1 else c for c in value)
@@ -94,12 +92,105 @@ DATES = tuple(re.compile(x) for x in (
 ))
 
 
+class Cheapest:
+    """The least base + price(end - start) over the starts pushed so far, for ends that grow; ``price`` is concave.
+
+    Of two starts the older one gains on the newer, so starts are a stack: the top is cheapest, and each is overtaken by the one
+    below at a known end.  Starts that would never be cheapest are not kept, so a push or a question takes a logarithm of time.
+    """
+
+    def __init__(self, price: Callable[[int], float], last: int):
+        self.price, self.last = price, last
+        self.stack: list[tuple[float, int]] = []
+        self.until: list[int] = []
+
+    def push(self, base: float, start: int, now: int) -> None:
+        """A start that counts for ends from ``now`` on; starts come in order."""
+        cost = lambda at, end: at[0] + self.price(end - at[1])
+        new, cross = (base, start), self.last + 1
+        while self.stack:
+            top = self.stack[-1]
+            if cost(top, now) <= cost(new, now):
+                return
+            low, cross = now, self.last + 1  # the first end at which the top has overtaken the new start
+            while cross - low > 1:
+                middle = (low + cross) // 2
+                if cost(top, middle) <= cost(new, middle):
+                    cross = middle
+                else:
+                    low = middle
+            if cross < self.until[-1]:
+                break
+            self.stack.pop()
+            self.until.pop()
+            cross = self.last + 1
+        self.stack.append(new)
+        self.until.append(cross)
+
+    def least(self, end: int) -> tuple[float, int]:
+        while len(self.stack) > 1 and self.until[-1] <= end:
+            self.stack.pop()
+            self.until.pop()
+        base, start = self.stack[-1]
+        return base + self.price(end - start), start
+
+
+def repeats(value: str) -> list[tuple[int, int, int]]:
+    """(p, a, z): the maximal stretches value[a:z] of shortest period p that hold two units or more, by growing p.
+
+    A stretch holds a multiple of p at which value[k] == value[k + p], so only these are looked at, and not where a shorter period that
+    divides p goes on.
+    """
+    n = len(value)
+    code = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    chars = code.tolist()
+    out: list[tuple[int, int, int]] = []
+    longer: list[tuple[int, int, int]] = []
+    for p in range(1, n // 2 + 1):
+        longer = [r for r in longer if r[2] - r[1] >= 2 * p]
+        at = np.arange(0, n - p, p)
+        at = at[code[at] == code[at + p]]
+        for q, a, z in longer:
+            if p % q == 0 and len(at):
+                at = at[(at < a) | (at >= z - p)]
+        end = 0
+        for k in at.tolist():
+            if k < end:
+                continue
+            a = k
+            while a and k - a < 32 and chars[a - 1] == chars[a - 1 + p]:
+                a -= 1
+            if k - a == 32:
+                a -= _same(code[:a][::-1], code[p : p + a][::-1])
+            end = k + 1
+            while end < n - p and end - k < 32 and chars[end] == chars[end + p]:
+                end += 1
+            if end - k == 32:
+                end += _same(code[end : n - p], code[end + p :])
+            if end - a >= p:
+                out.append((p, a, end + p))
+                longer.append(out[-1])
+    return out
+
+
+def _same(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements are the same before the first that differ."""
+    k, size = 0, 64
+    while k < len(a):
+        odd = a[k : k + size] != b[k : k + size]
+        if odd.any():
+            return k + int(odd.argmax())
+        k, size = k + size, size * 2
+    return len(a)
+
+
 class Guesser:
-    """Minimum-cost segmentation with one ranked list of words, in time linear in the value's length.
+    """Minimum-cost segmentation with one ranked list of words.
 
-    Offered are every occurrence of a word (also with substituted signs), every date, all runs of a walk or sequence of 3 keys or
-    more and all repeats of a unit, priced by the unit's own segmentation: anywhere up to ``SPAN`` characters, and beyond it
-    those that fill a whole run from its start.
+    Offered are every occurrence of a word (also with substituted signs), every date, every part of a walk or sequence of 3 keys or more, and two
+    or more of a unit that is no repeat itself, wherever they start and however long they are; a unit's price is its own least cost.  Prices
+    of runs are concave in their length, so the best start of a run is kept instead of tried, and a unit is priced only where
+    even a lower bound of its cost would pay: time is nearly linear in a value's length.
     """
 
     def __init__(self, words: tuple[str, ...] | list[str] = WORDS):
@@ -113,62 +204,20 @@ class Guesser:
         self.finder.make_automaton()
         self._known: dict[str, tuple[float, list[tuple[str, str]]]] = {}
 
-    def spans(self, value: str) -> Iterator[list[tuple[int, float, str]]]:
-        """For each position the segments on offer that start there: end, cost, kind.  Runs are unfolded position by position."""
-        low, n = lower(value), len(value)
-        fixed: dict[int, list[tuple[int, float, str]]] = {}
+    def fixed(self, value: str) -> dict[int, list[tuple[int, float, str]]]:
+        """Words and dates by their end: start, cost, kind."""
+        low, out = lower(value), {}
         for text in {low, low.translate(LEET)} if self.ranks else ():
             for last, (size, rank) in self.finder.iter(text):
-                a, z = last + 1 - size, last + 1
-                fixed.setdefault(a, []).append((z, word_cost(value[a:z], rank), "word"))
+                z = last + 1
+                out.setdefault(z, []).append((z - size, word_cost(value[z - size : z], rank), "word"))
         if any(c.isdigit() for c in value):
-            for k in range(n - 3):
+            for k in range(len(value) - 3):
                 if value[k].isdigit():
-                    fixed.setdefault(k, []).extend((m.end(), date_cost(m[0]), "date") for form in DATES if (m := form.match(value, k)))
-        begin: dict[int, list[tuple]] = {}
-        code = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
-        for p in range(1, min(SPAN, n) // 2 + 1):
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], (code[p:] == code[:-p]).astype(np.int8), [0]])))
-            for a, z in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):  # value[k] == value[k + p] for a <= k < z
-                if z - a >= p:
-                    begin.setdefault(a, []).append((z + p, "repeat", p, {}))
-        for kind, linked in (("walk", walks), ("sequence", follows)):
-            start = 0
-            for k in range(1, n + 1):
-                if k == n or not linked(low[k - 1], low[k]):
-                    if k - start >= 3:
-                        begin.setdefault(start, []).append((k, kind, 1, None))
-                    start = k
-        active: list[tuple] = []
-        for a in range(n):
-            out = fixed.pop(a, [])
-            fresh = begin.pop(a, [])
-            active = [r for r in active if r[0] - a >= (2 * r[2] if r[3] is not None else 3)] + fresh
-            for run in active:
-                z, kind, p, units = run
-                if units is None:
-                    out += [(e, run_cost(kind, e - a), kind) for e in range(a + 3, min(a + SPAN, z) + 1)]
-                    if run in fresh and z - a > SPAN:
-                        out.append((z, run_cost(kind, z - a), kind))
-                    continue
-                unit = value[a : a + p]
-                if unit not in units:
-                    units[unit] = self._unit(unit)
-                cost = units[unit]
-                if cost is not None:
-                    out += [(a + many * p, cost + math.log10(many), kind) for many in range(2, min(SPAN, z - a) // p + 1)]
-                    many = (z - a) // p
-                    if run in fresh and many * p > SPAN:
-                        out.append((a + many * p, cost + math.log10(many), kind))
-            yield out
-
-    def _unit(self, unit: str) -> float | None:
-        """Cost of a repeated unit; None if it is a repeat itself and costs no less than one, so that its repeats are offered already."""
-        cost = self.cost(unit)[0]
-        for p in range(1, len(unit) // 2 + 1):
-            if len(unit) % p == 0 and unit == unit[:p] * (len(unit) // p):
-                return None if cost >= self.cost(unit[:p])[0] + math.log10(len(unit) // p) - 1e-12 else cost
-        return cost
+                    for form in DATES:
+                        if m := form.match(value, k):
+                            out.setdefault(m.end(), []).append((k, date_cost(m[0]), "date"))
+        return out
 
     def cost(self, value: str) -> tuple[float, list[tuple[str, str]]]:
         """log10 of the guesses of the cheapest segmentation, and its (kind, part) list.  The empty value costs 0."""
@@ -182,22 +231,85 @@ class Guesser:
         return got
 
     def _segmented(self, value: str) -> tuple[float, list[tuple[str, str]]]:
-        best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(math.inf, 0, "")] * len(value)
-        for a, offered in enumerate(self.spans(value)):
-            base = best[a][0]
-            for z, cost, kind in ((a + 1, brute_cost(value[a]), "brute"), *offered):
-                if base + cost < best[z][0]:
-                    best[z] = (base + cost, a, kind)
+        low, n = lower(value), len(value)
+        begin: dict[int, list[_Run | _Repeat]] = {}
+        for kind, linked in (("walk", walks), ("sequence", follows)):
+            start = 0
+            for k in range(1, n + 1):
+                if k == n or not linked(low[k - 1], low[k]):
+                    if k - start >= 3:
+                        begin.setdefault(start + 3, []).append(_Run(kind, start, k))
+                    start = k
+        for p, a, z in repeats(value):
+            begin.setdefault(a + 2 * p, []).append(_Repeat(self, value, p, a, z))
+        fixed = self.fixed(value)
+        best, origin = [0.0] * (n + 1), [(0, "")] * (n + 1)
+        active: list[_Run | _Repeat] = []
+        for k in range(1, n + 1):
+            least, here = best[k - 1] + brute_cost(value[k - 1]), (k - 1, "brute")
+            for a, cost, kind in fixed.get(k, ()):
+                if best[a] + cost < least:
+                    least, here = best[a] + cost, (a, kind)
+            if k in begin or active:
+                active = [r for r in active if r.z >= k] + begin.pop(k, [])
+                for run in active:
+                    cost, a = run.best(k, best, least)
+                    if cost < least:
+                        least, here = cost, (a, run.kind)
+            best[k], origin[k] = least, here
         parts: list[tuple[str, str]] = []
-        k = len(value)
+        k = n
         while k:
-            _, a, kind = best[k]
+            a, kind = origin[k]
             if kind == "brute" and parts and parts[-1][0] == "brute":
                 parts[-1] = (kind, value[a:k] + parts[-1][1])
             else:
                 parts.append((kind, value[a:k]))
             k = a
-        return best[-1][0], parts[::-1]
+        return best[n], parts[::-1]
+
+
+class _Run:
+    """A walk or sequence value[a:z]: any three or more of its characters."""
+
+    def __init__(self, kind: str, a: int, z: int):
+        self.kind, self.a, self.z = kind, a, z
+        self.starts = Cheapest(lambda size: run_cost(kind, size), z)
+
+    def best(self, k: int, best: list[float], _: float) -> tuple[float, int]:
+        self.starts.push(best[k - 3], k - 3, k)
+        return self.starts.least(k)
+
+
+class _Repeat:
+    """A stretch value[a:z] of shortest period p.  Starts a multiple of p apart have one unit.
+
+    Until a unit is priced, best[start + p] stands for the cost up to its end: it is no more than that.
+    """
+
+    kind = "repeat"
+
+    def __init__(self, guesser: Guesser, value: str, p: int, a: int, z: int):
+        self.guesser, self.value, self.p, self.a, self.z = guesser, value, p, a, z
+        self.starts: dict[int, Cheapest] = {}
+        self.unit: dict[int, float] = {}
+
+    def best(self, k: int, best: list[float], least: float) -> tuple[float, int]:
+        index, rest = divmod(k - self.a, self.p)
+        at = lambda i: self.a + rest + i * self.p
+        new = lambda: self.starts.setdefault(rest, Cheapest(math.log10, (self.z - self.a - rest) // self.p))
+        base = lambda i: best[at(i)] + self.unit[rest] if rest in self.unit else best[at(i + 1)]
+        starts = self.starts.get(rest) or new()
+        starts.push(base(index - 2), index - 2, index)
+        cost, i = starts.least(index)
+        if rest not in self.unit and cost < least - 1e-9:
+            self.unit[rest] = self.guesser.cost(self.value[at(i) : at(i + 1)])[0]
+            del self.starts[rest]
+            starts = new()
+            for j in range(index - 1):
+                starts.push(base(j), j, j + 2)
+            cost, i = starts.least(index)
+        return (cost, at(i)) if rest in self.unit else (math.inf, 0)
 
 
 def base_spans(text: str, hexed: bool = True) -> list[tuple[int, int, int]]:
@@ -218,12 +330,19 @@ def guess_spans(text: str, min_cost: float, guesser: Guesser) -> list[tuple[int,
     low = text.lower()
     if not any(w in low for w in HINTS):
         return []
-    out = []
-    for m in CONTEXT.finditer(text):
-        a, z = m.span(1 if m[1] is not None else 2)
-        cost = guesser.cost(text[a:z])[0]
-        if cost >= min_cost:
-            out.append((a, 3, z, cost))
+    out, k = [], 0
+    while m := CONTEXT.search(text, k):
+        k = m.end()
+        if m[1] is not None:
+            broken = max((x.end() for x in BROKEN.finditer(m[1])), default=0)
+            if not any(x.end() >= broken for x in NAME.finditer(m[1])):
+                continue
+        value = VALUE.match(text, SCHEME.match(text, k).end() if m[1] is not None else k)
+        if value:
+            k = value.end()
+            cost = guesser.cost(value[0])[0]
+            if cost >= min_cost:
+                out.append((value.start(), 3, k, cost))
     return out
 
 
@@ -257,7 +376,7 @@ def scan_secrets(docs: DataFrame, min_cost: float = 8.0, words: tuple[str, ...]
 
     Per row: doc_id, base and guessed (arrays of kind, start, end, and the cost of the guessed).  Null and empty texts
     have none; repeated rows, equal ids and null ids give rows of their own; an empty table gives none.  Very long texts and
-    values are scanned whole, in time linear in their length.  Of spans that start together, the fixed patterns come first.
+    values are scanned whole, in nearly linear time.  Of spans that start together, the fixed patterns come first.
     Other columns are left out, whatever their names.  ``words`` are ranked, the likeliest first.
     """
     out = "doc_id long, base array<struct<kind:string,start:long,end:long>>, guessed array<struct<kind:string,start:long,end:long,cost:double>>"
