@@ -6,10 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wayflow.llm import compaction, exact_dedup, language_id, mixing, ngram_join, packing, quality_crf, repair_shards, secrets
+from wayflow.llm.tokens import ChunkEncoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, rank long"
@@ -208,6 +210,22 @@ def test_packing_equals_best_fit_on_single_pieces():
         assert packing.plan(histogram, 32)[1] == len(room)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_ids_are_the_library_s(name):
+    """Marks that compose or not, letters whose lower case is of other bytes, controls: in batches and in sequence, with one cache."""
+    from tokenizers import Tokenizer
+
+    pieces = [" ", "\n", "\t", "  ", "e", "o", "T", "H", "J", "W", "Y", "I", "K", "a", "the", "And", "1", ".", "=", "'s", "'", "\u0308", "\u0331", "\u030a", "\u030c", "\u0307", "\u0338", "\u0345"]
+    pieces += ["\u0130", "\u212a", "\u1e9e", "\u03a3", "\u00e9", "\u00c9", "\u00df", "\x00", "\x01", "\x07", "\x1b", "\x1c", "\x7f", "\x85", "\u00ad", "\u200d", "\ufffd", "\u1100\u1161", "\u4e2d", "\U0001f600", "\u0660", "\u2160", "\ufb01"]
+    path = public_tokenizers.path(name)
+    encoder, library, r = ChunkEncoder(path), Tokenizer.from_file(path), random.Random(3)
+    batches = [[" o\u0308 \u0130 o\u0308"], [" e\u0308 \u0130"], ["a \u0130 b", "a e\u0308 b", "T\u0308 h\u0331 H\u0331"]]
+    batches += [["".join(r.choices(pieces, k=r.randrange(14))) for _ in range(size)] for size in [1] * 500 + [100] * 150]
+    for texts in batches:
+        ids, off = encoder.encode(pa.array(texts, pa.string()))
+        assert [ids[a:z].tolist() for a, z in zip(off, off[1:], strict=False)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_secrets():
     text = "é password: hunter2secret AKIA" + "A" * 16 + " " + "0af" * 9 + " pwd = Xk9$vQ2!mZ7p token=abc"
     spans = secrets.base_spans(text)
@@ -262,6 +280,11 @@ def test_guess_cost_is_the_least_of_all_segmentations():
         cost, parts = guesser.cost(v)
         assert abs(cost - least(v, memo)) < 1e-9, v
         assert "".join(p for _, p in parts) == v
+    for k in range(10):  # runs far longer than a keyboard's row, with something at both ends
+        row = ["qwertyuiop", "asdfghjkl", "aab", "ab1x", "q", "12321"][k % 6]
+        v = r.choice(pieces) + r.choice(pieces) + (row + (row[-2:0:-1] if k % 6 < 2 else "")) * 40
+        v = v[: r.randrange(66, 110)] + r.choice(pieces) + r.choice(pieces)
+        assert abs(guesser.cost(v)[0] - least(v, memo)) < 1e-9, v
 
 
 def test_guess_cost_of_very_long_values():

@@ -36,7 +36,8 @@ class ChunkEncoder:
     """Encodes texts with one vocabulary; keeps the ids of at most ``most`` distinct chunks between calls.
 
     A chunk is white space and what follows, or what follows an ASCII letter and starts with another ASCII character:
-    there too a word of either vocabulary ends.  ``plain`` is for a vocabulary that drops white space and case.
+    there too a word of either vocabulary ends.  ``plain`` is for a vocabulary that drops white space and case, and composes characters (NFC): its
+    chunks are lower-cased ahead, but not a letter before a mark that it may compose with.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -76,7 +77,8 @@ class ChunkEncoder:
     def _learn(self, chunks: list[bytes]) -> None:
         if not chunks:
             return
-        spaced = [x for x in chunks if x[0] in b" \t\n\x0b\x0c\r" and x[-1] not in b" \t\n\x0b\x0c\r"]
+        # Bytes tell where a chunk's ids end only if the vocabulary writes the chunk's own bytes: one that composes and lowers case does so for ASCII.
+        spaced = [x for x in chunks if x[0] in b" \t\n\x0b\x0c\r" and x[-1] not in b" \t\n\x0b\x0c\r" and (not self.plain or x.isascii())]
         some = set(spaced)
         rest = [x for x in chunks if x not in some]
         ids, sizes = [], []
@@ -114,7 +116,8 @@ class ChunkEncoder:
             where = [i for i in range(n) if texts[i] and (ODD.search(texts[i]) or any(x in texts[i].lower() for x in self.added))]
             odd = dict(zip(where, self._whole([texts[i] for i in where]), strict=True))
         if self.plain:
-            raw = _PLAIN[data]
+            alone = np.append(data[1:] < 128, True)
+            raw = np.where(alone, _PLAIN[data], data)
         chunks = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
         words, code = chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), chunks.indices.to_numpy(zero_copy_only=False)
         place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
