@@ -141,6 +141,27 @@ def test_ngram_join_ids_with_two_texts(spark, bounds):
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == components(rows, n, percent)
 
 
+def test_ngram_join_moves_a_text_once_a_place(spark, monkeypatch):
+    """As many texts go to the cells when all rows share an id as when each has its own."""
+    r, texts, moved = random.Random(2), [], []
+    for _ in range(40):
+        t = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(t), " ".join([*t[:-1], "other"])]
+    plain = ngram_join._texts
+
+    def counted(*a):
+        moved[-1] += (out := plain(*a)).count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "_texts", counted)
+    for rows in ([*enumerate(texts)], [(7, t) for t in texts]):
+        moved.append(0)
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        got = ngram_join.ngram_join(d, 5, 80).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == components(rows, 5, 80)
+    assert 0 < moved[1] <= moved[0]
+
+
 def test_ngram_join_very_long_text(spark):
     """More than 65,535 n-grams in one bucket of counts, were it not for its width; and a near copy of it."""
     one = " ".join(str(k) for k in range(300_000))

@@ -368,9 +368,12 @@ def _bins(rows: DataFrame, root: str, docs: int, tokens: int) -> DataFrame:
 
 
 def _texts(places: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
-    """Whole texts for ``places`` (bin, label, key), sorted by bin and label.  Texts that no bin needs stay where they are."""
-    wanted = places.join(reps.select("key", F.col("rep").alias("doc_id"), "lo", "hi"), "key")
-    return rows.join(wanted, "doc_id").select("bin", "label", "key", "lo", "hi", "text").repartition("bin").sortWithinPartitions("bin", "label", "key")
+    """Whole texts for ``places`` (bin, label, key), sorted by bin and label.  Texts that no bin needs stay where they are.
+
+    A text is found by its id and hash, as other texts may have the same id.
+    """
+    wanted = places.join(reps.select("key", "rep.doc_id", "rep.text_hash", "lo", "hi"), "key")
+    return rows.join(wanted, ["doc_id", "text_hash"]).select("bin", "label", "key", "lo", "hi", "text").repartition("bin").sortWithinPartitions("bin", "label", "key")
 
 
 def _open(n: int, percent: int):
@@ -421,7 +424,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, group_docs: int =
     with Scratch(docs.sparkSession) as scratch:
         sig = scratch.stored(signatures(rows, n, percent, frequency_levels(rows, n)), "signatures")
         kept = [F.first(c, ignorenulls=True).alias(c) for c in ("mins", "cut", "prefix", "bits")]
-        reps = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep"), *kept)
+        reps = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("lo", "hi", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *kept)
         reps = scratch.stored(reps.withColumn("key", F.monotonically_increasing_id()), "reps")
         scratch.clean()
 
@@ -471,7 +474,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, group_docs: int =
         joined = scratch.stored(connected(found, scratch), "joined")
 
         # Representatives have the label of their pivot, labels that of the cells; the smallest id of a final label names it.
-        final = reps.select("key", "lo", "hi", "n", "rep").join(labels.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
+        final = reps.select("key", "lo", "hi", "n", F.col("rep.doc_id").alias("rep")).join(labels.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
         final = final.join(joined.select(F.col("node").alias("label"), "root"), "label", "left").withColumn("label", F.coalesce("root", "label"))
         named = final.groupBy("label").agg(F.min("rep").alias("component_id"))
         final = final.join(named, "label").select("lo", "hi", "n", "component_id", F.col("label").alias("class_key"))
