@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from wayflow.plans import catalog
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-NAMES = ("popularity_5min", "popularity_hourly", "speed_filter", "sessionize", "origins", "graph_diffusion", "smoothed_sparse", "kernel_weighted", "sp_chain", "sp_chain_k", "tp_chain", "tp_chain_k", "phase_split", "residual_measure", "trip_residuals", "residual_stats", "residual_hist", "crossweek_std", "gamma_sweep", "psi_chain_errors")
+NAMES = ("popularity_5min", "popularity_hourly", "speed_filter", "sessionize", "origins", "graph_diffusion", "smoothed_sparse", "kernel_weighted", "sp_chain", "sp_chain_k", "tp_chain", "tp_chain_k", "phase_split", "residual_measure", "trip_residuals", "residual_stats", "residual_hist", "crossweek_std", "gamma_sweep", "psi_chain_errors_k")
 
 if __name__ == "__main__":
     cpus = os.environ.get("BENCH_CPUS", "8")

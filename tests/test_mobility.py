@@ -11,6 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayflow.operators import chain, graph, matching, network, stats, sweeps, trips
+from wayflow.plans import studies as S
+from wayflow.plans.catalog import X
 from wayflow.sources import files, sinks
 from wayflow.streaming import live
 
@@ -196,6 +198,100 @@ def test_folds_hold_every_link_out_once(spark):
     assert sorted(r.part for r in fit) == list(range(5)) and all(r.psi in (0.01, 0.02) and r.base > 0 for r in fit)
 
 
+def _tables(spark, s):
+    """Prior, the shares of a week later, adjacency and links of the tables, as arrays over links 0 to 99."""
+    prior = S._prior(spark, s).toPandas()
+    p = prior.pivot(index="slot", columns="link_id", values="p")
+    assert list(p.columns) == list(range(100))
+    slots = [k for k in p.index if k + 7 in p.index]
+    links = X.links(spark).toPandas().sort_values("link_id")
+    return p, slots, X.adjacency(spark).toPandas(), links
+
+
+def _plain_kernel(edges, links, powers):
+    w = (links.speed / links.speed.mean()).to_numpy() ** powers[0] * (links.lanes / links.lanes.mean()).to_numpy() ** powers[1]
+    k = np.zeros((100, 100))
+    for a, b in zip(edges.src, edges.dst, strict=True):
+        k[b, a] += w[b]
+    return k / np.maximum(k.sum(0), 1e-300)
+
+
+def _plain_chain(e, *kernels):
+    """One slot's chain until its change is below 1e-5, 200 steps at most."""
+    m, u, d = S.chain.Model(), e, np.zeros(100)
+    for _ in range(200):
+        if len(kernels) == 1:
+            new, low = m.alpha * e + (1 - m.alpha) * kernels[0] @ u, d
+        else:
+            new = (1 - m.beta) * kernels[0] @ u + m.rho * e * d.sum()
+            low = m.beta * u + (1 - m.rho) * kernels[1] @ d
+        new, low = new / (new.sum() + low.sum()), low / (new.sum() + low.sum())
+        off = abs(new - u).sum() + abs(low - d).sum()
+        u, d = new, low
+        if off < 1e-5:
+            break
+    return u + d
+
+
+SHUT = np.isin(np.arange(100), (3, 50))
+AREA = (np.arange(100) >= 20) & (np.arange(100) < 60) & (np.arange(100) != 50)
+
+
+def test_psi_of_converged_chains(spark):
+    sf = "/root/testdata/sf0.001"
+    p, slots, edges, links = _tables(spark, sf)
+    kernel, sq = _plain_kernel(edges, links, S.SP), {}
+    for psi in S.PSI:
+        off = []
+        for k in slots:
+            e = p.loc[k].to_numpy()
+            b = e[AREA].sum()
+            v = _plain_chain(np.where(SHUT, e, np.where(AREA, e * (1 + psi / b), e * (1 - psi / (1 - b)))), kernel)
+            off.append((p.loc[k + 7].to_numpy() - v)[AREA] ** 2 * 1e12)
+        sq[psi] = np.array(off)
+    got = {round(r.psi, 6): r.mse for r in S.psi_chain_errors(spark, sf).collect()}
+    assert got.keys() == sq.keys() and all(abs(got[x] - sq[x].mean()) <= 0.01 + 1e-6 * got[x] for x in got)
+    folds = {r.link_id: r.f for r in X.links(spark).select("link_id", sweeps.fold().alias("f")).collect()}
+    fold = np.array([folds[k] for k in np.flatnonzero(AREA)])
+    single = np.where(np.flatnonzero(AREA) % 4 == 0, 0, 1)
+    for rows, held in ((S.psi_cross_validation(spark, sf).collect(), fold), (S.psi_grid_fit(spark, sf).collect(), single)):
+        assert sorted(r.part for r in rows) == (list(range(5)) if held is fold else [0])
+        for r in rows:
+            out = held == r.part
+            best = min(S.PSI, key=lambda x: (round(sq[x][:, ~out].mean(), 4), x))
+            assert round(r.psi, 6) == best
+            for name, value in (("train", sq[best][:, ~out]), ("test", sq[best][:, out]), ("base", sq[0.0][:, out])):
+                assert abs(r[name] - value.mean()) <= 0.01 + 1e-6 * value.mean()
+
+
+def test_event_report_of_converged_chains(spark):
+    sf = "/root/testdata/sf0.001"
+    p, slots, edges, links = _tables(spark, sf)
+    left = edges[~edges.src.isin((3, 50)) & ~edges.dst.isin((3, 50))]
+
+    def zero(v):
+        v = np.where(SHUT, 0, v)
+        return v / v.sum()
+
+    def moved(v):
+        return np.where(SHUT, 0, np.where(AREA, v + v[SHUT].sum() * v / v[AREA].sum(), v))
+
+    got = {(r.model, r.surgery): r for r in S.event_report(spark, sf).collect()}
+    assert len(got) == 6
+    for (model, surgery), row in got.items():
+        ways = [_plain_kernel(edges if surgery == "none" else left, links, x) for x in ([S.SP] if model == "sp" else [S.UP, S.DOWN])]
+        box, whole = [], []
+        for k in slots:
+            e, t = p.loc[k].to_numpy(), p.loc[k + 7].to_numpy()
+            v = zero(_plain_chain(e if surgery == "none" else moved(e), *ways))
+            t = moved(t) if surgery == "surgery_box" else zero(t)
+            off = abs(t - v) / (t + 1e-6)
+            box.append(off[AREA].mean())
+            whole.append(off[~SHUT].mean())
+        for name, value in (("box_mean", np.mean(box)), ("box_dev", np.std(box)), ("whole_mean", np.mean(whole)), ("whole_dev", np.std(whole))):
+            assert abs(row[name] - value) <= 2e-6 * (1 + value), (model, surgery, name)
+
+
 # Scans
 
 

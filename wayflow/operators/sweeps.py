@@ -159,7 +159,7 @@ def fit_exponents(loss: Callable[[list[tuple[float, ...]]], list[float]], starts
 
 
 def chain_loss(prior: DataFrame, truth: DataFrame, adjacency: DataFrame, links: DataFrame, model: chain.Model = chain.Model(), tol: float = 1e-5, max_iter: int = 100) -> Callable[[list[tuple[float, ...]]], list[float]]:
-    """Mean relative error of the single-phase chain for each (speed, lanes) pair asked for."""
+    """Mean relative error of the single-phase chain for each (speed, lanes) pair asked for; a job a pair."""
 
     def loss(points: list[tuple[float, ...]]) -> list[float]:
         out = []

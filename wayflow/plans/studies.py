@@ -420,30 +420,49 @@ X.SQL |= {
 _PSI = (*_CHAIN, "psis", "given", "walkpsi", "psi_off")
 
 
-def _psi_errors(s, d):
+THREE = {"tol": 0.0, "max_iter": 3}
+
+
+def _psi_errors(s, d, **steps):
     _checkpointed(s)
     p = _prior(s, d)
     truth = p.select((F.col("slot") - 7).alias("slot"), "link_id", "p")
-    return sweeps.psi_errors(p, truth, F.expr(BOX), PSI, [_weighted(s)], chain.Model(), F.expr(CLOSED), tol=0.0, max_iter=3)
+    return sweeps.psi_errors(p, truth, F.expr(BOX), PSI, [_weighted(s)], chain.Model(), F.expr(CLOSED), **steps)
+
+
+def _psi_mse(e):
+    return e.groupBy("psi").agg(F.round(F.avg("sq"), 2).alias("mse"))
+
+
+def _psi_best(e, **how):
+    return sweeps.psi_fit(e, **how).select("part", "psi", *(F.round(c, 2).alias(c) for c in ("train", "test", "base")))
 
 
 @_query("SELECT psi, round(avg(sq), 2) AS mse FROM psi_off GROUP BY psi", *_PSI)
-def psi_chain_errors(s, d):
-    return _psi_errors(s, d).groupBy("psi").agg(F.round(F.avg("sq"), 2).alias("mse"))
+def psi_chain_errors_k(s, d):
+    return _psi_mse(_psi_errors(s, d, **THREE))
 
 
 @_query("SELECT 0 AS part, psi, round(train, 2) AS train, round(test, 2) AS test, round((SELECT test FROM m WHERE abs(psi) < 1e-9), 2) AS base FROM m ORDER BY train, psi LIMIT 1", *_PSI)
-def psi_grid_fit(s, d):
-    fit = sweeps.psi_fit(_psi_errors(s, d), test=F.col("link_id") % 4 == 0)
-    return fit.select("part", "psi", *(F.round(c, 2).alias(c) for c in ("train", "test", "base")))
+def psi_grid_fit_k(s, d):
+    return _psi_best(_psi_errors(s, d, **THREE), test=F.col("link_id") % 4 == 0)
+
 
+SQLS["psi_grid_fit_k"] = SQLS["psi_grid_fit_k"].replace(" SELECT 0 AS part", ", m AS (SELECT psi, avg(sq) FILTER (link_id % 4 <> 0) AS train, avg(sq) FILTER (link_id % 4 = 0) AS test FROM psi_off GROUP BY psi) SELECT 0 AS part", 1)
 
-SQLS["psi_grid_fit"] = SQLS["psi_grid_fit"].replace(" SELECT 0 AS part", ", m AS (SELECT psi, avg(sq) FILTER (link_id % 4 <> 0) AS train, avg(sq) FILTER (link_id % 4 = 0) AS test FROM psi_off GROUP BY psi) SELECT 0 AS part", 1)
+
+def psi_chain_errors(s, d):
+    """Converged chains for every psi; SQL would take hundreds of steps for each."""
+    return _psi_mse(_psi_errors(s, d))
+
+
+def psi_grid_fit(s, d):
+    return _psi_best(_psi_errors(s, d), test=F.col("link_id") % 4 == 0)
 
 
 def psi_cross_validation(s, d):
     """Five folds by a hash of the link, which SQL has not."""
-    return sweeps.psi_fit(_psi_errors(s, d)).select("part", "psi", *(F.round(c, 2).alias(c) for c in ("train", "test", "base")))
+    return _psi_best(_psi_errors(s, d))
 
 
 def _event_sql() -> str:
@@ -466,16 +485,25 @@ def _event_sql() -> str:
 
 
 @_query(_event_sql(), *_PRIOR, "adjacency", "event")
+def event_report_k(s, d):
+    return _event_report(s, d, **THREE)
+
+
 def event_report(s, d):
+    """Converged chains, which SQL would take hundreds of steps for."""
+    return _event_report(s, d)
+
+
+def _event_report(s, d, **steps):
     _checkpointed(s)
     p = _prior(s, d)
     truth = p.select((F.col("slot") - 7).alias("slot"), "link_id", "p")
-    r = sweeps.event_report(p, truth, X.adjacency(s), X.links(s), F.expr(CLOSED), F.expr(BOX), {"sp": [SP], "tp": [UP, DOWN]}, {"sp": chain.Model(), "tp": chain.Model("two")}, tol=0.0, max_iter=3)
+    r = sweeps.event_report(p, truth, X.adjacency(s), X.links(s), F.expr(CLOSED), F.expr(BOX), {"sp": [SP], "tp": [UP, DOWN]}, {"sp": chain.Model(), "tp": chain.Model("two")}, **steps)
     return r.select("model", "surgery", *(F.round(c, 6).alias(c) for c in ("box_mean", "box_dev", "whole_mean", "whole_dev")))
 
 
 def fit_exponents(s, d):
-    """Exponents of speed and lanes that bring the chain from origins nearest to the shares of a week later."""
+    """Exponents of speed and lanes that bring the chain from origins nearest to the shares of a week later: a coarse search, three rounds of 20 steps."""
     _checkpointed(s)
     p = _prior(s, d).checkpoint()
     truth = p.select((F.col("slot") - 7).alias("slot"), "link_id", "p").checkpoint()
@@ -486,17 +514,17 @@ def fit_exponents(s, d):
 # Links and reports
 
 
-X.SQL["two_counts"] = "c1 AS (SELECT link_id, count(DISTINCT route_id) AS n FROM fixes WHERE fix_idx < 2 AND link_id < 60 GROUP BY ALL), c2 AS (SELECT link_id, count(DISTINCT route_id) AS n FROM fixes WHERE link_id < 80 GROUP BY ALL)"
+X.SQL["two_counts"] = "c1 AS (SELECT link_id, count(*) AS n FROM (SELECT route_id, arg_min(link_id, fix_idx) AS link_id FROM fixes GROUP BY ALL) GROUP BY ALL), c2 AS (SELECT link_id, count(DISTINCT route_id) AS n FROM fixes GROUP BY ALL)"
 
 
 def _two_counts(s, d):
     f = X.fixes(s, d)
-    return network.trips_per_link(f.where("fix_idx < 2 AND link_id < 60")), network.trips_per_link(f.where("link_id < 80"))
+    return network.trips_per_link(f.groupBy("route_id").agg(F.min_by("link_id", "fix_idx").alias("link_id"))), network.trips_per_link(f)
 
 
 @_query("SELECT len(list_filter(e, lambda x: x < length)) AS bucket, count(*) AS links, round(avg(CAST(coalesce(c2.n, 0) > 0 AS INT)) - avg(CAST(coalesce(c1.n, 0) > 0 AS INT)), 9) AS delta, round(avg(coalesce(c2.n, 0)) / nullif(avg(coalesce(c1.n, 0)), 0), 6) AS ratio FROM sized LEFT JOIN c1 USING (link_id) LEFT JOIN c2 USING (link_id), (SELECT quantile_cont(length, [0.2, 0.4, 0.6, 0.8, 0.99, 1.0]) AS e FROM sized) GROUP BY ALL", "links", "fixes", "sized", "two_counts")
 def length_comparison(s, d):
-    """Two runs' trips on links by length; the runs are stood in for by first fixes on some links and all fixes on more."""
+    """Two runs' trips on links by length; one run counts a trip where it begins, the other wherever it goes."""
     sized = X.links(s).select("link_id", (F.col("speed") * F.col("lanes") + F.col("link_id") * 0.5).alias("length"))
     return network.compare_buckets(sized, *_two_counts(s, d)).select("bucket", "links", F.round("delta", 9).alias("delta"), F.round("ratio", 6).alias("ratio"))
 
@@ -534,20 +562,20 @@ def _trip_pings(s, d):
 
 _PROJ = lambda lat, lon: (f"radians({lon} + CAST(111.90 AS DOUBLE)) * CAST(6371000 AS DOUBLE) * cos(radians(CAST(40.75 AS DOUBLE)))", f"radians({lat} - CAST(40.75 AS DOUBLE)) * CAST(6371000 AS DOUBLE)")
 X.SQL["trip_off"] = (
-    "asked AS (SELECT route_id, fix_idx, link_id, sec + CASE WHEN fix_idx % 5 = 0 THEN 0.4 ELSE 0 END AS t FROM trip_pings WHERE route_id IN (SELECT route_id FROM trip_pings GROUP BY ALL HAVING count(DISTINCT link_id) >= 3)), "
-    "last_ping AS (SELECT route_id, sec, arg_max(lat, seq) AS lat, arg_max(lon, seq) AS lon FROM trip_pings WHERE seq % 7 <> 0 GROUP BY ALL), "
+    "asked AS (SELECT route_id, fix_idx, link_id, sec + CASE WHEN fix_idx % 5 = 0 THEN 0.4 WHEN fix_idx % 5 = 1 THEN 0.6 ELSE 0 END AS t FROM trip_pings WHERE route_id IN (SELECT route_id FROM trip_pings GROUP BY ALL HAVING count(DISTINCT link_id) >= 3)), "
+    "last_ping AS (SELECT route_id, sec, arg_max(lat, seq) AS lat, arg_max(lon, seq) AS lon FROM trip_pings GROUP BY ALL), "
     f"placed AS (SELECT a.route_id, a.fix_idx, a.link_id, {_PROJ('p.lat', 'p.lon')[0]} AS px, {_PROJ('p.lat', 'p.lon')[1]} AS py FROM asked a JOIN last_ping p ON p.route_id = a.route_id AND p.sec = CAST(round(a.t) AS BIGINT)), "
-    f"shapes AS (SELECT link_id, {_PROJ('lat1', 'lon1')[0]} AS ax, {_PROJ('lat1', 'lon1')[1]} AS ay, {_PROJ('lat2', 'lon2')[0]} AS bx, {_PROJ('lat2', 'lon2')[1]} AS by_ FROM links WHERE link_id % 10 <> 9 UNION ALL SELECT link_id, {_PROJ('lat1', 'lon1')[0]}, {_PROJ('lat1', 'lon1')[1]}, {_PROJ('lat1', 'lon2')[0]}, {_PROJ('lat1', 'lon2')[1]} FROM links WHERE link_id % 10 <> 9), "
+    f"shapes AS (SELECT link_id, {_PROJ('lat1', 'lon1')[0]} AS ax, {_PROJ('lat1', 'lon1')[1]} AS ay, {_PROJ('lat2', 'lon2')[0]} AS bx, {_PROJ('lat2', 'lon2')[1]} AS by_ FROM links UNION ALL SELECT link_id, {_PROJ('lat1', 'lon1')[0]}, {_PROJ('lat1', 'lon1')[1]}, {_PROJ('lat1', 'lon2')[0]}, {_PROJ('lat1', 'lon2')[1]} FROM links), "
     "trip_off AS (SELECT route_id, fix_idx, min(sqrt((px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2)) AS d FROM (SELECT *, greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / greatest(dx * dx + dy * dy, CAST(1e-9 AS DOUBLE)))) AS t FROM (SELECT route_id, fix_idx, px, py, ax, ay, bx - ax AS dx, by_ - ay AS dy FROM placed JOIN shapes USING (link_id))) GROUP BY ALL)"
 )
 
 
 def _trip_off(s, d):
-    """Fixes at the pings' seconds, some of them a little later; every seventh ping is lost, every tenth link has no shape."""
+    """Fixes at the pings' seconds, some of them a little later, and a few more in the next second, where a ping is only by chance."""
     p = _trip_pings(s, d)
-    fixes = p.select("route_id", "fix_idx", "link_id", (F.col("sec") + F.when(F.col("fix_idx") % 5 == 0, 0.4).otherwise(0.0)).alias("t"))
-    known = X.links(s).where("link_id % 10 != 9").select("link_id", "lat1", "lon1", "lat2", "lon2")
-    return network.trip_residuals(fixes, p.where("seq % 7 != 0"), known.unionByName(known.withColumn("lat2", F.col("lat1"))))
+    fixes = p.select("route_id", "fix_idx", "link_id", (F.col("sec") + F.when(F.col("fix_idx") % 5 == 0, 0.4).when(F.col("fix_idx") % 5 == 1, 0.6).otherwise(0.0)).alias("t"))
+    known = X.links(s).select("link_id", "lat1", "lon1", "lat2", "lon2")
+    return network.trip_residuals(fixes, p, known.unionByName(known.withColumn("lat2", F.col("lat1"))))
 
 
 @_query("SELECT route_id, fix_idx, round(d, 3) AS d FROM trip_off", "pings", "links", "trip_pings", "trip_off")
@@ -555,7 +583,7 @@ def trip_residuals(s, d):
     return _trip_off(s, d)[0].select("route_id", "fix_idx", F.round("d", 3).alias("d"))
 
 
-@_query("SELECT count(*) FILTER (a.link_id % 10 = 9) AS no_shape, count(*) FILTER (a.link_id % 10 <> 9 AND p.sec IS NULL) AS no_ping FROM asked a LEFT JOIN last_ping p ON p.route_id = a.route_id AND p.sec = CAST(round(a.t) AS BIGINT) WHERE a.route_id IN (SELECT route_id FROM last_ping)", "pings", "links", "trip_pings", "trip_off")
+@_query("SELECT count(*) FILTER (a.link_id NOT IN (SELECT link_id FROM links)) AS no_shape, count(*) FILTER (a.link_id IN (SELECT link_id FROM links) AND p.sec IS NULL) AS no_ping FROM asked a LEFT JOIN last_ping p ON p.route_id = a.route_id AND p.sec = CAST(round(a.t) AS BIGINT) WHERE a.route_id IN (SELECT route_id FROM last_ping)", "pings", "links", "trip_pings", "trip_off")
 def trip_residual_skips(s, d):
     return _trip_off(s, d)[1]
 
@@ -653,5 +681,5 @@ def calendar_days(s, d):
     return X.pings(s, d).groupBy(calendar.day_of_week(bow).alias("dow")).agg(F.count("*").alias("n"))
 
 
-#: Without SQL: a hash that it lacks, a search, and decoding; unit tests hold these.
-_Q |= {f.__name__: f for f in (psi_cross_validation, fit_exponents, hmm_match, match_counters)}
+#: Without SQL: converged chains by the hundred, a hash that it lacks, a search, and decoding; unit tests hold these.
+_Q |= {f.__name__: f for f in (psi_chain_errors, psi_grid_fit, psi_cross_validation, event_report, fit_exponents, hmm_match, match_counters)}
