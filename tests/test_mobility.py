@@ -1,5 +1,6 @@
 """Chains, matching, sweeps, scans, sinks and streams on tables that can be worked out by hand."""
 
+import heapq
 import json
 import math
 import struct
@@ -124,6 +125,97 @@ def test_matching_follows_the_street(spark):
     assert counters == {"trips": 4, "too_short": 1, "matched": 2, "unmatched": 1}
 
 
+def test_matching_equals_dijkstra_and_viterbi(spark):
+    """Sparse pings on a street grid of 150 m, some two kilometres apart, against a plain decoder over plain shortest ways."""
+    r = np.random.default_rng(11)
+    side, step = 9, 150.0
+    at = lambda x, y: (40.75 + float(np.degrees(y / 6371000)), -111.90 + float(np.degrees(x / (6371000 * np.cos(np.radians(40.75))))))
+    shape = {}
+    for x in range(side):
+        for y in range(side):
+            for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)):
+                if 0 <= x + dx < side and 0 <= y + dy < side and r.uniform() < 0.85:
+                    shape[len(shape)] = ((x, y), (x + dx, y + dy))
+    shape = {k: tuple((float(p[0]) * step + jog[0], float(p[1]) * step + jog[1]) for p in ends) for k, ends in shape.items() for jog in [(float(r.normal(0, 3)), float(r.normal(0, 3)))]}
+    cell = lambda p: (round(p[0] / step), round(p[1] / step))
+    after = {k: [j for j, (u, v) in shape.items() if cell(u) == cell(b) and cell(v) != cell(a)] for k, (a, b) in shape.items()}
+    size = {k: float(np.hypot(b[0] - a[0], b[1] - a[1])) for k, (a, b) in shape.items()}
+    track = {1: [(20, 10), (600, 130), (1190, 1180), (300, 900), (40, 60)], 2: [(0, 1200), (1200, 0), (1150, 420)], 3: [(150, 20), (150, 200), (160, 420), (330, 450)]}
+    points = [(t, k, float(k), float(x + r.normal(0, 8)), float(y + r.normal(0, 8))) for t, way in track.items() for k, (x, y) in enumerate(way)]
+    max_dist, sigma, beta, detour = 120.0, 20.0, 50.0, 1500.0
+
+    def ways(a):
+        """Least metres between the end of a and the start of every link."""
+        todo, gap = [(0.0, j) for j in after[a]], {}
+        while todo:
+            g, j = heapq.heappop(todo)
+            if j not in gap:
+                gap[j] = g
+                for n in after[j]:
+                    heapq.heappush(todo, (g + size[j], n))
+        return gap
+
+    def near(x, y):
+        for k, ((ax, ay), (bx, by)) in shape.items():
+            u = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / size[k] ** 2))
+            d = float(np.hypot(x - ax - u * (bx - ax), y - ay - u * (by - ay)))
+            if d <= max_dist:
+                yield k, d, u * size[k]
+
+    gaps, want = {k: ways(k) for k in shape}, {}
+    for t in track:
+        chain, before = [], None
+        for _, k, _, x, y in [p for p in points if p[0] == t]:
+            now = {}
+            for j, d, along in near(x, y):
+                own, steps = 0.5 * (d / sigma) ** 2, []
+                for i, (cost, start, _) in (before[0] if before else {}).items():
+                    straight = float(np.hypot(x - before[1], y - before[2]))
+                    way = along - start if i == j and along >= start else size[i] - start + gaps[i].get(j, np.inf) + along
+                    if way <= straight + detour:
+                        steps.append((cost + abs(way - straight) / beta, i))
+                if steps or before is None:
+                    cost, back = min(steps) if steps else (0.0, None)
+                    now[j] = (own + cost, along, back)
+            assert now
+            before = (now, x, y)
+            chain.append((k, now))
+        link = min(chain[-1][1], key=lambda j: chain[-1][1][j][0])
+        for k, now in reversed(chain):
+            want[t, k] = link
+            link = now[link][2]
+    pings = spark.createDataFrame([(t, k, s, *at(x, y)) for t, k, s, x, y in points], "route_id long, fix_idx long, t double, lat double, lon double")
+    segments = spark.createDataFrame([(k, *at(*a), *at(*b)) for k, (a, b) in shape.items()], "link_id long, lat1 double, lon1 double, lat2 double, lon2 double")
+    adjacency = spark.createDataFrame([(a, b) for a, bs in after.items() for b in bs], "src long, dst long")
+    asked = {"max_dist": max_dist, "sigma": sigma, "beta": beta, "detour": detour, "min_fixes": 2}
+    assert {(x.route_id, x.fix_idx): x.link_id for x in matching.match(pings, segments, adjacency, **asked).collect()} == want
+    paths = {}
+    for x in matching.match_paths(pings, segments, adjacency, **asked).orderBy("route_id", "fix_idx", "i").collect():
+        paths.setdefault((x.route_id, x.fix_idx), []).append(x)
+    for (t, k), rows in paths.items():
+        assert rows[-1].emitting and rows[-1].link_id == want[t, k] and not any(x.emitting for x in rows[:-1]) and rows[0].linked == (k > 0)
+        if k:
+            links = [want[t, k - 1], *(x.link_id for x in rows)]
+            assert len(rows) == 1 and links[0] == links[1] or all(b in after[a] for a, b in zip(links, links[1:], strict=False))
+            assert abs(sum(size[j] for j in links[1:-1]) - (0 if len(rows) == 1 and links[0] == links[1] else gaps[links[0]][links[-1]])) < 1e-2
+    assert max(map(len, paths.values())) > 6
+    broken = matching.match(pings, segments, adjacency, **asked | {"max_leap": 500.0})
+    assert broken.count() == len(points)
+    assert matching.match(pings.limit(0), segments, adjacency).count() == 0 and matching.match(pings, segments.limit(0), adjacency).count() == 0
+
+
+def test_a_segment_has_few_cells(spark):
+    rows = [(1, 40.75, -111.9, 40.75, -111.9), (2, 40.0, -112.9, 41.5, -110.9), (3, 40.75, -111.9, 40.7511, -111.899), (4, None, -111.9, 40.7, -111.8)]
+    segments = spark.createDataFrame(rows, "link_id long, lat1 double, lon1 double, lat2 double, lon2 double")
+    many = {x["link_id"]: x["count"] for x in matching.cells(segments, 400.0).groupBy("link_id").count().collect()}
+    assert many.keys() == {1, 2, 3} and max(many.values()) <= 16
+    pings = spark.createDataFrame([(1, 0, 0.0, 40.75, -111.9), (1, 1, 1.0, 40.7505, -111.8995), (1, 2, 2.0, 41.4, -111.0), (1, 3, 3.0, None, None)], "route_id long, fix_idx long, t double, lat double, lon double")
+    for reach in (50.0, 400.0, 5000.0):
+        got = {(x.fix_idx, x.link_id) for x in matching.candidates(pings, segments, reach).collect()}
+        every = network.measure_residuals(pings.crossJoin(segments.select("link_id")), segments, ["fix_idx", "link_id"]).where(F.col("d") <= reach).collect()
+        assert got == {(x.fix_idx, x.link_id) for x in every}
+
+
 def test_candidates_equal_all_pairs_within_reach(spark):
     segments, _ = roads(spark)
     r = np.random.default_rng(6)

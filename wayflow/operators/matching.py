@@ -1,11 +1,12 @@
 """Map matching: a hidden Markov model over the links near each ping.
 
-Candidates come from an equi-join on grid cells, transitions from joins of neighbouring pings' candidates with a table of reachable
-links, and only the decoding of a trip, whose size is that of the trip, is a function in Python.
+Candidates come from an equi-join on the cells of a quad-tree, transitions from joins of neighbouring pings' candidates with a table of
+shortest ways on the network, and only the decoding of a part of a trip, whose size is that of the part, is a function in Python.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,87 +15,157 @@ from pyspark.sql.window import Window as W
 from wayflow.functions.geo import point_segment, project
 
 
+def cells(segments: DataFrame, max_dist: float) -> DataFrame:
+    """Segments (link_id, lat1, lon1, lat2, lon2) in metres (ax, ay, bx, by), once in each cell (level, cx, cy) that they may be near to.
+
+    A cell of level n has a side of ``max_dist`` * 2 ** n.  A segment is listed at the level whose cells are as large as itself, so it has
+    16 cells at most, however long it is.  Segments without a coordinate are left out.
+    """
+    (ax, ay), (bx, by) = (project(F.col("lat" + k), F.col("lon" + k)) for k in ("1", "2"))
+    shape = segments.select("link_id", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by")).dropna(subset=["ax", "ay", "bx", "by"])
+    extent = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
+    shape = shape.withColumn("level", F.ceil(F.log2(F.greatest(extent / max_dist, F.lit(1.0)))).cast("int"))
+    side = max_dist * F.pow(F.lit(2.0), F.col("level"))
+    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - max_dist) / side), F.floor((F.greatest(a, b) + max_dist) / side))
+    return shape.withColumn("cx", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("cy", F.explode(span(F.col("ay"), F.col("by"))))
+
+
 def candidates(pings: DataFrame, segments: DataFrame, max_dist: float = 400.0) -> DataFrame:
     """``pings`` (route_id, fix_idx, t, lat, lon) with each link within ``max_dist`` metres: link_id, d, along, length.
 
-    Segments (link_id, lat1, lon1, lat2, lon2) are listed in every cell of side ``max_dist`` that they may be near to, so a ping meets
-    them in its own cell alone.
+    A ping looks into its own cell of each level that has segments (see ``cells``).
     """
-    (px, py), (ax, ay), (bx, by) = (project(F.col("lat" + k), F.col("lon" + k)) for k in ("", "1", "2"))
-    cell = lambda c: F.floor(c / max_dist)
-    at = pings.withColumns({"px": px, "py": py}).withColumns({"cx": cell(F.col("px")), "cy": cell(F.col("py"))})
-    span = lambda a, b: F.sequence(cell(F.least(a, b)) - 1, cell(F.greatest(a, b)) + 1)
-    shape = segments.select("link_id", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
-    shape = shape.withColumn("cx", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("cy", F.explode(span(F.col("ay"), F.col("by"))))
+    shape = cells(segments, max_dist)
+    levels = [r.level for r in shape.select("level").distinct().collect()] or [0]  # some tens at most: a level doubles the length
+    px, py = project(F.col("lat"), F.col("lon"))
+    at = pings.withColumns({"px": px, "py": py}).withColumn("level", F.explode(F.array(*map(F.lit, sorted(levels)))))
+    side = max_dist * F.pow(F.lit(2.0), F.col("level"))
+    at = at.withColumns({"cx": F.floor(F.col("px") / side), "cy": F.floor(F.col("py") / side)})
     p, a, b = ((F.col(k + "x"), F.col(k + "y")) for k in "pab")
     dx, dy = b[0] - a[0], b[1] - a[1]
     length = F.hypot(dx, dy)
     along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-9)))) * length
-    near = at.join(shape, ["cx", "cy"]).withColumns({"d": point_segment(*p, *a, *b), "along": along, "length": length}).where(F.col("d") <= max_dist)
+    near = at.join(shape, ["level", "cx", "cy"]).withColumns({"d": point_segment(*p, *a, *b), "along": along, "length": length}).where(F.col("d") <= max_dist)
     best = F.min(F.struct("d", "along", "length")).alias("m")  # a link of several segments: its nearest
     return near.groupBy("route_id", "fix_idx", "t", "px", "py", "link_id").agg(best).select("route_id", "fix_idx", "t", "px", "py", "link_id", "m.*")
 
 
-def reachable(adjacency: DataFrame, lengths: DataFrame, hops: int = 3) -> DataFrame:
-    """(src, dst, gap): least metres of whole links between the end of src and the start of dst, over ``hops`` successors at most."""
-    step = adjacency.select("src", "dst").distinct()
-    now = step.withColumn("gap", F.lit(0.0))
-    out = now
-    over = step.join(lengths.select(F.col("link_id").alias("src"), "length"), "src").select(F.col("src").alias("mid"), F.col("dst").alias("next"), "length")
-    for _ in range(hops - 1):
-        now = now.join(over, F.col("dst") == F.col("mid")).groupBy("src", F.col("next").alias("dst")).agg(F.min(F.col("gap") + F.col("length")).alias("gap"))
-        out = out.unionByName(now)
-    return out.groupBy("src", "dst").agg(F.min("gap").alias("gap"))
+def reachable(adjacency: DataFrame, lengths: DataFrame, starts: DataFrame) -> DataFrame:
+    """(src, dst, gap, way): least metres of whole links between the end of src and the start of dst, and these links in order.
 
-
-def match(pings: DataFrame, segments: DataFrame, adjacency: DataFrame, max_dist: float = 400.0, sigma: float = 20.0, beta: float = 50.0, hops: int = 3, min_fixes: int = 5) -> DataFrame:
-    """(route_id, fix_idx, link_id, t): the likeliest link of each ping of trips with ``min_fixes`` pings or more.
-
-    The probability of a link falls with the square of its distance by ``sigma``, that of a step with the difference between the way
-    on the network and the straight line by ``beta``.  Where no step is possible the chain starts anew; pings without a link near
-    are left out.  Trips without any are absent.
+    ``starts`` (src, reach) has the links to start from and the metres that each may go at most.  A round of joins goes one link on from
+    every way that has got shorter in the round before, until none does; ways past the reach end at once.  Of ways of the same length
+    that with fewest links stays, then the first in order of their ids.  Links without a length can't be passed.
     """
+    step = adjacency.select("src", "dst").distinct()
+    over = step.join(lengths.where("length IS NOT NULL").select(F.col("link_id").alias("src"), "length"), "src").select(F.col("src").alias("mid"), F.col("dst").alias("next"), "length")
+    none = F.array().cast(f"array<{dict(step.dtypes)['src']}>")
+    front = starts.join(step, "src").select("src", "dst", "reach", F.lit(0.0).alias("gap"), none.alias("way")).checkpoint()
+    found = front
+    while not front.isEmpty():
+        on = front.join(over, F.col("dst") == F.col("mid")).withColumn("gap", F.col("gap") + F.col("length")).where("gap <= reach")
+        least = F.min(F.struct("gap", F.concat("way", F.array("mid")).alias("way"))).alias("m")
+        on = on.groupBy("src", F.col("next").alias("dst"), "reach").agg(least).select("src", "dst", "reach", "m.*")
+        known = found.select("src", "dst", F.col("gap").alias("known"))
+        front = on.join(known, ["src", "dst"], "left").where("known IS NULL OR gap < known").drop("known").checkpoint()
+        found = found.join(front, ["src", "dst"], "left_anti").unionByName(front).checkpoint()
+    return found.select("src", "dst", "gap", "way")
+
+
+def _decode(rows: pd.DataFrame) -> pd.DataFrame:
+    """The likeliest links of one part of a trip; of equal ones the smallest id.
+
+    ``rows`` have k, fix_idx, t, link_id, along, cost, and srcs and costs, the steps into them.
+    """
+    rows = rows.sort_values(["k", "link_id"], ignore_index=True)
+    names = pd.Index(rows["link_id"].unique()).sort_values()
+    link, own = names.get_indexer(rows["link_id"]), rows["cost"].to_numpy()
+    sizes = np.array([0 if x is None else len(x) for x in rows["srcs"]])
+    src = names.get_indexer(np.concatenate([x for x in rows["srcs"] if x is not None])) if sizes.any() else np.zeros(0, int)
+    costs = np.concatenate([x for x in rows["costs"] if x is not None]) if sizes.any() else np.zeros(0)
+    to, ends = np.repeat(np.arange(len(rows)), sizes), np.concatenate([[0], np.cumsum(sizes)])
+    bounds = np.flatnonzero(np.diff(rows["k"].to_numpy(), prepend=-1)).tolist() + [len(rows)]
+    best, back, lasts = np.full(len(names), np.inf), np.full(len(rows), -1), []
+    for a, z in zip(bounds, bounds[1:], strict=False):
+        some = slice(ends[a], ends[z])
+        total = best[src[some]] + costs[some]
+        order = np.lexsort((src[some], total, to[some]))
+        first = order[np.flatnonzero(np.diff(to[some][order], prepend=-1))]
+        first = first[np.isfinite(total[first])]
+        best = np.full(len(names), np.inf)
+        if len(first):
+            at = to[some][first]
+            best[link[at]] = own[at] + total[first]
+            back[at] = src[some][first]
+        else:  # the first ping, or no way from the one before
+            best[link[a:z]] = own[a:z]
+        lasts.append(int(np.argmin(best)))
+    chosen, at = [], -1
+    for a, z, last in zip(reversed(bounds[:-1]), reversed(bounds[1:]), reversed(lasts), strict=True):
+        row = a + int(np.searchsorted(link[a:z], last if at < 0 else at))
+        chosen.append(row)
+        at = back[row]
+    chosen.reverse()
+    out = rows.loc[chosen, ["route_id", "part", "fix_idx", "t", "link_id", "along"]].reset_index(drop=True)
+    out["linked"] = back[chosen] >= 0
+    return out
+
+
+def _matched(pings: DataFrame, segments: DataFrame, adjacency: DataFrame, max_dist: float, sigma: float, beta: float, detour: float, max_leap: float, min_fixes: int) -> tuple[DataFrame, DataFrame]:
+    """Decoded pings (route_id, part, fix_idx, t, link_id, along, linked), and the ways that were open to them."""
     long = pings.withColumn("n", F.count("*").over(W.partitionBy("route_id"))).where(F.col("n") >= min_fixes).drop("n")
-    near = candidates(long, segments, max_dist)
-    order = near.select("route_id", "fix_idx").distinct().withColumn("k", F.row_number().over(W.partitionBy("route_id").orderBy("fix_idx")))
+    near = candidates(long, segments, max_dist).checkpoint()
+    trip = W.partitionBy("route_id").orderBy("fix_idx")
+    leap = F.hypot(F.lead("px").over(trip) - F.col("px"), F.lead("py").over(trip) - F.col("py"))
+    order = near.select("route_id", "fix_idx", "px", "py").distinct().withColumns({"k": F.row_number().over(trip), "leap": leap})
+    cut = (F.lag("leap").over(trip) > max_leap).cast("int")
+    order = order.withColumn("part", F.coalesce(F.sum(cut).over(trip), F.lit(0))).select("route_id", "fix_idx", "k", "part", "leap")
     near = near.join(order, ["route_id", "fix_idx"]).checkpoint()
     (ax, ay), (bx, by) = (project(F.col("lat" + k), F.col("lon" + k)) for k in ("1", "2"))
     lengths = segments.groupBy("link_id").agg(F.sum(F.hypot(bx - ax, by - ay)).alias("length"))
-    before = near.select("route_id", (F.col("k") + 1).alias("k"), F.col("link_id").alias("src"), F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("along").alias("from"), F.col("length").alias("whole"))
-    pairs = near.select("route_id", "k", "link_id", "px", "py", "along").join(before, ["route_id", "k"])
-    way = pairs.join(reachable(adjacency, lengths, hops).withColumnRenamed("dst", "link_id"), ["src", "link_id"], "left")
+    leaving = near.where(F.col("leap") <= max_leap)
+    ways = reachable(adjacency, lengths, leaving.groupBy(F.col("link_id").alias("src")).agg((F.max("leap") + detour).alias("reach")))
+    before = leaving.select("route_id", (F.col("k") + 1).alias("k"), F.col("link_id").alias("src"), "leap", F.col("along").alias("from"), F.col("length").alias("whole"))
+    pairs = near.select("route_id", "k", "link_id", "along").join(before, ["route_id", "k"])
+    way = pairs.join(ways.select("src", F.col("dst").alias("link_id"), "gap"), ["src", "link_id"], "left")
     ahead = F.when((F.col("src") == F.col("link_id")) & (F.col("along") >= F.col("from")), F.col("along") - F.col("from"))
     network = F.least(ahead, F.col("whole") - F.col("from") + F.col("gap") + F.col("along"))
-    steps = way.withColumn("network", network).where("network IS NOT NULL").select("route_id", "k", "link_id", "src", (F.abs(F.col("network") - F.hypot(F.col("px") - F.col("qx"), F.col("py") - F.col("qy"))) / beta).alias("cost"))
-    into = steps.groupBy("route_id", "k", "link_id").agg(F.collect_list(F.struct("src", "cost")).alias("steps"))
-    state = near.select("route_id", "k", "fix_idx", "t", "link_id", (0.5 * F.pow(F.col("d") / sigma, 2)).alias("cost")).join(into, ["route_id", "k", "link_id"], "left")
+    steps = way.withColumn("network", network).where(F.col("network") <= F.col("leap") + detour)
+    steps = steps.select("route_id", "k", "link_id", F.struct("src", (F.abs(F.col("network") - F.col("leap")) / beta).alias("cost")).alias("step"))
+    into = steps.groupBy("route_id", "k", "link_id").agg(F.collect_list("step").alias("steps"))
+    cost = (0.5 * F.pow(F.col("d") / sigma, 2)).alias("cost")
+    state = near.select("route_id", "part", "k", "fix_idx", "t", "link_id", "along", cost).join(into, ["route_id", "k", "link_id"], "left")
+    state = state.select("*", F.col("steps.src").alias("srcs"), F.col("steps.cost").alias("costs")).drop("steps")
     names = dict(state.dtypes)
+    schema = ", ".join(f"`{c}` {names[c]}" for c in ("route_id", "part", "fix_idx", "t", "link_id", "along")) + ", linked boolean"
+    return state.groupBy("route_id", "part").applyInPandas(_decode, schema), ways
+
+
+def match(pings: DataFrame, segments: DataFrame, adjacency: DataFrame, max_dist: float = 400.0, sigma: float = 20.0, beta: float = 50.0, detour: float = 2000.0, max_leap: float = 10_000.0, min_fixes: int = 5) -> DataFrame:
+    """(route_id, fix_idx, link_id, t): the likeliest link of each ping of trips with ``min_fixes`` pings or more.
+
+    The probability of a link falls with the square of its distance by ``sigma``, that of a step with the difference between the way
+    on the network and the straight line by ``beta``.  A step takes the shortest way, over any number of links without a ping; it is
+    impossible where that is more than ``detour`` metres longer than the straight line, or the pings are over ``max_leap`` metres
+    apart.  Where no step is possible the chain starts anew; pings without a link near are left out.  Trips without any are absent.
+    """
+    found, _ = _matched(pings, segments, adjacency, max_dist, sigma, beta, detour, max_leap, min_fixes)
+    return found.select("route_id", "fix_idx", "link_id", "t")
+
 
-    def decode(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["k", "link_id"])
-        best: dict = {}
-        backs, times = [], []
-        for _, g in rows.groupby("k", sort=True):
-            now, back = {}, {}
-            for link, cost, steps in zip(g["link_id"], g["cost"], g["steps"], strict=True):
-                ways = [(best[s["src"]] + s["cost"], s["src"]) for s in (steps if steps is not None else ()) if s["src"] in best]
-                if ways:
-                    least, back[link] = min(ways)
-                    now[link] = least + cost
-            if not now:  # the first ping, or no way from the one before
-                now, back = dict(zip(g["link_id"], g["cost"], strict=True)), {}
-            best = now
-            backs.append((now, back))
-            times.append((g["fix_idx"].iloc[0], g["t"].iloc[0]))
-        out, at = [], None
-        for (now, back), (idx, t) in zip(reversed(backs), reversed(times), strict=True):
-            if at is None:
-                at = min(now, key=lambda x: (now[x], x))
-            out.append((rows["route_id"].iloc[0], idx, at, t))
-            at = back.get(at)
-        return pd.DataFrame(out[::-1], columns=["route_id", "fix_idx", "link_id", "t"])
-
-    return state.groupBy("route_id").applyInPandas(decode, f"route_id {names['route_id']}, fix_idx {names['fix_idx']}, link_id {names['link_id']}, t {names['t']}")
+def match_paths(pings: DataFrame, segments: DataFrame, adjacency: DataFrame, max_dist: float = 400.0, sigma: float = 20.0, beta: float = 50.0, detour: float = 2000.0, max_leap: float = 10_000.0, min_fixes: int = 5) -> DataFrame:
+    """(route_id, fix_idx, i, link_id, emitting, linked): for each ping of ``match`` its own link, and before it those passed without a ping.
+
+    The order is that of fix_idx and i.  ``emitting`` marks the ping's own link; ``linked`` is false where the chain starts anew.
+    """
+    found, ways = _matched(pings, segments, adjacency, max_dist, sigma, beta, detour, max_leap, min_fixes)
+    trip = W.partitionBy("route_id").orderBy("fix_idx")
+    rows = found.withColumns({"src": F.lag("link_id").over(trip), "from": F.lag("along").over(trip)})
+    moved = F.col("linked") & ~((F.col("src") == F.col("link_id")) & (F.col("along") >= F.col("from")))
+    rows = rows.withColumn("src", F.when(moved, F.col("src"))).join(ways.select("src", F.col("dst").alias("link_id"), "way"), ["src", "link_id"], "left")
+    between = F.transform(F.coalesce("way", F.array().cast(dict(ways.dtypes)["way"])), lambda x: F.struct(x.alias("link_id"), F.lit(False).alias("emitting")))
+    own = F.array(F.struct(F.col("link_id"), F.lit(True).alias("emitting")))
+    return rows.select("route_id", "fix_idx", "linked", F.posexplode(F.concat(between, own)).alias("i", "x")).select("route_id", "fix_idx", "i", "x.link_id", "x.emitting", "linked")
 
 
 def match_counters(pings: DataFrame, matched: DataFrame, min_fixes: int = 5) -> DataFrame:
