@@ -146,19 +146,19 @@ def graph_diffusion(s, d):
     return graph.diffuse(dense, graph.kernel(X.adjacency(s))).select("slot", "link_id", _r(F.col("p")).alias("p_ppm"))
 
 
-@_query("SELECT src, dst, round(1.0 / count(*) OVER (PARTITION BY src), 9) AS p FROM adjacency", "adjacency")
+@_query("SELECT src, dst, round(1.0 / count(*) OVER (PARTITION BY src), 9) AS p FROM adjacency", "passes")
 def kernel_uniform(s, d):
-    return graph.kernel(X.adjacency(s)).select("src", "dst", F.round("p", 9).alias("p"))
+    return graph.kernel(X.passes(s, d)).select("src", "dst", F.round("p", 9).alias("p"))
 
 
-@_query(f"SELECT src, dst, {_sr('p')} AS p_ppm FROM kernel", "links", "adjacency", "weights", "kernel")
+@_query(f"SELECT src, dst, {_sr('p')} AS p_ppm FROM kernel", "streets", "passes", "weights", "kernel")
 def kernel_weighted(s, d):
-    return _weighted(s).select("src", "dst", _r(F.col("p")).alias("p_ppm"))
+    return graph.kernel(X.passes(s, d), graph.weights(X.streets(s, d), 1.7513, 0.4358)).select("src", "dst", _r(F.col("p")).alias("p_ppm"))
 
 
-@_query("SELECT a.src, a.dst, round(coalesce(greatest(-1, least(1, ((l1.lon2 - l1.lon1) * (l2.lon2 - l2.lon1) + (l1.lat2 - l1.lat1) * (l2.lat2 - l2.lat1)) / nullif(sqrt((l1.lon2 - l1.lon1) ** 2 + (l1.lat2 - l1.lat1) ** 2) * sqrt((l2.lon2 - l2.lon1) ** 2 + (l2.lat2 - l2.lat1) ** 2), 0))), 0), 6) + 0 AS turn FROM adjacency a JOIN links l1 ON a.src = l1.link_id JOIN links l2 ON a.dst = l2.link_id", "links", "adjacency")
+@_query("SELECT a.src, a.dst, round(coalesce(greatest(-1, least(1, ((l1.lon2 - l1.lon1) * (l2.lon2 - l2.lon1) + (l1.lat2 - l1.lat1) * (l2.lat2 - l2.lat1)) / nullif(sqrt((l1.lon2 - l1.lon1) ** 2 + (l1.lat2 - l1.lat1) ** 2) * sqrt((l2.lon2 - l2.lon1) ** 2 + (l2.lat2 - l2.lat1) ** 2), 0))), 0), 6) + 0 AS turn FROM adjacency a JOIN links l1 ON a.src = l1.link_id JOIN links l2 ON a.dst = l2.link_id", "streets", "passes")
 def turn_cosine(s, d):
-    return graph.turns(X.adjacency(s), X.links(s)).select("src", "dst", (F.round("turn", 6) + 0.0).alias("turn"))
+    return graph.turns(X.passes(s, d), X.streets(s, d)).select("src", "dst", (F.round("turn", 6) + 0.0).alias("turn"))
 
 
 def _steps(n: int, body) -> str:
@@ -215,10 +215,10 @@ def mre_by_slot_k(s, d):
     return stats.relative_error(_fixed(s, d, chain.Model()), _prior(s, d)).select("slot", F.round("mre", 6).alias("mre"))
 
 
-@_query(f"SELECT src, dst, {_sr('w / sum(w) OVER (PARTITION BY src)')} AS p_ppm FROM adjacency JOIN weights ON dst = link_id WHERE src NOT IN (3, 50) AND dst NOT IN (3, 50)", "links", "adjacency", "weights")
+@_query(f"SELECT src, dst, {_sr('w / sum(w) OVER (PARTITION BY src)')} AS p_ppm FROM adjacency JOIN weights ON dst = link_id WHERE src NOT IN (3, 50) AND dst NOT IN (3, 50)", "streets", "passes", "weights")
 def closure_kernel(s, d):
-    a = graph.close_links(X.adjacency(s), X.links(s).where(CLOSED))
-    return graph.kernel(a, graph.weights(X.links(s), 1.7513, 0.4358)).select("src", "dst", _r(F.col("p")).alias("p_ppm"))
+    a = graph.close_links(X.passes(s, d), X.streets(s, d).where(CLOSED))
+    return graph.kernel(a, graph.weights(X.streets(s, d), 1.7513, 0.4358)).select("src", "dst", _r(F.col("p")).alias("p_ppm"))
 
 
 def _pv(s, d):
@@ -314,20 +314,14 @@ def temporal_split(s, d):
     return c.crossJoin(F.broadcast(c.agg(F.min("slot").alias("first")))).groupBy(part.alias("part")).agg(F.count("*").alias("cells"), F.sum("c").alias("trips"))
 
 
-@_query("SELECT link_id FROM links WHERE (lat1 + lat2) / 2 BETWEEN 40.715 AND 40.755 AND abs(lat2 - lat1) > 1.5 * abs(lon2 - lon1) AND lat2 > lat1 AND speed >= 31", "links")
+@_query("SELECT link_id FROM links WHERE (lat1 + lat2) / 2 BETWEEN 40.715 AND 40.755 AND abs(lat2 - lat1) > 1.5 * abs(lon2 - lon1) AND lat2 > lat1 AND speed >= 31", "streets")
 def bbox_links(s, d):
-    return graph.in_box(X.links(s), 40.715, 40.755, along="lat", upward=True, least_speed=31).select("link_id")
+    return graph.in_box(X.streets(s, d), 40.715, 40.755, along="lat", upward=True, least_speed=31).select("link_id")
 
 
-_RUNS = ((1.0, 2.195), (1.75, 2.767), (3.0, 3.150), (3.5, 3.223), (3.75, 3.247), (4.0, 3.264), (5.0, 3.308))
-
-
-@_query("SELECT declared, round(measured - declared, 6) AS gap, declared = (SELECT min(declared) FROM runs WHERE measured < declared) AS chosen FROM runs", )
+@_query("SELECT declared, round(measured - declared, 6) AS gap, declared = (SELECT min(declared) FROM runs WHERE measured < declared) AS chosen FROM runs", "runs")
 def sigma_table(s, d):
-    return stats.sigma_table(s.createDataFrame(_RUNS, "declared double, measured double")).select("declared", F.round("gap", 6).alias("gap"), "chosen")
-
-
-_S["sigma_table"] = f"WITH runs(declared, measured) AS (VALUES {', '.join(f'(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))' for a, b in _RUNS)}) " + _S["sigma_table"]
+    return stats.sigma_table(X.runs(s, d)).select("declared", F.round("gap", 6).alias("gap"), "chosen")
 
 
 _XY = ", ".join(f"radians(lon{k} + CAST(111.90 AS DOUBLE)) * CAST(6371000 AS DOUBLE) * cos(radians(CAST(40.75 AS DOUBLE))) AS {x}, radians(lat{k} - CAST(40.75 AS DOUBLE)) * CAST(6371000 AS DOUBLE) AS {y}" for k, x, y in (("", "px", "py"), ("1", "ax", "ay"), ("2", "bx", "by_")))

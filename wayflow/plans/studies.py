@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayflow.functions import calendar
 from wayflow.operators import chain, graph, matching, network, stats, sweeps, trips
-from wayflow.plans.catalog import _CHAIN, _PRIOR, _Q, _RUNS, BOX, CLOSED, X, _checkpointed, _counts, _fixed, _phase, _prior, _query, _r, _shares, _sr, _v, _weighted
+from wayflow.plans.catalog import _CHAIN, _PRIOR, _Q, BOX, CLOSED, X, _checkpointed, _counts, _fixed, _phase, _prior, _query, _r, _shares, _sr, _v, _weighted
 from wayflow.plans.catalog import _S as SQLS
 from wayflow.sources import files, sinks
 
@@ -133,9 +133,9 @@ def uniform_baseline(s, d):
 X.SQL["turned"] = "turned AS (SELECT a.src, a.dst, coalesce(greatest(-1, least(1, ((l1.lon2 - l1.lon1) * (l2.lon2 - l2.lon1) + (l1.lat2 - l1.lat1) * (l2.lat2 - l2.lat1)) / nullif(sqrt((l1.lon2 - l1.lon1) ** 2 + (l1.lat2 - l1.lat1) ** 2) * sqrt((l2.lon2 - l2.lon1) ** 2 + (l2.lat2 - l2.lat1) ** 2), 0))), 0) AS turn FROM adjacency a JOIN links l1 ON a.src = l1.link_id JOIN links l2 ON a.dst = l2.link_id)"
 
 
-@_query(f"SELECT src, dst, {_sr('f / sum(f) OVER (PARTITION BY src)')} AS p_ppm FROM (SELECT src, dst, w * greatest(1 + turn + {D(0.01)}, 0) ** {D(0.5)} AS f FROM turned JOIN weights ON dst = link_id)", "links", "adjacency", "weights", "turned")
+@_query(f"SELECT src, dst, {_sr('f / sum(f) OVER (PARTITION BY src)')} AS p_ppm FROM (SELECT src, dst, w * greatest(1 + turn + {D(0.01)}, 0) ** {D(0.5)} AS f FROM turned JOIN weights ON dst = link_id)", "streets", "passes", "weights", "turned")
 def turn_angle_kernel(s, d):
-    k = graph.angle_kernel(graph.turns(X.adjacency(s), X.links(s)), graph.weights(X.links(s), *SP), 0.5, 0.01)
+    k = graph.angle_kernel(graph.turns(X.passes(s, d), X.streets(s, d)), graph.weights(X.streets(s, d), *SP), 0.5, 0.01)
     return k.select("src", "dst", _r(F.col("p")).alias("p_ppm"))
 
 
@@ -360,9 +360,10 @@ def gamma_best(s, d):
     return stats.best(_swept(s, d).withColumn("score", F.round("overall_mean", 9)), "score", "gamma", ["kind"]).select("kind", "gamma")
 
 
-@_query("SELECT DISTINCT gamma FROM grid WHERE gamma = CAST(0.2 AS DOUBLE)", "grid")
+@_query("SELECT gamma, kind FROM swept ORDER BY abs(round(overall_mean, 9) - 1), round(overall_mean, 9) LIMIT 1", *_SWEEP)
 def gamma_nearest(s, d):
-    return stats.nearest(s.createDataFrame([(g,) for g in GAMMAS], "gamma double"), "gamma", 0.26)
+    """The swept gamma and kind of prediction whose error is nearest to the truth itself."""
+    return stats.nearest(_swept(s, d).withColumn("score", F.round("overall_mean", 9)), "score", 1.0).select("gamma", "kind")
 
 
 @_query(f"SELECT alpha, {_sr('avg(abs(p - q))')} AS moved FROM (SELECT alpha, slot, link_id, (c - {D(0.01)} + alpha) / sum(c - {D(0.01)} + alpha) OVER (PARTITION BY alpha, slot) AS p FROM dense, (SELECT unnest([{D(0.001)}, {D(0.01)}, {D(0.1)}, {D(1)}]) AS alpha)) JOIN (SELECT slot, link_id, (c - {D(0.01)}) / sum(c - {D(0.01)}) OVER (PARTITION BY slot) AS q FROM dense) USING (slot, link_id) GROUP BY alpha", *_PRIOR)
@@ -534,19 +535,15 @@ def coverage_gain(s, d):
     return network.coverage_gain(X.links(s), *_two_counts(s, d))
 
 
-@_query("SELECT declared, CASE WHEN declared = (SELECT min(declared) FROM runs WHERE measured < declared) THEN 'chosen' WHEN measured - declared > 0.5 THEN 'too tight' WHEN measured > declared THEN 'slightly too tight' ELSE 'too loose' END AS verdict FROM runs")
+@_query("SELECT declared, CASE WHEN declared = (SELECT min(declared) FROM runs WHERE measured < declared) THEN 'chosen' WHEN measured - declared > 0.5 THEN 'too tight' WHEN measured > declared THEN 'slightly too tight' ELSE 'too loose' END AS verdict FROM runs", "runs")
 def sigma_verdicts(s, d):
     """The runs as result files, one JSON object each, scanned over a glob."""
     at = _workspace(s)
-    for k, (declared, measured) in enumerate(_RUNS):
-        sinks.write_record(s.createDataFrame([(declared, (measured,))], "declared_sigma double, stats struct<sigma_std:double>"), f"{at}/run{k}")
+    X.runs(s, d).select(F.col("declared").alias("declared_sigma"), F.struct(F.col("measured").alias("sigma_std")).alias("stats")).write.option("maxRecordsPerFile", 1).json(f"{at}/runs")
     runs = files.result_json(s, f"{at}/run*/*.json", "declared_sigma double, stats struct<sigma_std:double>")
     return stats.sigma_table(runs.select(F.col("declared_sigma").alias("declared"), F.col("stats.sigma_std").alias("measured"))).select("declared", "verdict")
 
 
-SQLS["sigma_verdicts"] = f"WITH runs(declared, measured) AS (VALUES {', '.join(f'(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))' for a, b in _RUNS)}) " + SQLS["sigma_verdicts"]
-
-
 # Matching, residuals of trips, networks
 
 
@@ -588,33 +585,62 @@ def trip_residual_skips(s, d):
     return _trip_off(s, d)[1]
 
 
-def _road(s):
-    """Roads of a tenth of a degree in steps of a hundredth, with an end node at every fifth crossing; one road is cut by a side street."""
-    i = F.col("id")
-    edges = s.range(100).where("id % 10 != 9").select(i.alias("a"), (i + 1).alias("b"))
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(s.createDataFrame([(12, 200), (200, 12)], "a long, b long"))
-    ends = s.range(100).where("id % 5 = 0 OR id % 10 = 9").select("id")
-    tens = s.range(10).select((i * 10).alias("n"))
-    links = tens.select((F.col("n") + 1).alias("link_id"), F.col("n").alias("u"), (F.col("n") + 5).alias("v")).unionByName(tens.select((F.col("n") + 2).alias("link_id"), (F.col("n") + 5).alias("u"), F.col("n").alias("v"))).unionByName(tens.select((F.col("n") + 3).alias("link_id"), (F.col("n") + 5).alias("u"), (F.col("n") + 9).alias("v")))
-    return edges, ends, links
+def _road(s, d):
+    """A road a trip: a node a fix, with an end at every fifth and at the last, and a side street at the third node of every seventh road.
+
+    Links run between neighbouring ends, and back as well on two roads of three.
+    """
+    fix = X.fixes(s, d).select("route_id", F.col("fix_idx").alias("i"), (F.col("route_id") * 1000 + F.col("fix_idx")).alias("id"))
+    last = fix.groupBy("route_id").agg(F.max("i").alias("last"))
+    fix = fix.join(last, "route_id")
+    on = fix.where("i < last").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    side = fix.where("i = 2 AND route_id % 7 = 0").select(F.col("id").alias("a"), (F.col("route_id") * 1000 + 900).alias("b"))
+    both = on.unionByName(side)
+    edges = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = fix.where("i % 5 = 0 OR i = last").select("id")
+    far = F.col("route_id") * 1000 + F.least(F.col("i") + 5, F.col("last"))
+    ahead = fix.where("i % 5 = 0 AND i < last").select((F.col("id") * 2).alias("link_id"), F.col("id").alias("u"), far.alias("v"), "route_id")
+    back = ahead.where("route_id % 3 <> 0").select((F.col("link_id") + 1).alias("link_id"), F.col("v").alias("u"), F.col("u").alias("v"))
+    return edges, ends, ahead.drop("route_id").unionByName(back)
+
+
+X.SQL["on_roads"] = (
+    "on_roads AS (SELECT route_id, fix_idx AS i, fix_idx // 5 * 5 AS e, max(fix_idx) OVER (PARTITION BY route_id) AS last FROM fixes), "
+    "named AS (SELECT route_id, route_id * 1000 + i AS id, (route_id * 1000 + e) * 2 AS link_id FROM on_roads WHERE i < last AND NOT (route_id % 7 = 0 AND e = 0 AND least(e + 5, last) > 2))"
+)
 
 
-@_query("SELECT a, a + 1 AS b, a // 10 * 10 + CASE WHEN a % 10 < 5 THEN 1 ELSE 3 END AS link_id FROM range(100) t(a) WHERE a % 10 <> 9 AND NOT (a >= 10 AND a < 15) UNION ALL SELECT a + 1, a, a // 10 * 10 + 2 FROM range(100) t(a) WHERE a % 10 < 5 AND NOT (a >= 10 AND a < 15)")
+@_query("SELECT id AS a, id + 1 AS b, link_id FROM named UNION ALL SELECT id + 1, id, link_id + 1 FROM named WHERE route_id % 3 <> 0", "fixes", "on_roads")
 def chain_walk(s, d):
     _checkpointed(s)
-    return network.walk_chains(*_road(s)).select("a", "b", "link_id")
+    return network.walk_chains(*_road(s, d)).select("a", "b", "link_id")
+
+
+def _match_pings(s, d):
+    return _numbered(s, d).withColumn("fix_idx", F.col("seq")).select("route_id", "fix_idx", (F.col("us") / 1e6).alias("t"), "lat", "lon")
+
+
+def _match_graph(s):
+    return X.links(s).select("link_id", "lat1", "lon1", "lat2", "lon2"), X.adjacency(s)
 
 
 def _match(s, d):
     _checkpointed(s)
-    pings = _numbered(s, d).withColumn("fix_idx", F.col("seq")).select("route_id", "fix_idx", (F.col("us") / 1e6).alias("t"), "lat", "lon")
-    return pings, matching.match(pings, X.links(s).select("link_id", "lat1", "lon1", "lat2", "lon2"), X.adjacency(s), min_fixes=2)
+    pings = _match_pings(s, d)
+    return pings, matching.match(pings, *_match_graph(s), min_fixes=2)
 
 
 def hmm_match(s, d):
     return _match(s, d)[1].select("route_id", "fix_idx", "link_id")
 
 
+def hmm_paths(s, d):
+    """The matched links with those passed between two pings."""
+    _checkpointed(s)
+    pings = _match_pings(s, d)
+    return matching.match_paths(pings, *_match_graph(s), min_fixes=2).select("route_id", "fix_idx", "i", "link_id", "emitting", "linked")
+
+
 def match_counters(s, d):
     pings, matched = _match(s, d)
     return matching.match_counters(pings, matched, 2)
@@ -658,21 +684,25 @@ def matrix_by_date(s, d):
     return s.read.parquet(at).select(F.floor(F.col("slot") / 86400).alias("slot"), "link_id", "c")
 
 
-@_query("SELECT src, dst, count(*) AS n FROM adjacency GROUP BY ALL", "links", "adjacency")
+@_query("SELECT src, dst, count(*) AS n FROM adjacency WHERE src IN (SELECT link_id FROM links) GROUP BY ALL", "streets", "passes")
 def graph_scan(s, d):
-    """The graph as one JSON object, written and scanned."""
+    """The graph as JSON objects, one a file for every 500 link ids, written and scanned."""
     at = _workspace(s)
-    links = X.links(s).agg(F.map_from_entries(F.collect_list(F.struct(F.col("link_id").cast("string"), F.struct("speed", "lanes")))).alias("links"))
-    edges = X.adjacency(s).groupBy("src").agg(F.collect_list(F.col("dst").cast("string")).alias("d")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("src").cast("string"), "d"))).alias("adjacency"))
-    links.crossJoin(edges).write.json(at)
+    block = lambda c: F.floor(F.col(c) / 500).alias("block")
+    links = X.streets(s, d).groupBy(block("link_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("link_id").cast("string"), F.struct("speed", "lanes")))).alias("links"))
+    edges = X.passes(s, d).groupBy("src").agg(F.collect_list(F.col("dst").cast("string")).alias("d"))
+    edges = edges.groupBy(block("src")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("src").cast("string"), "d"))).alias("adjacency"))
+    links.join(edges, "block", "full").drop("block").write.option("maxRecordsPerFile", 1).json(at)
     links, adjacency = files.graph_json(s, at)
     known = links.select("link_id")
     return adjacency.join(known.withColumnRenamed("link_id", "src"), "src", "left_semi").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT strftime(TIMESTAMP '2018-09-08 10:00:00' + INTERVAL 5 MINUTE * i, '%Y-%m-%d %H:%M:%S') AS label FROM range(96) t(i)")
+@_query("SELECT strftime(unnest(generate_series(date_trunc('minute', min(ts)), date_trunc('minute', max(ts)), INTERVAL 5 MINUTE)), '%Y-%m-%d %H:%M:%S') AS label FROM events")
 def slot_labels(s, d):
-    return calendar.slots(s, "2018-09-08 10:00:00", "2018-09-08 17:55:00").select("label")
+    """Labels of all slots from the first event's minute to the last one's."""
+    first, last = s.read.parquet(f"{d}/events.parquet").agg(*(F.date_format(f("ts"), "yyyy-MM-dd HH:mm:00") for f in (F.min, F.max))).first()
+    return calendar.slots(s, first, last).select("label")
 
 
 @_query("SELECT (4 + ((us // 300000000 - 5960000) % 2016 + 2016) % 2016 // 288) % 7 AS dow, count(*) AS n FROM pings GROUP BY ALL", "pings")
@@ -682,4 +712,4 @@ def calendar_days(s, d):
 
 
 #: Without SQL: converged chains by the hundred, a hash that it lacks, a search, and decoding; unit tests hold these.
-_Q |= {f.__name__: f for f in (psi_chain_errors, psi_grid_fit, psi_cross_validation, event_report, fit_exponents, hmm_match, match_counters)}
+_Q |= {f.__name__: f for f in (psi_chain_errors, psi_grid_fit, psi_cross_validation, event_report, fit_exponents, hmm_match, hmm_paths, match_counters)}
