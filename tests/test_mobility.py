@@ -108,6 +108,42 @@ def roads(spark):
     return segments, spark.createDataFrame(steps, "src long, dst long")
 
 
+def test_quantiles_with_infinities(spark):
+    r = np.random.default_rng(3)
+    values = [*map(float, r.normal(0, 5, 4000)), *[math.inf] * 900, *[-math.inf] * 700, 1e308, -1e308, 5e-324, 0.0, 0.0]
+    rows = spark.createDataFrame([(v,) for v in [*values, None, math.nan]], "x double")
+    at = [0.0, 0.05, 0.125, 0.25, 0.5, 0.75, 0.999, 1.0]
+    with np.errstate(invalid="ignore"):
+        want = [float(np.quantile(values, q, method="lower")) for q in at], [float(np.quantile(values, q, method="higher")) for q in at]
+    for got, a, z in zip(stats.quantiles(rows, "x", at, bins=16, small=20), *want, strict=True):
+        assert a <= got <= z
+    assert stats.quantiles(rows.where("x = double('inf')"), "x", [0.5]) == [math.inf]
+    assert stats.quantiles(spark.createDataFrame([(1e308,), (-1e308,), (5e307,)], "x double"), "x", [0.5], small=1) == [5e307]
+    assert math.isnan(stats.quantiles(rows.limit(0), "x", [0.5])[0])
+
+
+def test_grouped_quantiles_equal_numpy(spark):
+    """One group has nine rows of ten, another nothing but nulls, a third the null key, a fourth infinities."""
+    r = np.random.default_rng(4)
+    data = [("hot", float(v), float(round(v))) for v in r.normal(0, 5, 5000)] + [("few", float(k), None) for k in range(4)] + [(None, 2.5, 1.0), (None, 3.5, math.nan)]
+    data += [("none", None, None), ("edge", math.inf, -math.inf), ("edge", 1.0, math.inf), ("edge", math.inf, 0.0)]
+    rows = spark.createDataFrame(data, "k string, x double, y double")
+    at = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {x.k: x for x in stats.grouped_quantiles(rows, ["k"], ["x", "y"], at).collect()}
+    assert got.keys() == {"hot", "few", None, "none", "edge"} and got["none"].x is None and got["few"].y is None
+    for k, column in (("hot", 1), ("hot", 2), ("few", 1), (None, 1)):
+        want = np.quantile([v[column] for v in data if v[0] == k], at)
+        assert np.allclose(got[k][column], want, rtol=1e-12, atol=1e-12)
+    assert got[None].y == [1.0] * 5 and got["edge"].x[2:] == [math.inf] * 3 and got["edge"].y[2] == 0.0 and got["edge"].y[4] == math.inf
+    assert stats.grouped_quantiles(rows.limit(0), ["k"], ["x"], [0.5]).count() == 0
+
+
+def test_the_last_of_repeated_cells_stands(spark):
+    cells = spark.createDataFrame([(1, 1, 5.0, 1), (1, 1, 2.0, 2), (1, 9, 3.0, 3)], "slot long, link_id long, c double, at long")
+    links = spark.createDataFrame([(1,), (2,)], "link_id long")
+    assert [tuple(x) for x in graph.project(cells, links, "at").collect()] == [(1, 1, 2.0)] and graph.project(cells, links).first().c == 7.0
+
+
 def test_matching_follows_the_street(spark):
     segments, adjacency = roads(spark)
     r = np.random.default_rng(5)

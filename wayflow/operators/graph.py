@@ -69,10 +69,10 @@ def smoothed(counts: DataFrame, links: DataFrame, uniform: DataFrame, alpha: flo
     return rows.select("slot", "link_id", ((F.col("s") + constant) / F.col("total")).alias("p"), (alpha / F.col("total")).alias("p_link"), ((1 - gamma) * alpha / F.col("total")).alias("p_dead"))
 
 
-def project(counts: DataFrame, links: DataFrame, assign: bool = False) -> DataFrame:
-    """Counts (slot, link_id, c) of links of the graph; other ids go.  Repeated cells are summed, or the largest stands (``assign``)."""
+def project(counts: DataFrame, links: DataFrame, last: str | None = None) -> DataFrame:
+    """Counts (slot, link_id, c) of links of the graph; other ids go.  Repeated cells are summed, or the one with the greatest ``last`` stands."""
     known = counts.join(links.select("link_id"), "link_id", "left_semi")
-    return known.groupBy("slot", "link_id").agg((F.max("c") if assign else F.sum("c")).alias("c"))
+    return known.groupBy("slot", "link_id").agg((F.sum("c") if last is None else F.max_by("c", last)).alias("c"))
 
 
 def at_slots(counts: DataFrame, slots: DataFrame) -> DataFrame:

@@ -15,20 +15,25 @@ def quantiles(rows: DataFrame, value: str, at: list[float], bins: int = 4096, sm
     """Exact quantiles with linear interpolation, without gathering all values in a task.
 
     Each pass counts equal bins of an interval and goes on with the bin that holds the rank, until it has ``small`` rows or one
-    value.  No rows: NaN.
+    value; the ends of an interval are never in one bin, so it always shrinks.  Nulls and NaN are left out, infinities are the first and
+    the last ranks.  No rows: NaN, and so is what lies between two infinities.
     """
     rows = rows.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
-    low, high, n = rows.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    finite = F.abs("x") < math.inf
+    below, within, n, low, high = rows.agg(F.count_if(F.col("x") == -math.inf), F.count_if(finite), F.count("*"), F.min(F.when(finite, F.col("x"))), F.max(F.when(finite, F.col("x")))).first()
     if not n:
         return [math.nan] * len(at)
+    rows = rows.where(finite)
 
     def counted(a: float, z: float) -> list[tuple[int, int, float, float]]:
-        spot = F.least(F.floor((F.col("x") - a) / ((z - a) / bins)), F.lit(bins - 1)).cast("int")
+        by = 1.0 if math.isfinite(z - a) else 0.5  # halves of the largest numbers have a finite distance
+        spot = F.least(F.floor((F.col("x") * by - a * by) / (z * by - a * by) * bins), F.lit(bins - 1)).cast("int")
         return sorted(tuple(r) for r in rows.where(F.col("x").between(a, z)).groupBy(spot.alias("bin")).agg(F.count("*"), F.min("x"), F.max("x")).collect())
 
-    tops = counted(low, high) if high > low else [(0, n, low, high)]
-    wanted = sorted({math.floor(q * (n - 1)) for q in at} | {math.ceil(q * (n - 1)) for q in at})
-    found: dict[int, float] = {}
+    ranks = {math.floor(q * (n - 1)) for q in at} | {math.ceil(q * (n - 1)) for q in at}
+    found: dict[int, float] = {r: -math.inf if r < below else math.inf for r in ranks if not below <= r < below + within}
+    wanted = sorted(r - below for r in ranks - found.keys())
+    tops = counted(low, high) if wanted and high > low else [(0, within, low, high)]
     while wanted:
         r, before, level = wanted[0], 0, tops
         while True:
@@ -41,9 +46,41 @@ def quantiles(rows: DataFrame, value: str, at: list[float], bins: int = 4096, sm
             level = counted(a, z)
         here = [k for k in wanted if k < before + count]
         values = None if a == z else [x.x for x in rows.where(F.col("x").between(a, z)).orderBy("x").collect()]
-        found |= {k: a if values is None else values[k - before] for k in here}
+        found |= {k + below: a if values is None else values[k - before] for k in here}
         wanted = wanted[len(here) :]
-    return [found[math.floor(q * (n - 1))] * (1 - q * (n - 1) % 1) + found[math.ceil(q * (n - 1))] * (q * (n - 1) % 1) for q in at]
+
+    def mixed(spot: float) -> float:
+        a, z, part = found[math.floor(spot)], found[math.ceil(spot)], spot % 1
+        return a if a == z else a * (1 - part) + z * part
+
+    return [mixed(q * (n - 1)) for q in at]
+
+
+def grouped_quantiles(rows: DataFrame, keys: list[str], values: list[str], at: list[float]) -> DataFrame:
+    """``keys``, and for each of ``values`` the array of its exact quantiles ``at`` in a group, with linear interpolation.
+
+    Values are counted, then sorted by group and value in ranges, so that a group of any size spreads over as many tasks as it has
+    distinct values for; offsets of the ranges and running counts within them give ranks.  Four shuffles, whatever the data.  Nulls and
+    NaN are left out and null keys are a group; infinities count, and half way between two of them is NaN.  A group without values has
+    nulls.  Needs a checkpoint folder.
+    """
+    key = F.struct(*keys).alias("key")
+    named = F.array(*(F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("x")) for v in values))
+    long = rows.select(key, F.inline(named)).where("x IS NOT NULL AND NOT isnan(x)").select(F.struct("key", "name").alias("g"), "x")
+    counted = long.groupBy("g", "x").agg(F.count("*").alias("n"))
+    spread = counted.repartitionByRange("g", "x").withColumn("bin", F.spark_partition_id()).checkpoint()
+    whole = W.partitionBy("g")
+    sums = spread.groupBy("g", "bin").agg(F.sum("n").alias("n"))  # a row a range, and one more for each group that starts in it
+    offsets = sums.select("g", "bin", (F.sum("n").over(whole.orderBy("bin")) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("total"))
+    upto = F.col("before") + F.sum("n").over(W.partitionBy("g", "bin").orderBy("x"))
+    ranked = spread.join(offsets, ["g", "bin"]).select("g", "x", "total", upto.alias("upto"))
+    spot = lambda q: F.lit(q) * (F.col("total") - 1)
+    ends = [F.min(F.when(F.col("upto") > f(spot(q)), F.col("x"))).alias(f"{k}{i}") for i, q in enumerate(at) for k, f in (("a", F.floor), ("z", F.ceil))]
+    found = ranked.groupBy("g", "total").agg(*ends)
+    part = lambda q: spot(q) - F.floor(spot(q))
+    mixed = [F.when(F.col(f"a{i}") == F.col(f"z{i}"), F.col(f"a{i}")).otherwise(F.col(f"a{i}") * (1 - part(q)) + F.col(f"z{i}") * part(q)) for i, q in enumerate(at)]
+    each = found.select("g", F.array(*mixed).alias("q")).groupBy("g.key").agg(*(F.first(F.when(F.col("g.name") == v, F.col("q")), ignorenulls=True).alias(v) for v in values))
+    return rows.select(key).distinct().join(each, "key", "left").select("key.*", *values)
 
 
 def robust(residuals: DataFrame, limit: float = 30.0, percentiles: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)) -> DataFrame:
@@ -217,8 +254,11 @@ def displacement_stats(cells: DataFrame, floor: float, at: tuple[float, ...] = (
 def band_medians(cells: DataFrame) -> DataFrame:
     """Per gamma and band of cells (gamma, band, mean, std, smooth_mean, smooth_std, d): size and medians; EMPTY has no ratio to std."""
     ratio = F.when(F.col("band") != "EMPTY", F.col("d") / F.greatest(F.col("std"), F.lit(1e-12)))
-    half = lambda c, name: F.percentile(c, F.lit(0.5)).alias(name)
-    return cells.withColumn("ratio", ratio).groupBy("gamma", "band").agg(F.count("*").alias("n"), half("mean", "med_mean"), half("std", "med_std"), half("smooth_mean", "med_smooth_mean"), half("smooth_std", "med_smooth_std"), half("d", "med_d"), half("ratio", "med_ratio"))
+    cells, values = cells.withColumn("ratio", ratio), ["mean", "std", "smooth_mean", "smooth_std", "d", "ratio"]
+    half = grouped_quantiles(cells, ["gamma", "band"], values, [0.5])
+    size = cells.groupBy("gamma", "band").agg(F.count("*").alias("n"))
+    same = size["gamma"].eqNullSafe(half["gamma"]) & size["band"].eqNullSafe(half["band"])
+    return size.join(half, same).select(size["gamma"], size["band"], "n", *(F.col(v)[0].alias(f"med_{v}") for v in values))
 
 
 def nearest(rows: DataFrame, value: str, target: float) -> DataFrame:

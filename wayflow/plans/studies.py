@@ -154,6 +154,13 @@ def smoothed_sparse(s, d):
     return full.select("slot", "link_id", _r(F.coalesce("p", F.when(F.col("alive"), F.col("p_link")).otherwise(F.col("p_dead")))).alias("p_ppm"))
 
 
+@_query("SELECT us // 86400000000 AS slot, link_id, arg_max(did, seq) AS c FROM pings WHERE link_id IN (SELECT link_id FROM links) GROUP BY ALL", "pings", "links")
+def project_last(s, d):
+    """Cells that come again: the last one stands."""
+    cells = X.pings(s, d).select(F.floor(F.col("us") / 86_400_000_000).alias("slot"), "link_id", F.col("did").alias("c"), "seq")
+    return graph.project(cells, X.links(s), "seq")
+
+
 @_query("SELECT slot, link_id, CAST(sum(c) AS DOUBLE) AS c FROM (SELECT slot, link_id % 90 + 20 AS link_id, c FROM counts) WHERE link_id < 100 GROUP BY ALL", "pings", "counts")
 def project_counts(s, d):
     return graph.project(_counts(s, d).withColumn("link_id", F.col("link_id") % 90 + 20), X.links(s)).select("slot", "link_id", "c")
@@ -392,6 +399,7 @@ def displacement_stats(s, d):
 
 @_query("SELECT gamma, band, count(*) AS n, " + ", ".join(f"round(quantile_cont({c}, 0.5) * 1000000, 3) AS med_{c}" for c in ("mean", "std", "smooth_mean", "smooth_std", "d")) + ", round(quantile_cont(CASE WHEN band <> 'EMPTY' THEN d / greatest(std, 1e-12) END, 0.5), 6) AS med_ratio FROM (SELECT *, CASE WHEN mean = 0 THEN 'EMPTY' WHEN std < 0.004 THEN 'SUBNOISE' WHEN std <= 0.016 THEN 'MIXED' ELSE 'SIGNAL' END AS band FROM moved) GROUP BY ALL", *_MOVED)
 def band_medians(s, d):
+    _checkpointed(s)
     m = stats.band_medians(network.noise_bands(_moved(s, d), 0.008))
     return m.select("gamma", "band", "n", *(_r(F.col(c), 1e6, 3).alias(c) for c in ("med_mean", "med_std", "med_smooth_mean", "med_smooth_std", "med_d")), F.round("med_ratio", 6).alias("med_ratio"))
 
