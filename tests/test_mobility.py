@@ -144,6 +144,21 @@ def test_the_last_of_repeated_cells_stands(spark):
     assert [tuple(x) for x in graph.project(cells, links, "at").collect()] == [(1, 1, 2.0)] and graph.project(cells, links).first().c == 7.0
 
 
+def test_psi_table_by_hour_and_over_all(spark):
+    """Rows without an hour are a group of their own beside the row over all."""
+    r = np.random.default_rng(9)
+    rows = [(psi, slot, link, float(x), float(x * x)) for psi in (-0.01, 0.0, 0.01) for slot in range(6) for link in range(3) for x in [abs(r.normal(0, 1))]]
+    errors = spark.createDataFrame(rows, "psi double, slot long, link_id long, abs double, sq double")
+    hour = lambda s: None if s == 5 else s % 2
+    got = {(x.whole, x.hour): (x.psi, x.mae, x.mse, x.base_mae, x.base_mse) for x in sweeps.psi_table(errors, F.when(F.col("slot") != 5, F.col("slot") % 2)).collect()}
+    assert got.keys() == {(True, None), (False, None), (False, 0), (False, 1)}
+    for (whole, h), found in got.items():
+        of = {psi: [x for x in rows if x[0] == psi and (whole or hour(x[1]) == h)] for psi in (-0.01, 0.0, 0.01)}
+        mean = {psi: (float(np.mean([x[3] for x in some])), float(np.mean([x[4] for x in some]))) for psi, some in of.items()}
+        best = min(mean, key=lambda psi: (mean[psi][1], psi))
+        assert np.allclose(found, (best, *mean[best], *mean[0.0]))
+
+
 def test_matching_follows_the_street(spark):
     segments, adjacency = roads(spark)
     r = np.random.default_rng(5)
@@ -392,6 +407,28 @@ def test_psi_of_converged_chains(spark):
                 assert abs(r[name] - value.mean()) <= 0.01 + 1e-6 * value.mean()
 
 
+def test_psi_table_of_both_models(spark):
+    sf = "/root/testdata/sf0.001"
+    p, slots, edges, links = _tables(spark, sf)
+    got = {(r.model, r.whole, r.bow): r for r in S.psi_table(spark, sf).collect()}
+    for model, powers in (("sp", [S.SP]), ("tp", [S.UP, S.DOWN])):
+        kernels, off = [_plain_kernel(edges, links, x) for x in powers], {}
+        for psi in S.PSI:
+            for k in slots:
+                e = p.loc[k].to_numpy()
+                b = e[AREA].sum()
+                v = _plain_chain(np.where(SHUT, e, np.where(AREA, e * (1 + psi / b), e * (1 - psi / (1 - b)))), *kernels)
+                off[psi, k] = np.abs(p.loc[k + 7].to_numpy() - v)[AREA] * 1e6
+        days = {None} | {k % 7 for k in slots}
+        assert {k[1:] for k in got if k[0] == model} == {(x is None, x) for x in days}
+        for day in days:
+            mean = {psi: np.concatenate([off[psi, k] for k in slots if day is None or k % 7 == day]) for psi in S.PSI}
+            best, r = min(S.PSI, key=lambda x: ((mean[x] ** 2).mean(), x)), got[model, day is None, day]
+            assert round(r.psi, 6) == best
+            for found, want in ((r.mae, mean[best].mean()), (r.mse, (mean[best] ** 2).mean()), (r.base_mae, mean[0.0].mean()), (r.base_mse, (mean[0.0] ** 2).mean())):
+                assert abs(found - want) <= 0.01 + 1e-6 * want
+
+
 def test_event_report_of_converged_chains(spark):
     sf = "/root/testdata/sf0.001"
     p, slots, edges, links = _tables(spark, sf)
@@ -497,7 +534,8 @@ def pbf(path: Path) -> None:
     strings = [b"", b"highway", b"primary", b"oneway", b"-1", b"footway"]
     nodes = field(1, deltas([5, 9, 7])) + field(8, deltas([407000000, 408000000, 500000000])) + field(9, deltas([-1119000000, -1118000000, -1118000000]))
     ways = [field(1, 77) + field(2, varint(1) + varint(3)) + field(3, varint(2) + varint(4)) + field(8, deltas([5, 9, 7])), field(1, 78) + field(2, varint(1)) + field(3, varint(5)) + field(8, deltas([5, 9]))]
-    block = field(1, b"".join(field(1, x) for x in strings)) + field(2, field(2, nodes)) + field(2, b"".join(field(3, w) for w in ways))
+    plain = field(1, 2 * 8) + field(8, 2 * 405000000) + field(9, 2 * 1115000000 - 1)  # zigzag of 8, 40.5 degrees and -111.5 degrees
+    block = field(1, b"".join(field(1, x) for x in strings)) + field(2, field(2, nodes) + field(1, plain)) + field(2, b"".join(field(3, w) for w in ways))
     out = b""
     for kind, body in ((b"OSMHeader", b""), (b"OSMData", block)):
         blob = field(2, len(body)) + field(3, zlib.compress(body))
@@ -509,7 +547,7 @@ def pbf(path: Path) -> None:
 def test_osm_extract_to_directed_edges(spark, tmp_path):
     pbf(tmp_path / "x.osm.pbf")
     nodes, ways = files.osm_pbf(spark, str(tmp_path / "x.osm.pbf"), (40.0, 41.0, -112.0, -111.0))
-    assert sorted((r.id, round(r.lat, 7), round(r.lon, 7)) for r in nodes.collect()) == [(5, 40.7, -111.9), (9, 40.8, -111.8)]
+    assert sorted((r.id, round(r.lat, 7), round(r.lon, 7)) for r in nodes.collect()) == [(5, 40.7, -111.9), (8, 40.5, -111.5), (9, 40.8, -111.8)]
     assert [(r.way_id, r.nodes, r.oneway) for r in ways.collect()] == [(77, [5, 9, 7], "-1")]
     assert [tuple(r) for r in network.directed_edges(ways, nodes).collect()] == [(9, 5)]
 

@@ -107,6 +107,20 @@ def psi_fit(errors: DataFrame, score: str = "sq", folds: int = 5, seed: int = 0,
     return stats.best(mean, "train", "psi", ["part"]).join(base, "part").select("part", "psi", "train", "test", "base")
 
 
+def psi_table(errors: DataFrame, by: F.Column, name: str = "hour") -> DataFrame:
+    """(name, whole, psi, mae, mse, base_mae, base_mse): the psi of the least squared error for each value of ``by``, and over all rows.
+
+    ``errors`` are those of ``psi_errors``; of equal psi the smallest.  The row over all has ``whole`` and no ``name``; a null ``by`` is
+    a group.  Base is psi 0.  One aggregation by psi and ``by`` serves both levels.
+    """
+    sums = [F.sum(c).alias(c) for c in ("abs", "sq")]
+    cells = errors.groupBy("psi", by.alias(name)).agg(*sums, F.count("*").alias("n"))
+    mean = cells.rollup("psi", name).agg(F.grouping("psi").alias("none"), (F.grouping(name) == 1).alias("whole"), (F.sum("abs") / F.sum("n")).alias("mae"), (F.sum("sq") / F.sum("n")).alias("mse")).where("none = 0")
+    base = F.max(F.when(F.abs("psi") < 1e-12, F.struct("mae", "mse"))).alias("base")
+    best = mean.groupBy("whole", name).agg(F.min_by(F.struct("psi", "mae", "mse"), F.struct("mse", "psi")).alias("best"), base)
+    return best.select(name, "whole", "best.*", F.col("base.mae").alias("base_mae"), F.col("base.mse").alias("base_mse"))
+
+
 def event_report(prior: DataFrame, truth: DataFrame, adjacency: DataFrame, links: DataFrame, closed: F.Column, box: F.Column, powers: dict[str, list[tuple[float, float]]], models: dict[str, chain.Model], floor: float = 1e-6, tol: float = 1e-5, max_iter: int = 200) -> DataFrame:
     """(model, surgery, box_mean, box_dev, whole_mean, whole_dev): errors around a closure.
 

@@ -432,11 +432,11 @@ _PSI = (*_CHAIN, "psis", "given", "walkpsi", "psi_off")
 THREE = {"tol": 0.0, "max_iter": 3}
 
 
-def _psi_errors(s, d, **steps):
+def _psi_errors(s, d, kernels=None, model=chain.Model(), **steps):
     _checkpointed(s)
     p = _prior(s, d)
     truth = p.select((F.col("slot") - 7).alias("slot"), "link_id", "p")
-    return sweeps.psi_errors(p, truth, F.expr(BOX), PSI, [_weighted(s)], chain.Model(), F.expr(CLOSED), **steps)
+    return sweeps.psi_errors(p, truth, F.expr(BOX), PSI, kernels or [_weighted(s)], model, F.expr(CLOSED), **steps)
 
 
 def _psi_mse(e):
@@ -469,6 +469,26 @@ def psi_grid_fit(s, d):
     return _psi_best(_psi_errors(s, d), test=F.col("link_id") % 4 == 0)
 
 
+def _psi_table(e):
+    t = sweeps.psi_table(e, F.pmod(F.col("slot"), F.lit(7)), "bow")
+    return t.select("bow", "whole", "psi", *(F.round(c, k).alias(c) for c, k in (("mae", 4), ("mse", 2), ("base_mae", 4), ("base_mse", 2))))
+
+
+@_query(
+    "SELECT bow, whole, arg_min(psi, (mse, psi)) AS psi, round(arg_min(mae, (mse, psi)), 4) AS mae, round(min(mse), 2) AS mse, round(max(mae) FILTER (abs(psi) < 1e-9), 4) AS base_mae, round(max(mse) FILTER (abs(psi) < 1e-9), 2) AS base_mse "
+    "FROM (SELECT psi, bow, grouping(bow) = 1 AS whole, avg(sqrt(sq)) AS mae, avg(sq) AS mse FROM (SELECT *, slot % 7 AS bow FROM psi_off) GROUP BY ROLLUP (psi, bow) HAVING grouping(psi) = 0) GROUP BY bow, whole", *_PSI)
+def psi_table_k(s, d):
+    """The best psi for each day of the week and over all, after three steps."""
+    return _psi_table(_psi_errors(s, d, **THREE))
+
+
+def psi_table(s, d):
+    """The same of converged chains, for both models."""
+    two = [_kernel(s, UP), _kernel(s, DOWN)]
+    sp, tp = _psi_table(_psi_errors(s, d)), _psi_table(_psi_errors(s, d, two, chain.Model("two")))
+    return sp.withColumn("model", F.lit("sp")).unionByName(tp.withColumn("model", F.lit("tp")))
+
+
 def psi_cross_validation(s, d):
     """Five folds by a hash of the link, which SQL has not."""
     return _psi_best(_psi_errors(s, d))
@@ -720,4 +740,4 @@ def calendar_days(s, d):
 
 
 #: Without SQL: converged chains by the hundred, a hash that it lacks, a search, and decoding; unit tests hold these.
-_Q |= {f.__name__: f for f in (psi_chain_errors, psi_grid_fit, psi_cross_validation, event_report, fit_exponents, hmm_match, hmm_paths, match_counters)}
+_Q |= {f.__name__: f for f in (psi_chain_errors, psi_grid_fit, psi_table, psi_cross_validation, event_report, fit_exponents, hmm_match, hmm_paths, match_counters)}

@@ -190,9 +190,12 @@ def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text = [v.decode() for k, t in fields if k == 1 for n, v in _fields(t) if n == 1]
             grain, lat0, lon0 = one.get(17, 100), one.get(19, 0), one.get(20, 0)
             rows = []
+            signed = lambda v: v >> 1 ^ -(v & 1)
             for kind, item in ((n, v) for k, group in fields if k == 2 for n, v in _fields(group)):
-                m = {k: v for k, v in _fields(item)} if kind in (2, 3) else {}
-                if kind == 2:
+                m = {k: v for k, v in _fields(item)} if kind in (1, 2, 3) else {}
+                if kind == 1:
+                    rows.append(("node", signed(m[1]), (signed(m[8]) * grain + lat0) * 1e-9, (signed(m[9]) * grain + lon0) * 1e-9, None, None))
+                elif kind == 2:
                     lat, lon = ((_packed(m[f], True) * grain + base) * 1e-9 for f, base in ((8, lat0), (9, lon0)))
                     rows += [("node", int(i), float(y), float(x), None, None) for i, y, x in zip(_packed(m[1], True), lat, lon, strict=True)]
                 elif kind == 3:
@@ -209,7 +212,7 @@ def osm_pbf(spark: SparkSession, path: str, box: tuple[float, float, float, floa
     """Nodes (id, lat, lon) in the box (south, north, west, east) and drivable ways (way_id, nodes, oneway) of OSM extracts.
 
     A file is cut into its blocks in one task (2 GB at most, Spark's bound for binary files; give several extracts beyond it), and the
-    blocks are decoded in parallel.  Nodes come dense, as all common writers make them.
+    blocks are decoded in parallel.  Nodes may come dense or one by one.
     """
     blobs = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_blobs, "blob binary")
     rows = blobs.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_decoded, "kind string, id long, lat double, lon double, nodes array<long>, tags map<string,string>")
