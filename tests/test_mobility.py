@@ -7,11 +7,13 @@ import struct
 import zlib
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wayflow.operators import chain, graph, matching, network, stats, sweeps, trips
+from wayflow.plans import catalog
 from wayflow.plans import studies as S
 from wayflow.plans.catalog import X
 from wayflow.sources import files, sinks
@@ -573,3 +575,15 @@ def test_streams_give_what_batches_give(spark, tmp_path):
         q = f(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, f(d).collect()))
+
+
+def test_turns_at_a_link_without_direction_equal_their_sql(spark, tmp_path):
+    """Part 362276 is a street of no length, which the small tables don't have."""
+    con, d = duckdb.connect(), str(tmp_path)
+    con.sql(f"COPY (SELECT unnest([1, 362276, 5])::BIGINT AS p_partkey, unnest([3, 4, 9])::INTEGER AS p_size) TO '{d}/part.parquet'")
+    con.sql(f"COPY (SELECT 1::BIGINT AS l_orderkey, unnest([1, 362276, 5, 1])::BIGINT AS l_partkey, 1::BIGINT AS l_suppkey, unnest([1, 2, 3, 4])::INTEGER AS l_linenumber) TO '{d}/lineitem.parquet'")
+    for name in ("part", "lineitem"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
+    for name in ("turn_cosine", "turn_angle_kernel"):
+        got = sorted(map(tuple, catalog.queries()[name](spark, d).collect()))
+        assert len(got) == 3 and np.allclose(got, sorted(con.execute(catalog.oracle_sql()[name]).fetchall()), atol=1e-4), name

@@ -21,13 +21,13 @@ def weights(links: DataFrame, speed: float, lanes: float) -> DataFrame:
     return known.crossJoin(F.broadcast(mean)).select("link_id", (F.pow(F.col("speed") / F.col("ms"), speed) * F.pow(F.col("lanes") / F.col("ml"), lanes)).alias("w"))
 
 
-def turns(adjacency: DataFrame, links: DataFrame) -> DataFrame:
-    """(src, dst, turn): cosine of the turn between links (link_id, lat1, lon1, lat2, lon2); 0 where one has no direction."""
+def turns(adjacency: DataFrame, links: DataFrame, still: float = 0.0) -> DataFrame:
+    """(src, dst, turn): cosine of the turn between links (link_id, lat1, lon1, lat2, lon2); ``still`` where one has no direction."""
     ux, uy = unit(F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1"))
     u = links.select("link_id", ux.alias("ux"), uy.alias("uy"))
     a = adjacency.join(u.toDF("src", "ax", "ay"), "src").join(u.toDF("dst", "bx", "by"), "dst")
     cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ax") * F.col("bx") + F.col("ay") * F.col("by")))
-    return a.select("src", "dst", F.when(F.col("ax").isNull() | F.col("bx").isNull(), 0.0).otherwise(cos).alias("turn"))
+    return a.select("src", "dst", F.when(F.col("ax").isNull() | F.col("bx").isNull(), still).otherwise(cos).alias("turn"))
 
 
 def angle_kernel(turned: DataFrame, weight: DataFrame, power: float, delta: float = 0.0, mean: float = 1.0) -> DataFrame:

@@ -135,7 +135,7 @@ X.SQL["turned"] = "turned AS (SELECT a.src, a.dst, coalesce(greatest(-1, least(1
 
 @_query(f"SELECT src, dst, {_sr('f / sum(f) OVER (PARTITION BY src)')} AS p_ppm FROM (SELECT src, dst, w * greatest(1 + turn + {D(0.01)}, 0) ** {D(0.5)} AS f FROM turned JOIN weights ON dst = link_id)", "streets", "passes", "weights", "turned")
 def turn_angle_kernel(s, d):
-    k = graph.angle_kernel(graph.turns(X.passes(s, d), X.streets(s, d)), graph.weights(X.streets(s, d), *SP), 0.5, 0.01)
+    k = graph.angle_kernel(graph.turns(X.passes(s, d), X.streets(s, d), still=1.0), graph.weights(X.streets(s, d), *SP), 0.5, 0.01)
     return k.select("src", "dst", _r(F.col("p")).alias("p_ppm"))
 
 
