@@ -9,6 +9,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -587,3 +588,36 @@ def test_turns_at_a_link_without_direction_equal_their_sql(spark, tmp_path):
     for name in ("turn_cosine", "turn_angle_kernel"):
         got = sorted(map(tuple, catalog.queries()[name](spark, d).collect()))
         assert len(got) == 3 and np.allclose(got, sorted(con.execute(catalog.oracle_sql()[name]).fetchall()), atol=1e-4), name
+
+
+def test_decoding_does_not_depend_on_batches(spark):
+    """Parts of 1 to 9 pings, cut into batches anywhere, against a plain decoder of each."""
+    r = np.random.default_rng(12)
+    rows, want = [], {}
+    for part in range(40):
+        before = {}
+        chain = []
+        for k in range(int(r.integers(1, 10))):
+            now = {}
+            for link in sorted(r.choice(12, int(r.integers(1, 5)), replace=False).tolist()):
+                steps = [(i, float(r.integers(0, 6))) for i in sorted(before) if r.uniform() < 0.5]
+                cost = float(r.integers(0, 4))
+                rows.append((part // 3, part % 3, k + 1, k, float(k), link, 0.5, cost, [i for i, _ in steps] or None, [c for _, c in steps] or None))
+                ways = [(before[i][0] + c, i) for i, c in steps if np.isfinite(before[i][0])]
+                now[link] = (cost + min(ways)[0], min(ways)[1]) if ways else (np.inf, None)
+            if not any(np.isfinite(c) for c, _ in now.values()):
+                now = {x[5]: (x[7], None) for x in rows[-len(now):]}
+            chain.append(now)
+            before = now
+        link = None
+        for k in reversed(range(len(chain))):
+            link = min(chain[k], key=lambda j: (chain[k][j][0], j)) if link is None else link  # noqa: B023
+            want[part // 3, part % 3, k] = (link, chain[k][link][1] is not None)
+            link = chain[k][link][1]
+    names = ["route_id", "part", "k", "fix_idx", "t", "link_id", "along", "cost", "srcs", "costs"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    for size in (1, 3, 17, len(rows)):
+        got = [x for b in matching._decode(iter(table.combine_chunks().to_batches(size))) for x in b.to_pylist()]
+        assert {(x["route_id"], x["part"], x["fix_idx"]): (x["link_id"], x["linked"]) for x in got} == want and len(got) == len(want)
+    assert list(matching._decode(iter([]))) == []

@@ -1,13 +1,15 @@
 """Map matching: a hidden Markov model over the links near each ping.
 
 Candidates come from an equi-join on the cells of a quad-tree, transitions from joins of neighbouring pings' candidates with a table of
-shortest ways on the network, and only the decoding of a part of a trip, whose size is that of the part, is a function in Python.
+shortest ways on the network, and only the decoding of parts of trips, a batch at a time and never less than a part, is a function in Python.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -72,45 +74,77 @@ def reachable(adjacency: DataFrame, lengths: DataFrame, starts: DataFrame) -> Da
     return found.select("src", "dst", "gap", "way")
 
 
-def _decode(rows: pd.DataFrame) -> pd.DataFrame:
-    """The likeliest links of one part of a trip; of equal ones the smallest id.
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_likeliest`` of rows that come in order of route_id, part, k and link_id: of many parts of trips at once, however short.
 
-    ``rows`` have k, fix_idx, t, link_id, along, cost, and srcs and costs, the steps into them.
+    The last part of a batch waits for the rest of it.
     """
-    rows = rows.sort_values(["k", "link_id"], ignore_index=True)
-    names = pd.Index(rows["link_id"].unique()).sort_values()
-    link, own = names.get_indexer(rows["link_id"]), rows["cost"].to_numpy()
-    sizes = np.array([0 if x is None else len(x) for x in rows["srcs"]])
-    src = names.get_indexer(np.concatenate([x for x in rows["srcs"] if x is not None])) if sizes.any() else np.zeros(0, int)
-    costs = np.concatenate([x for x in rows["costs"] if x is not None]) if sizes.any() else np.zeros(0)
-    to, ends = np.repeat(np.arange(len(rows)), sizes), np.concatenate([[0], np.cumsum(sizes)])
-    bounds = np.flatnonzero(np.diff(rows["k"].to_numpy(), prepend=-1)).tolist() + [len(rows)]
-    best, back, lasts = np.full(len(names), np.inf), np.full(len(rows), -1), []
-    for a, z in zip(bounds, bounds[1:], strict=False):
-        some = slice(ends[a], ends[z])
-        total = best[src[some]] + costs[some]
-        order = np.lexsort((src[some], total, to[some]))
-        first = order[np.flatnonzero(np.diff(to[some][order], prepend=-1))]
-        first = first[np.isfinite(total[first])]
-        best = np.full(len(names), np.inf)
-        if len(first):
-            at = to[some][first]
-            best[link[at]] = own[at] + total[first]
-            back[at] = src[some][first]
-        else:  # the first ping, or no way from the one before
-            best[link[a:z]] = own[a:z]
-        lasts.append(int(np.argmin(best)))
-    chosen, at = [], -1
-    for a, z, last in zip(reversed(bounds[:-1]), reversed(bounds[1:]), reversed(lasts), strict=True):
-        row = a + int(np.searchsorted(link[a:z], last if at < 0 else at))
-        chosen.append(row)
-        at = back[row]
-    chosen.reverse()
-    out = rows.loc[chosen, ["route_id", "part", "fix_idx", "t", "link_id", "along"]].reset_index(drop=True)
-    out["linked"] = back[chosen] >= 0
+    held: list[pa.RecordBatch] = []
+    key = lambda b, i: (b["route_id"][i], b["part"][i])
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and key(held[-1], -1) != key(b, 0):
+            yield from _likeliest(held)
+            held = []
+        new = np.flatnonzero(_changes(b["route_id"], b["part"]))
+        if len(new) > 1:
+            yield from _likeliest([*held, b.slice(0, int(new[-1]))])
+            held, b = [], b.slice(int(new[-1]))
+        held.append(b)
+    if held:
+        yield from _likeliest(held)
+
+
+def _changes(*columns: pa.Array) -> np.ndarray:
+    """True where a row differs from the one before, and at the first."""
+    out = np.zeros(len(columns[0]), bool)
+    out[0] = True
+    for c in columns:
+        v = c.to_numpy(zero_copy_only=False)
+        out[1:] |= v[1:] != v[:-1]
     return out
 
 
+def _likeliest(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The likeliest links of whole parts of trips; of equal ones the smallest id.
+
+    Rows have k, fix_idx, t, link_id, along, cost, and srcs and costs, the steps into them.  The first pings of all parts are priced
+    at once, then the second ones, and so on.
+    """
+    rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    new = _changes(rows["route_id"], rows["part"])
+    ping = np.cumsum(new | _changes(rows["k"])) - 1
+    start = np.flatnonzero(np.diff(ping, prepend=-1))  # the first row of each ping
+    place = np.arange(len(start)) - np.maximum.accumulate(np.where(new[start], np.arange(len(start)), 0))  # of the ping in its part
+    sizes = rows["srcs"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    names, link = np.unique(np.concatenate([x.to_numpy(zero_copy_only=False) for x in (rows["link_id"], rows["srcs"].flatten())]), return_inverse=True)
+    link, src = link[: len(sizes)], link[len(sizes) :]
+    own, costs, to = rows["cost"].to_numpy(zero_copy_only=False), rows["costs"].flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+    before = np.searchsorted(ping * len(names) + link, (ping[to] - 1) * len(names) + src)  # the row that a step comes from
+    of_ping, of_row, of_step = (np.argsort(x, kind="stable") for x in (place, place[ping], place[ping[to]]))
+    last = int(place.max())
+    ends = [np.searchsorted(x, np.arange(last + 2)) for x in (np.sort(place), np.sort(place[ping]), np.sort(place[ping[to]]))]
+    best, back = np.full(len(sizes), np.inf), np.full(len(sizes), -1)
+    for k in range(last + 1):
+        some, steps = of_row[ends[1][k] : ends[1][k + 1]], of_step[ends[2][k] : ends[2][k + 1]]
+        total = best[before[steps]] + costs[steps]
+        steps, total = steps[np.isfinite(total)], total[np.isfinite(total)]
+        order = np.lexsort((src[steps], total, to[steps]))
+        first = order[np.flatnonzero(np.diff(to[steps][order], prepend=-1))]
+        at = to[steps][first]
+        best[at], back[at] = own[at] + total[first], before[steps][first]
+        fresh = some[~np.isin(ping[some], ping[at])]  # the first ping of a part, or no way from the one before
+        best[fresh] = own[fresh]
+    chosen = np.lexsort((best, ping))[start]  # the cheapest row of each ping, by link among equals
+    for k in range(last, 0, -1):
+        pings = of_ping[ends[0][k] : ends[0][k + 1]]
+        way = back[chosen[pings]]
+        chosen[pings[way >= 0] - 1] = way[way >= 0]
+    out = rows.take(pa.array(chosen)).select(["route_id", "part", "fix_idx", "t", "link_id", "along"])
+    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(back[chosen] >= 0)], names=[*out.schema.names, "linked"])
+
+
 def _matched(pings: DataFrame, segments: DataFrame, adjacency: DataFrame, max_dist: float, sigma: float, beta: float, detour: float, max_leap: float, min_fixes: int) -> tuple[DataFrame, DataFrame]:
     """Decoded pings (route_id, part, fix_idx, t, link_id, along, linked), and the ways that were open to them."""
     long = pings.withColumn("n", F.count("*").over(W.partitionBy("route_id"))).where(F.col("n") >= min_fixes).drop("n")
@@ -138,7 +172,8 @@ def _matched(pings: DataFrame, segments: DataFrame, adjacency: DataFrame, max_di
     state = state.select("*", F.col("steps.src").alias("srcs"), F.col("steps.cost").alias("costs")).drop("steps")
     names = dict(state.dtypes)
     schema = ", ".join(f"`{c}` {names[c]}" for c in ("route_id", "part", "fix_idx", "t", "link_id", "along")) + ", linked boolean"
-    return state.groupBy("route_id", "part").applyInPandas(_decode, schema), ways
+    ordered = state.repartition("route_id", "part").sortWithinPartitions("route_id", "part", "k", "link_id")
+    return ordered.mapInArrow(_decode, schema), ways
 
 
 def match(pings: DataFrame, segments: DataFrame, adjacency: DataFrame, max_dist: float = 400.0, sigma: float = 20.0, beta: float = 50.0, detour: float = 2000.0, max_leap: float = 10_000.0, min_fixes: int = 5) -> DataFrame:
