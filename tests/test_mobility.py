@@ -590,6 +590,48 @@ def test_turns_at_a_link_without_direction_equal_their_sql(spark, tmp_path):
         assert len(got) == 3 and np.allclose(got, sorted(con.execute(catalog.oracle_sql()[name]).fetchall()), atol=1e-4), name
 
 
+def _walked(edges, ends, links, max_steps):
+    """What ``walk_chains`` says, one walk after the other."""
+    out = {}
+    heads = {}
+    for a, b in edges:
+        heads.setdefault(a, set()).add(b)
+    for start in ends:
+        for first in heads.get(start, ()):
+            way = [start, first]
+            while way[-1] not in ends and len(way) - 2 < max_steps and len(on := heads.get(way[-1], set()) - {way[-2]}) == 1:
+                way += on
+            names = [k for k, u, v in links if u == start and v == way[-1] and v in ends and v != start]
+            for edge in zip(way, way[1:], strict=False) if names else ():
+                out[edge] = min(out.get(edge, min(names)), min(names))
+    return out
+
+
+def test_long_walks_take_few_rounds_and_equal_plain_ones(spark, monkeypatch):
+    """Roads of 1 to 70 nodes, some with a side street, a merge, a loop, a way back to the start or a dead end."""
+    r = np.random.default_rng(8)
+    edges, ends, links, top = [], set(), [], 0
+    for road in range(60):
+        n = int(r.integers(1, 71))
+        way = list(range(top, top + n + 1))
+        edges += [*zip(way, way[1:], strict=False)] + ([*zip(way[1:], way, strict=False)] if road % 3 else [])
+        ends |= {way[0]} if road % 11 == 0 else {way[0], way[-1]}
+        links += [(2 * road, way[0], way[-1]), (2 * road + 1, way[-1], way[0]), (500 - road, way[0], way[-1])]
+        some = lambda: way[int(r.integers(0, len(way)))]  # noqa: B023, E731
+        edges += [[], [(some(), top + 900)], [(top + 900, some())], [(some(), some())], [(way[-1], way[0]), (some(), way[0])]][road % 5]
+        ends |= {top + 900} if road % 2 else set()
+        links += [(1000 + road, top + 900, way[-1])]
+        top += 1000
+    calls, checkpoint = [], type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda d, *a: (calls.append(1), checkpoint(d, *a))[1])
+    e, n, k = spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(x,) for x in ends], "id long"), spark.createDataFrame(links, "link_id long, u long, v long")
+    for most in (80, 7, 6, 0):
+        calls.clear()
+        want = _walked(edges, ends, links, most)
+        assert want and {(x.a, x.b): x.link_id for x in network.walk_chains(e, n, k, most).collect()} == want
+        assert len(calls) <= 9  # one a step before
+
+
 def test_decoding_does_not_depend_on_batches(spark):
     """Parts of 1 to 9 pings, cut into batches anywhere, against a plain decoder of each."""
     r = np.random.default_rng(12)

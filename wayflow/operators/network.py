@@ -53,24 +53,36 @@ def walk_chains(edges: DataFrame, ends: DataFrame, links: DataFrame, max_steps:
 
     From an end node every out-edge is followed while its head is no end and has exactly one way on other than back; walks back to
     their start and walks of more than ``max_steps`` are given up.  A sub-edge on several links goes to the smallest id.
+
+    Where a walk goes on is known from the least and the greatest head of a node that has two at most, so a step looks up nodes, not
+    pairs of edges.  Steps come in groups that double up to 16, so that short walks leave early and a part of a walk is a short array.
     """
-    e = edges.select("a", "b").distinct()
-    inner = e.join(ends.select(F.col("id").alias("b")), "b", "left_anti")
-    on = inner.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").where("c != a").groupBy("a", "b").agg(F.min("c").alias("c"), F.count("*").alias("ways")).where("ways = 1").select("a", "b", "c").checkpoint()
-    stop = ends.select(F.col("id").alias("b"), F.lit(True).alias("end"))
-    front = e.join(ends.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("a").alias("start"), F.col("b").alias("first"), "a", "b").checkpoint()
-    steps = [front]
-    for _ in range(max_steps):
-        front = front.join(on, ["a", "b"]).select("start", "first", F.col("b").alias("a"), F.col("c").alias("b")).checkpoint()
-        if front.isEmpty():
+    ends, by_tail = ends.select("id").distinct(), edges.select("a", "b").repartition("a").distinct()
+    heads = by_tail.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"), F.count("b").alias("n")).where("n <= 2").drop("n")
+    through = heads.join(ends.withColumnRenamed("id", "a"), "a", "left_anti").select(F.col("a").alias("b"), "lo", "hi").checkpoint()
+    front = by_tail.join(ends.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("a").alias("start"), F.col("b").alias("first"), "a", "b", F.array("a", "b").alias("path"))
+    parts, taken, group = None, 0, 2
+    while True:
+        for _ in range(min(group, max_steps - taken)):
+            on = F.when((F.col("lo") == F.col("hi")) & (F.col("lo") != F.col("a")), F.col("lo")).when(F.col("lo") != F.col("hi"), F.when(F.col("lo") == F.col("a"), F.col("hi")).when(F.col("hi") == F.col("a"), F.col("lo")))
+            front = front.join(through, "b", "left").withColumn("c", on)
+            path = F.when(F.col("c").isNull(), F.col("path")).otherwise(F.concat("path", F.array("c")))
+            a, b = F.when(F.col("c").isNull(), F.col("a")).otherwise(F.col("b")), F.coalesce("c", "b")
+            front = front.select("start", "first", a.alias("a"), b.alias("b"), path.alias("path"), F.col("c").isNotNull().alias("open"))
+        taken, group = taken + min(group, max_steps - taken), min(2 * group, 16)
+        part = front.checkpoint() if taken else front.withColumn("open", F.lit(False))
+        parts = part if parts is None else parts.unionByName(part)
+        front = part.where("open").withColumn("path", F.array("b"))
+        if taken >= max_steps or front.isEmpty():
             break
-        steps.append(front)
-    walked = steps[0]
-    for s in steps[1:]:
-        walked = walked.unionByName(s)
-    done = walked.join(stop, "b").where("b != start").select("start", "first", F.col("b").alias("last"))
+    done = parts.where("NOT open AND b != start").join(ends.withColumnRenamed("id", "b"), "b", "left_semi").select("start", "first", F.col("b").alias("last"))
+    if taken:  # the last part of a walk of just max_steps is open, and at its end
+        cut = part.where("open AND b != start").join(ends.withColumnRenamed("id", "b"), "b", "left_semi").select("start", "first", F.col("b").alias("last"))
+        done = done.unionByName(cut) if taken >= max_steps else done
     named = done.join(links.select(F.col("u").alias("start"), F.col("v").alias("last"), "link_id"), ["start", "last"]).groupBy("start", "first").agg(F.min("link_id").alias("link_id"))
-    return walked.join(named, ["start", "first"]).groupBy("a", "b").agg(F.min("link_id").alias("link_id"))
+    walked = parts.select("start", "first", "path").where(F.size("path") > 1).join(named, ["start", "first"])
+    pairs = F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("a"), F.slice("path", F.lit(2), F.size("path") - 1).alias("b"))
+    return walked.select(F.inline(pairs).alias("a", "b"), "link_id").groupBy("a", "b").agg(F.min("link_id").alias("link_id"))
 
 
 def compare_buckets(links: DataFrame, before: DataFrame, after: DataFrame, at: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8, 0.99, 1.0)) -> DataFrame:

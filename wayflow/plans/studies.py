@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from wayflow.functions import calendar
 from wayflow.operators import chain, graph, matching, network, stats, sweeps, trips
@@ -618,13 +619,15 @@ def _road(s, d):
 
     Links run between neighbouring ends, and back as well on two roads of three.
     """
-    fix = X.fixes(s, d).select("route_id", F.col("fix_idx").alias("i"), (F.col("route_id") * 1000 + F.col("fix_idx")).alias("id"))
-    last = fix.groupBy("route_id").agg(F.max("i").alias("last"))
-    fix = fix.join(last, "route_id")
-    on = fix.where("i < last").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    side = fix.where("i = 2 AND route_id % 7 = 0").select(F.col("id").alias("a"), (F.col("route_id") * 1000 + 900).alias("b"))
-    both = on.unionByName(side)
-    edges = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    fix = X.fixes(s, d).select("route_id", F.col("fix_idx").alias("i"), (F.col("route_id") * 1000 + F.col("fix_idx")).alias("id"), F.max("fix_idx").over(W.partitionBy("route_id")).alias("last"))
+    at = _workspace(s)
+    fix.write.parquet(at)  # nodes, edges, ends and links all read it
+    fix = s.read.parquet(at)
+    two_way = lambda a, b: F.array(*(F.struct(x.alias("a"), y.alias("b")) for x, y in ((a, b), (b, a))))
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    on = F.when(F.col("i") < F.col("last"), two_way(F.col("id"), F.col("id") + 1)).otherwise(none)
+    side = F.when((F.col("i") == 2) & (F.col("route_id") % 7 == 0), two_way(F.col("id"), F.col("route_id") * 1000 + 900)).otherwise(none)
+    edges = fix.select(F.inline(F.concat(on, side)))
     ends = fix.where("i % 5 = 0 OR i = last").select("id")
     far = F.col("route_id") * 1000 + F.least(F.col("i") + 5, F.col("last"))
     ahead = fix.where("i % 5 = 0 AND i < last").select((F.col("id") * 2).alias("link_id"), F.col("id").alias("u"), far.alias("v"), "route_id")
